@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_benchmark_spans
 from .line_dedup import dedup_lines
+from .near_dedup import link_near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -64,13 +69,28 @@ SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(co
 FROM m GROUP BY rid
 """
 
+_OP3 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+g AS (SELECT rid, least(5, len(t)) AS n, t, unnest(range(1, len(t) - least(5, len(t)) + 2)) AS i FROM d WHERE len(t) > 0),
+s AS (SELECT DISTINCT rid, array_to_string(t[i : i + n - 1], ' ') AS w FROM g),
+c AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b USING (w) WHERE a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN c cx ON cx.rid = x JOIN c cy ON cy.rid = y WHERE 100 * k >= 85 * (cx.n + cy.n - k)),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT r.x AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY r.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN c USING (rid) JOIN m USING (rid)
+""".replace("WITH d", "WITH RECURSIVE d", 1)
+
 
 def queries() -> dict:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op3_near_dedup": op3_near_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op10_line_dedup": _OP10}
+    return {"op2_decontaminate": _OP2, "op3_near_dedup": _OP3, "op10_line_dedup": _OP10}
