@@ -26,11 +26,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def write_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def write_table(df: DataFrame, tag: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Cut the lineage: write ``df`` to the shared folder, return it as read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

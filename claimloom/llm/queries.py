@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_benchmark_spans
 from .line_dedup import dedup_lines
 from .near_dedup import link_near_duplicates
+from .token_store import ids_crc32, read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,15 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
+def token_files(docs: DataFrame) -> DataFrame:
+    path, by_rank = write_token_files(docs, "word_bpe_49k.json")
+    return read_token_files(docs.sparkSession, path, by_rank, ids_crc32, "ids_crc32 long").withColumnRenamed("id", "doc_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -88,6 +98,7 @@ def queries() -> dict:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_near_dedup": op3_near_dedup,
+        "op8_token_store": op8_token_store,
         "op10_line_dedup": op10_line_dedup,
     }
 
