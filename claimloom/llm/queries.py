@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import remainder
 from .decontaminate import find_benchmark_spans
+from .langid import fit_languages, identify_languages
 from .line_dedup import dedup_lines
 from .near_dedup import link_near_duplicates
+from .quality import fit_quality, score_quality
 from .token_store import ids_crc32, read_token_files, write_token_files
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,27 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    held_out = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _verdicts(score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _verdicts(score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
@@ -98,6 +123,9 @@ def queries() -> dict:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_near_dedup": op3_near_dedup,
+        "op4_quality": op4_quality,
+        "op6_toxicity": op6_toxicity,
+        "op9_langid": op9_langid,
         "op8_token_store": op8_token_store,
         "op10_line_dedup": op10_line_dedup,
     }
