@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import remainder
 from .decontaminate import find_benchmark_spans
+from .jpeg import read_digests, store_texts
 from .langid import fit_languages, identify_languages
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .near_dedup import link_near_duplicates
+from .pii import pseudonymize
 from .quality import fit_quality, score_quality
 from .token_store import ids_crc32, read_token_files, write_token_files
 from .toxicity import fit_toxicity, score_toxicity
@@ -19,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(_table(spark, sf_dir, "documents"), b"registered query")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -50,6 +57,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(store_texts(_table(spark, sf_dir, "documents")))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify_languages(docs, fit_languages(docs))
@@ -121,12 +136,15 @@ FROM d LEFT JOIN c USING (rid) JOIN m USING (rid)
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_decontaminate": op2_decontaminate,
         "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
+        "op5_mixing": op5_mixing,
         "op6_toxicity": op6_toxicity,
-        "op9_langid": op9_langid,
+        "op7_jpeg": op7_jpeg,
         "op8_token_store": op8_token_store,
+        "op9_langid": op9_langid,
         "op10_line_dedup": op10_line_dedup,
     }
 
