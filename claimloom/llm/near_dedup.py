@@ -7,12 +7,11 @@ At a similarity of 0.85 a pair misses all 144 keys with probability about
 2 * (1 - 0.85 ** 3) ** 12, which is 2e-5.
 
 1. Texts with equal shingle sets form one class; only classes go on.
-2. Classes that share a hash with another class in both collections get their keys.
-3. In each bucket every class is compared with the smallest one (linear work), links
-   that hold on the full sets are kept and joined to components.
-4. Buckets in which several components meet are compared pair by pair across
-   components; larger ones than ``bucket`` are first split by further hashes of the
-   first collection, at most ``depth`` times, and whatever stays large is compared whole.
+2. Every class is compared with the smallest one that shares a single hash with it,
+   which is linear work; links that hold on the full sets are joined to components.
+3. Table keys are formed of hashes in which several components meet, in both collections.
+4. Classes whose bucket holds several components are compared across components:
+   pairs that share one of their rarest shingles, then sketches, then full sets.
 5. Components come from smallest-label passing with pointer jumping.
 
 Words are runs of ``[^\x20\x09-\x0D]`` after A-Z are lower-cased; a set holds the
@@ -78,18 +77,45 @@ def signature(shingles: np.ndarray, tables: int, rows: int, seed: int) -> np.nda
     return out
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Of each of 256 ranges of hash values, eight bits of the smallest hash in it; 0 where it is empty."""
+    out = np.zeros(256, np.uint8)
+    if len(shingles):
+        place = (shingles >> np.uint64(56)).astype(np.intp)
+        first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
+        out[place[first]] = (shingles[first] >> np.uint64(24)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def _may_link(percent: int):
+    """Pairs whose sketches agree as often as the threshold lets expect, less five standard deviations."""
+    j = percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
+            filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+            alike = ((a == b) & (a > 0)).sum(axis=1) / filled
+            yield batch.select([0, 1]).filter(pa.array(alike >= j - 5 * np.sqrt(j * (1 - j) / filled)))
+
+    return run
+
+
 def _signatures(tables: int, rows: int, seed: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, s1, s2, sigs = [], [], [], []
+            ns, s1, s2, sigs, sketches = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 own = shingle_set(text, width)
                 ns.append(len(own))
                 s1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
                 s2.append(int(np.bitwise_xor.reduce(_mixed(own * _STEP)).view(np.int64)) if len(own) else 0)
                 sigs.append(signature(own, tables, rows, seed).view(np.int64) if len(own) else None)
+                sketches.append(sketch(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "sig"]
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "n", "s1", "s2", "sig", "sketch"]
             )
 
     return run
@@ -132,31 +158,32 @@ def link_near_duplicates(
     width: int = 5,
     tables: int = 12,
     rows: int = 3,
-    bucket: int = 64,
-    depth: int = 3,
     seed: int = 1,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest linked id), kept."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows_of, _ = write_table(base.mapInArrow(_signatures(tables, rows, seed, width), "id long, n long, s1 long, s2 long, sig array<long>"), "signatures")
-    classes = rows_of.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.first("sig").alias("sig"))
+    rows_of, _ = write_table(base.mapInArrow(_signatures(tables, rows, seed, width), "id long, n long, s1 long, s2 long, sig array<long>, sketch binary"), "signatures")
+    classes = rows_of.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     classes, _ = write_table(classes, "classes")
 
-    keyed, _ = write_table(_keys(classes, tables), "keys")
-    heads, path = write_table(keyed.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "heads")
-    star = keyed.join(sized(heads, path), "key").where((F.col("cid") != F.col("head.cid")) & _close(F.col("n"), F.col("head.n"), percent))
-    links, links_path = write_table(_confirm(star.select(F.col("head.cid").alias("u"), F.col("cid").alias("v")), classes, base, percent, width), "star-links")
+    each = classes.select("cid", "n", F.posexplode("sig").alias("at", "val"))
+    heads = each.groupBy("at", "val").agg(F.min(F.struct("cid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("at", "val", "head")
+    heads, path = write_table(heads, "heads")
+    shared, _ = write_table(each.join(sized(heads, path), ["at", "val"]), "shared")  # hashes that several classes have
+    star = shared.where((F.col("cid") != F.col("head.cid")) & _close(F.col("n"), F.col("head.n"), percent))
+    star = star.groupBy(F.col("head.cid").alias("u"), F.col("cid").alias("v")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 3).select("u", "v")
+    links, _ = write_table(_confirm(star, classes, base, percent, width), "star-links")
     labels = components(links)
 
-    placed = keyed.join(labels, keyed["cid"] == labels["node"], "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("comp"))
-    cross = _cross_pairs(placed, classes, percent, tables, bucket, depth)
+    placed = shared.join(labels, shared["cid"] == labels["node"], "left").select("cid", "at", "val", F.coalesce("label", "cid").alias("comp"))
+    cross = _cross_pairs(_keys(placed, tables), base, percent, width)
     more, _ = write_table(_confirm(cross, classes, base, percent, width), "cross-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
     reached = classes.join(labels, classes["cid"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("label", "cid").alias("component"))
     reached, path = write_table(reached, "reached")
-    linked = rows_of.where(F.col("id").isNotNull()).drop("sig").join(sized(reached, path), ["n", "s1", "s2"], "left")
+    linked = rows_of.where(F.col("id").isNotNull()).select("id", "n", "s1", "s2").join(sized(reached, path), ["n", "s1", "s2"], "left")
     linked = linked.select("id", "n", F.coalesce("component", "id").alias("component"))
     alone = rows_of.where(F.col("id").isNull()).select("id", "n", F.lit(None).cast("long").alias("component"))
     return linked.unionByName(alone).select(
@@ -169,50 +196,81 @@ def _close(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _keys(classes: DataFrame, tables: int) -> DataFrame:
-    """(key, cid, n): the tensored keys of classes that share a hash with another in both collections."""
-    each = classes.select("cid", "n", F.posexplode("sig").alias("at", "val"))
-    shared, path = write_table(each.groupBy("at", "val").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("at", "val"), "shared-hashes")
-    mine = each.join(sized(shared, path), ["at", "val"]).groupBy("cid", "n").agg(F.collect_list(F.struct("at", "val")).alias("hs"))
+def _keys(placed: DataFrame, tables: int) -> DataFrame:
+    """(key, cid, comp): tensored keys of hashes in which components meet, in both collections."""
+    placed, _ = write_table(placed, "placed")
+    meets = placed.groupBy("at", "val").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("at", "val")
+    meets, path = write_table(meets, "meets")
+    mine = placed.join(sized(meets, path), ["at", "val"]).groupBy("cid", "comp").agg(F.collect_list(F.struct("at", "val")).alias("hs"))
     first, second = F.filter("hs", lambda h: h["at"] < tables), F.filter("hs", lambda h: h["at"] >= tables)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["at"], x["val"], y["at"], y["val"]))))
-    return mine.select("cid", "n", F.explode(keys).alias("key"))
-
-
-def _cross_pairs(placed: DataFrame, classes: DataFrame, percent: int, tables: int, bucket: int, depth: int) -> DataFrame:
-    """(u, v): pairs of one bucket that lie in different components."""
-    out = None
-    for level in range(depth + 1):
-        placed, _ = write_table(placed, f"placed-{level}")
-        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "size")
-        mixed, path = write_table(mixed, "mixed")
-        members, _ = write_table(placed.join(sized(mixed, path), "key"), "members")
-        small = members if level == depth else members.where(F.col("size") <= bucket)
-        other = small.select("key", F.col("cid").alias("v"), F.col("n").alias("m"), F.col("comp").alias("there"))
-        pairs = small.join(other, "key").where((F.col("cid") < F.col("v")) & (F.col("comp") != F.col("there")) & _close(F.col("n"), F.col("m"), percent)).select(F.col("cid").alias("u"), "v")
-        out = pairs if out is None else out.unionByName(pairs)
-        large = members.where(F.col("size") > bucket)
-        if level == depth or not large.limit(1).count():
-            break
-        sig = classes.select("cid", F.slice("sig", 1, tables).alias("sig"))
-        placed = large.join(sig, "cid").select("cid", "n", "comp", "key", F.posexplode("sig").alias("at", "val")).select("cid", "n", "comp", F.xxhash64("key", "at", "val").alias("key"))
-    return out
+    return mine.select("cid", "comp", F.explode(keys).alias("key"))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose full sets are similar enough.
+_SLOTS = 1 << 18
+
 
-    Pairs that share fewer than 4 of the 24 hashes go first: at the threshold that has
-    a chance of 1e-7.
+def _prefixes(often: np.ndarray, percent: int):
+    """The rarest shingles of each set, enough that any two similar sets share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column(2)[row].values.to_numpy()
+                length = len(own) - -(-percent * len(own) // 100) + 1
+                rare = own[np.lexsort((own, often[own & (_SLOTS - 1)]))[:length]]
+                whole = [np.full(len(rare), x, np.int64) for x in (batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), len(own))]
+                place = np.arange(1, len(rare) + 1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, whole), pa.array(rare), pa.array(place)], ["cid", "comp", "n", "item", "place"])
+
+    return run
+
+
+def _cross_pairs(keyed: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
+    """(u, v): pairs of different components that may be similar, of classes that meet in a bucket.
+
+    Large groups of texts just below the threshold would give all their pairs, so buckets
+    only tell which classes to compare.  Of these the full sets are made, and two classes
+    are compared if they share one of their rarest shingles (prefix filter): a set that
+    differs too much from all others has rare shingles of its own there and meets nobody.
+    Rarity is counted in a table of fixed size; it orders the shingles and decides nothing else.
     """
-    left = classes.select(F.col("cid").alias("u"), F.col("sig").alias("su"))
-    right = classes.select(F.col("cid").alias("v"), F.col("sig").alias("sv"))
-    same = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda e: e))
-    tried, path = write_table(pairs.distinct().join(left, "u").join(right, "v").where(same >= 4).select("u", "v").distinct(), "tried")
+    keyed, _ = write_table(keyed, "keys")
+    mixed = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    mixed, path = write_table(mixed, "mixed")
+    members, path = write_table(keyed.join(sized(mixed, path), "key").select("cid", "comp").distinct(), "members")
+    sets, _ = write_table(_full_sets(base, members.select("cid"), path, width), "member-sets")
+    counted = sets.select(F.explode("items").alias("item")).groupBy(F.col("item").bitwiseAND(_SLOTS - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    often = np.zeros(_SLOTS, np.int64)
+    counted = counted.toPandas()  # no longer than the table of fixed size
+    often[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    items = sets.join(sized(members, path), "cid").select("cid", "comp", "items").mapInArrow(_prefixes(often, percent), "cid long, comp long, n long, item long, place long")
+    items, _ = write_table(items, "prefixes")
+    other = items.select(F.col("item").alias("there"), F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("place").alias("x_place"))
+    # of n and m shingles, at least need are common; the rarest n - need + 1 and m - need + 1 then share one
+    need = F.ceil((F.col("n") + F.col("x_n")) * percent / (100 + percent))
+    in_both = (F.col("place") <= F.col("n") - need + 1) & (F.col("x_place") <= F.col("x_n") - need + 1)
+    apart = (F.col("cid") < F.col("x")) & (F.col("comp") != F.col("x_comp")) & _close(F.col("n"), F.col("x_n"), percent)
+    pairs = items.join(other, (F.col("item") == F.col("there")) & apart & in_both)
+    return pairs.select(F.col("cid").alias("u"), F.col("x").alias("v")).distinct()
+
+
+def _full_sets(base: DataFrame, wanted: DataFrame, path: str, width: int) -> DataFrame:
+    """(cid, items) of the classes in ``wanted``, a written table."""
+    texts = base.join(sized(wanted, path), base["id"] == wanted["cid"], "left_semi").select("id", "text")
+    return texts.mapInArrow(_sets(width), "cid long, items array<long>")
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs whose full sets are similar enough; those whose sketches differ too much go first."""
+    left = classes.select(F.col("cid").alias("u"), F.col("sketch").alias("a"))
+    right = classes.select(F.col("cid").alias("v"), F.col("sketch").alias("b"))
+    pairs, _ = write_table(pairs.distinct(), "pairs")
+    tried = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_may_link(percent), "u long, v long")
+    tried, path = write_table(tried.distinct(), "tried")
     wanted = tried.select(F.col("u").alias("cid")).union(tried.select("v")).distinct()
     wanted, path = write_table(wanted, "wanted")
-    texts = base.join(sized(wanted, path), base["id"] == wanted["cid"], "left_semi").select("id", "text")
-    sets, _ = write_table(texts.mapInArrow(_sets(width), "cid long, items array<long>"), "sets")
+    sets, _ = write_table(_full_sets(base, wanted, path, width), "sets")
     a, b = sets.select(F.col("cid").alias("u"), F.col("items").alias("a")), sets.select(F.col("cid").alias("v"), F.col("items").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return tried.join(a, "u").join(b, "v").where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v").distinct()
