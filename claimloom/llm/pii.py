@@ -80,7 +80,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 own = "value" if kind == "secret" and m["value"] else 0
                 start, end = m.span(own)
                 canon = canonical(kind, line[start:end])
-                if kind != "phone" or 8 <= len(canon) <= 15:
+                if kind != "phone" or 9 <= len(canon) <= 15:
                     out.append((at + start, at + end, kind, canon))
         at += len(line) + 1
     return out
