@@ -23,8 +23,10 @@ table gives no shard; further columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, sized, write_table
 
 MAGIC = b"FRV1"
+_CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HEAD = struct.Struct("<4sIQQ")
 _CODES = np.arange(256, dtype=np.uint8)
 #: Lengths of the four numbers under each control byte.
@@ -59,7 +62,7 @@ def decode_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
     start = np.cumsum(size, dtype=np.int64) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = np.zeros(count, np.uint32)
-    for j in range(4):
+    for j in range(int(size.max(initial=0))):
         out |= np.where(size > j, raw[np.minimum(start + j, len(raw) - 1)], 0).astype(np.uint32) << np.uint32(8 * j)
     return out
 
@@ -84,29 +87,62 @@ def unpack_shard(payload: bytes) -> list[np.ndarray]:
 
 
 class ChunkEncoder:
-    """Encodes whole texts with a tokenizer whose tokens never span a blank.
+    """Encodes whole texts with a tokenizer that lower-cases and whose tokens never span a blank.
 
-    Texts are cut at spaces, tabs and line ends; the ids of a chunk are kept (at most
-    ``most`` chunks at a time), so a frequent word is encoded once.
+    Texts are cut at ASCII blanks after A-Z are lower-cased, and the ids of a chunk are
+    kept, so a frequent word is encoded once.  Two generations of at most ``most`` chunks
+    are kept; what was not met since the last change of generations goes.  A text that
+    may name a special token is encoded as it stands.
     """
 
-    def __init__(self, tokenizer: str, kind: str, most: int = 300_000):
-        self.tokenizer, self.kind, self.most, self.known = load_tokenizer(tokenizer), kind, most, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned integers of ``kind``."""
+    def __init__(self, tokenizer: str, kind: str, most: int = 450_000):
+        self.tokenizer, self.code, self.most = load_tokenizer(tokenizer), "H" if kind == "<u2" else "I", most
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        # letters of Latin-1, then marks: the pre-tokenizer cuts exactly between the two
+        self.shape = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [x for x in range(256) if x not in printable]
+        self.letter = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(rest)}  # byte-level letters
+
+    def _word(self, key: bytes) -> bytes:
+        """Ids of one lower-case word of Latin-1 letters, as normaliser and pre-tokenizer hand it to the model."""
+        form = key.decode() if key.isascii() else "".join([self.letter[x] for x in key])
+        return array(self.code, [t.id for t in self.model.tokenize(form)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        if len(self.known) + len(chunks) > self.most:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        for chunk in chunks.difference(known):
+            if (ids := old.get(chunk)) is None:
+                if chunk.isalpha():
+                    ids = self._word(chunk)
+                elif m := self.shape(text := chunk.decode()):
+                    word, marks = m.groups()
+                    key, mark = word.lower().encode(), marks.encode()
+                    if (ids := known.get(key) or old.get(key)) is None:
+                        known[key] = ids = self._word(key)
+                    if mark:
+                        if mark not in known:
+                            known[mark] = self._whole(marks)
+                        ids += known[mark]
+                else:
+                    ids = self._whole(text)
+            known[chunk] = ids
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as unsigned integers of ``kind``."""
         out = []
-        for start in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[start : start + 64]]
-            every = {c for chunks in split for c in chunks}
-            new = list(every.difference(self.known))
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(every)
-            for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, self.kind).tobytes()
-            known = self.known
-            out += [b"".join([known[c] for c in chunks]) for chunks in split]
+        for start in range(0, len(texts), 256):
+            split = [t.translate(_CASE).split() if b"<|" not in t else t for t in texts[start : start + 256]]
+            self._learn(set().union(*(chunks for chunks in split if isinstance(chunks, list))))
+            of = self.known.__getitem__
+            out += [b"".join(map(of, x)) if isinstance(x, list) else self._whole(x.decode()) for x in split]
         return out
 
 
@@ -126,28 +162,19 @@ _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 def _tokenize(tokenizer: str, end_id: int, kind: str):
+    """(id, ids, null, null) of each row, and one row (null, null, token, n) of counts per batch."""
     end = np.array([end_id], kind).tobytes()
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer, kind) not in _encoders:
             _encoders[tokenizer, kind] = ChunkEncoder(tokenizer, kind)
         for batch in batches:
-            ids = [x + end for x in _encoders[tokenizer, kind].encode([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
-
-    return run
-
-
-def _count(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
-            if len(own) > len(total):
-                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-            total[: len(own)] += own
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["token", "n"])
+            ids = [x + end for x in _encoders[tokenizer, kind].encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])]
+            total = np.bincount(np.frombuffer(b"".join(ids), kind))
+            there = np.flatnonzero(total)
+            columns = [batch.column(0).to_pylist() + [None], ids + [None], [None] * len(ids) + [there.astype(np.int32)], [None] * len(ids) + [total[there]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "ids", "token", "n"])
 
     return run
 
@@ -187,13 +214,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 1, id_co
     spark = docs.sparkSession
     kind = "<u2" if max(load_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4"
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tokens, tokens_path = write_table(base.mapInArrow(_tokenize(tokenizer, end_id, kind), "id long, ids binary"), "token-ids", "zstd")
-    counted = tokens.select("ids").mapInArrow(_count(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens, tokens_path = write_table(base.mapInArrow(_tokenize(tokenizer, end_id, kind), "id long, ids binary, token array<int>, n array<long>"), "token-ids", "zstd")
+    counted = tokens.where("token IS NOT NULL").select(F.inline(F.arrays_zip("token", "n"))).groupBy("token").agg(F.sum("n").alias("n"))
     by_rank = np.array([r[0] for r in counted.orderBy(F.desc("n"), "token").collect()], np.uint32)  # no longer than the vocabulary
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     first = F.col("id").asc_nulls_first()
-    ordered = tokens.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), first).sortWithinPartitions(first, "ids")
+    ordered = tokens.where("ids IS NOT NULL").select("id", "ids").repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), first).sortWithinPartitions(first, "ids")
     _, path = write_table(ordered.mapInArrow(_shards(rank, kind, shard_tokens), _SHARD), "token-shards", "zstd")
     drop_table(spark, tokens_path)
     return path, by_rank
