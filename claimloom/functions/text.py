@@ -77,9 +77,14 @@ def first_max(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-@pandas_udf("string")
-def nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+def nfkd(col: Column | str) -> Column:
+    """Compatibility decomposition, for which the JVM has no function."""
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+    return run(col)
 
 
 #: Words by which a text gives its language away.
@@ -95,9 +100,9 @@ LANGUAGE_WORDS = {
 
 
 def detect_language(col: Column) -> Column:
-    """The language most of whose frequent words a text has; null if it has none."""
+    """The language with the most frequent words that a text has; null if it has none."""
     words = F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}]+")
-    votes = [F.struct(F.size(F.filter(words, lambda w, ws=ws: w.isin(ws))).alias("n"), F.lit(-k).alias("rank"), F.lit(lang).alias("lang")) for k, (lang, ws) in enumerate((a, b.split()) for a, b in LANGUAGE_WORDS.items())]
+    votes = [F.struct(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in ws]))).alias("n"), F.lit(-k).alias("rank"), F.lit(lang).alias("lang")) for k, (lang, ws) in enumerate((a, b.split()) for a, b in LANGUAGE_WORDS.items())]
     best = F.array_max(F.array(*votes))
     return F.when(best["n"] > 0, best["lang"])
 

@@ -35,9 +35,14 @@ def join_simple(base: Column, ref: Column) -> Column:
     )
 
 
-@pandas_udf("string")
-def join_any(base: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, ref, strict=True)])
+def join_any(base: Column | str, ref: Column | str) -> Column:
+    """Any reference, dotted segments included, by the standard library."""
+
+    @pandas_udf("string")
+    def run(bases: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(bases, refs, strict=True)])
+
+    return run(base, ref)
 
 
 def level_url(url: Column, level: Column) -> Column:
