@@ -2,8 +2,9 @@
 
 For each language a suffix automaton holds labelled text.  A document is cut greedily
 into the longest matches with that text; a match that fails starts the next phrase.
-Each phrase costs log2 of the length of the labelled text, and the language with the
-fewest bits per letter wins.  Phrases do not cross the ends of blocks of 256 symbols, so
+Each phrase costs log2 of the length of the labelled text, for where it is, and log2 of
+the alphabet, for the symbol that ends it; the language with the fewest bits per letter
+wins.  Phrases do not cross the ends of blocks of 256 symbols, so
 that whole texts of any length are parsed side by side with numpy: the automata are
 tables, and one step of all blocks is one lookup.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, sliced
 
 BLOCK = 256
 
@@ -47,7 +48,7 @@ class LanguageParser:
         for lang in self.langs:
             own = self.symbols(texts[lang])[:chars]
             self.moves.append(self._table(own.tolist()))
-            self.bits.append(np.log2(len(own) + 2))
+            self.bits.append(np.log2(len(own) + 2) + np.log2(self.width))
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of non-letters as one."""
@@ -158,7 +159,7 @@ def identify_languages(docs: DataFrame, parser: LanguageParser, *, id_col: str =
     """One row per input row: id, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             langs, scores = parser.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
