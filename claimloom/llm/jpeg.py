@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 UNIT, ACROSS, INTERVAL = 576, 24, 96
 FRAME = 341 * UNIT
 #: Code lengths of the DC sizes 0 to 8; code 0 of one bit is the end of a block.
@@ -387,7 +389,7 @@ def describe_media(media: DataFrame, *, id_col: str = "id", media_col: str = "co
     """One row per input row: id, width, height, images, thumbnail_sha256, average_hash, difference_hash, error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for content in batch.column(1).to_pylist():
                 try:
@@ -409,7 +411,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, n_bytes, media (the stored images of the padded UTF-8 text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for group in _groups([len(t) for t in texts], chunk):
                 media = write_images([pad(texts[i]) for i in group])
@@ -437,7 +439,7 @@ def read_digests(stored: DataFrame, *, id_col: str = "doc_id", chunk: int = 6_00
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sizes, media = (batch.column(k).to_pylist() for k in range(3))
             rows = []
             for group in _groups([len(m) for m in media], chunk):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, sized, write_table
+from .common import drop_table, sized, sliced, write_table
 
 UP, DOWN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _CASE = bytes.maketrans(UP, DOWN)
@@ -92,7 +92,7 @@ def _may_link(percent: int):
     j = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
@@ -105,7 +105,7 @@ def _may_link(percent: int):
 
 def _signatures(tables: int, rows: int, seed: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ns, s1, s2, sigs, sketches = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 own = shingle_set(text, width)
@@ -123,7 +123,7 @@ def _signatures(tables: int, rows: int, seed: int, width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t, width).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "items"])
 
@@ -214,7 +214,7 @@ def _prefixes(often: np.ndarray, percent: int):
     """The rarest shingles of each set, enough that any two similar sets share one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for row in range(batch.num_rows):
                 own = batch.column(2)[row].values.to_numpy()
                 length = len(own) - -(-percent * len(own) // 100) + 1

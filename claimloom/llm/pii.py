@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, write_table
+from .common import sized, sliced, write_table
 
 _LETTER = "abcdefghijklmnopqrstuvwxyz"
 #: Titles, and the gender they tell.
@@ -250,7 +250,7 @@ def replace(text: str, key: bytes, again: dict[tuple[str, str], int] | None = No
 
 def _entities(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = sorted({(k, c) for t in batch.column(0).to_pylist() if t for _, _, k, c in find(t)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], ["kind", "canon"])
 
@@ -259,7 +259,7 @@ def _entities(key: bytes):
 
 def _drawn(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             new = [surrogate(k, c, key, a) for k, c, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "canon", "attempt", "new"])
 
@@ -302,7 +302,7 @@ def pseudonymize(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
         rows = keyed.join(sized(mine, path), "th", "left").select("id", "text", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, spans = [], []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 new, places = (None, []) if text is None else replace(text, key, {(e["kind"], e["canon"]): e["attempt"] for e in own or ()})
@@ -315,6 +315,6 @@ def pseudonymize(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [(th, k, c) for th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for _, _, k, c in find(t)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["th", "kind", "canon"])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, sized, write_table
+from .common import drop_table, sized, sliced, write_table
 
 MAGIC = b"FRV1"
 _CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -53,8 +53,9 @@ def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(numbers)] = size - 1
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    widest = int(size.max(initial=1))
+    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :widest]
+    return control.tobytes(), raw[np.arange(widest) < size[:, None]].tobytes()
 
 
 def decode_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -95,7 +96,7 @@ class ChunkEncoder:
     may name a special token is encoded as it stands.
     """
 
-    def __init__(self, tokenizer: str, kind: str, most: int = 450_000):
+    def __init__(self, tokenizer: str, kind: str, most: int = 300_000):
         self.tokenizer, self.code, self.most = load_tokenizer(tokenizer), "H" if kind == "<u2" else "I", most
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -169,7 +170,7 @@ def _tokenize(tokenizer: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer, kind) not in _encoders:
             _encoders[tokenizer, kind] = ChunkEncoder(tokenizer, kind)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [x + end for x in _encoders[tokenizer, kind].encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])]
             total = np.bincount(np.frombuffer(b"".join(ids), kind))
             there = np.flatnonzero(total)
@@ -192,7 +193,7 @@ def _shards(rank: np.ndarray, kind: str, most: int):
                 ["part", "shard", "tokens", "ids", "payload"],
             )
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append(rank[np.frombuffer(tokens, kind)])
                 ids.append(doc)
@@ -235,7 +236,7 @@ def read_token_files(spark: SparkSession, path: str, by_rank: np.ndarray, per_do
     name, kind = schema.split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for part, shard, ids, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 documents = [by_rank[x] for x in unpack_shard(payload)]
                 n = np.array([len(x) for x in documents], np.int64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, fresh, labelled_sample, sized, write_table
+from .common import drop_table, fresh, labelled_sample, sized, sliced, write_table
 
 _WORD = re.compile(r"[^\W\d_]+")
 _HEADS = (6, 5, 4)
@@ -80,7 +80,7 @@ class ToxicityModel:
 
     def word_scores(self, text: str) -> np.ndarray:
         words = tokens(text)
-        if len(self._seen) > 400_000:
+        if len(self._seen) > 150_000:
             self._seen.clear()
         seen = self._seen
         for w in set(words).difference(seen):
@@ -106,7 +106,7 @@ class ToxicityModel:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         both = Counter(), Counter()
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(tokens(text or ""))
@@ -131,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mo
     bare = ToxicityModel(weights, drift, 1.0, 0.0, (0.0, 0.0))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for text in batch.column(0).to_pylist():
                 scores = bare.word_scores(text or "")
@@ -179,7 +179,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = model.curve
-        for batch in batches:
+        for batch in sliced(batches):
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
                 words = model.word_scores(text or "")
