@@ -87,26 +87,50 @@ def unpack_shard(payload: bytes) -> list[np.ndarray]:
     return np.split(numbers, np.cumsum(counts, dtype=np.int64)[:-1]) if docs else []
 
 
-class ChunkEncoder:
+class ChunkEncoder(dict):
     """Encodes whole texts with a tokenizer that lower-cases and whose tokens never span a blank.
 
-    Texts are cut at ASCII blanks after A-Z are lower-cased, and the ids of a chunk are
-    kept, so a frequent word is encoded once.  Two generations of at most ``most`` chunks
-    are kept; what was not met since the last change of generations goes.  A text that
-    may name a special token is encoded as it stands.
+    Texts are cut at ASCII blanks after A-Z are lower-cased.  This maps a chunk to its
+    ids, so a frequent word is encoded once, and finds what is missing as it is asked
+    for.  Two generations of at most ``most`` chunks are kept; what was not met since the
+    last change of generations goes.  A text that may name a special token is encoded as
+    it stands.
     """
 
+    #: A pre-tokenizer cuts exactly between a word and these; an apostrophe may belong to either.
+    MARKS = bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27)
+
     def __init__(self, tokenizer: str, kind: str, most: int = 300_000):
+        super().__init__()
         self.tokenizer, self.code, self.most = load_tokenizer(tokenizer), "H" if kind == "<u2" else "I", most
-        self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
-        # letters of Latin-1, then marks: the pre-tokenizer cuts exactly between the two
-        self.shape = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [x for x in range(256) if x not in printable]
         self.letter = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(rest)}  # byte-level letters
 
+    def __missing__(self, chunk: bytes) -> bytes:
+        if (ids := self.old.get(chunk)) is None:
+            ids = self._find(chunk)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+    def _find(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(self.MARKS)
+        if word.isalpha():
+            lower = word
+        elif word and not word.isascii() and self.latin(text := word.decode()):
+            lower = text.lower().encode()
+        else:
+            return self._whole(chunk.decode())
+        if lower == chunk:
+            return self._word(chunk)
+        return self[lower] + (self[chunk[len(word) :]] if len(word) < len(chunk) else b"")
+
     def _word(self, key: bytes) -> bytes:
         """Ids of one lower-case word of Latin-1 letters, as normaliser and pre-tokenizer hand it to the model."""
         form = key.decode() if key.isascii() else "".join([self.letter[x] for x in key])
@@ -115,36 +139,10 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > self.most:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        for chunk in chunks.difference(known):
-            if (ids := old.get(chunk)) is None:
-                if chunk.isalpha():
-                    ids = self._word(chunk)
-                elif m := self.shape(text := chunk.decode()):
-                    word, marks = m.groups()
-                    key, mark = word.lower().encode(), marks.encode()
-                    if (ids := known.get(key) or old.get(key)) is None:
-                        known[key] = ids = self._word(key)
-                    if mark:
-                        if mark not in known:
-                            known[mark] = self._whole(marks)
-                        ids += known[mark]
-                else:
-                    ids = self._whole(text)
-            known[chunk] = ids
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as unsigned integers of ``kind``."""
-        out = []
-        for start in range(0, len(texts), 256):
-            split = [t.translate(_CASE).split() if b"<|" not in t else t for t in texts[start : start + 256]]
-            self._learn(set().union(*(chunks for chunks in split if isinstance(chunks, list))))
-            of = self.known.__getitem__
-            out += [b"".join(map(of, x)) if isinstance(x, list) else self._whole(x.decode()) for x in split]
-        return out
+        of = self.__getitem__
+        return [b"".join(map(of, t.translate(_CASE).split())) if b"<|" not in t else self._whole(t.decode()) for t in texts]
 
 
 def load_tokenizer(name: str):
