@@ -19,6 +19,7 @@ table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import remainder, sliced
 
 BLOCK = 256
+#: A symbol is a byte: so many letters are told apart, the most frequent of the labelled text; the rest share one symbol.
+LETTERS = 250
 
 
 class LanguageParser:
@@ -36,8 +39,9 @@ class LanguageParser:
 
     def __init__(self, texts: dict[str, str], shares: dict[str, int], chars: int):
         self.langs = sorted(texts, key=lambda k: (-shares.get(k, 0), k))
-        letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})[:250]
-        # 0: anything but a letter, 1: a letter that no language has, 2: padding
+        seen = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
+        letters = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS])
+        # 0: anything but a letter, 1: any other letter, 2: padding
         self.width = len(letters) + 3
         self.symbol = np.zeros(0x110000, np.uint8)
         known = {c: i + 3 for i, c in enumerate(letters)}
