@@ -296,6 +296,16 @@ def test_token_files(spark, odd, make):
         at += len(ids)
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_chunks_as_the_tokenizer(most):
+    """Ids of chunks, joined, are the ids of the whole text, also when few chunks are kept."""
+    pytest.importorskip("public_tokenizers")
+    encoder = token_store.ChunkEncoder("word_bpe_49k.json", "<u2", most)
+    texts = ["it's! don't,, l'\u00e9t\u00e9. \u00c9t\u00e9, \u00c0B;c x\u2014y a.b a'. 'a '' \x0b\x0c\x1c z q", "\u0130X \u1e9e \u00df, \u00ff\u0178 \u0229\u0301,", "a_b,__ 12,3. <b>|", "<|endoftext|> x", "", " ", "\u00c9. \u00c9 ... \u00aa \u00ba, \u00b5 \u00d7a", "one two one, two. one two three"]
+    for text in texts * 2:
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_numbers():
     n = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1, 7, 3], np.uint32)
     assert (token_store.decode_numbers(*token_store.encode_numbers(n), len(n)) == n).all() and len(token_store.decode_numbers(b"", b"", 0)) == 0
