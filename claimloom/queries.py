@@ -264,6 +264,22 @@ def jaccard_best_match(spark, d):
     return classify.best_match(*_match_inputs(spark, d), "doc_id", "text", "item_id", "text", "item_id", 0.05)
 
 
+# The three above read the first 256 characters, as their SQL says; these read the whole texts.
+@_register(SQL["jaccard_cross"].replace("left(text, 256)", "text"))
+def jaccard_cross_whole(spark, d):
+    return classify.all_scores(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", "item_id")
+
+
+@_register(SQL["jaccard_inverted"].replace("left(text, 256)", "text"))
+def jaccard_inverted_whole(spark, d):
+    return classify.scores(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", "item_id")
+
+
+@_register(SQL["jaccard_best_match"].replace("left(text, 256)", "text"))
+def jaccard_best_match_whole(spark, d):
+    return classify.best_match(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", "item_id", 0.05)
+
+
 _NAMES = "[" + ", ".join(f"'{x}'" for x in classify.CLASS_LABELS) + "]"
 
 
@@ -400,7 +416,7 @@ def ntriples_roundtrip(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents matched to labels, made triples, counted per predicate."""
-    texts, labels = _match_inputs(spark, d)
+    texts, labels = _t(spark, d, "documents"), _t(spark, d, "benchmark")
     best = classify.best_match(texts, labels, "doc_id", "text", "item_id", "text", "item_id", 0.05)
     rows = _docs_as_articles(spark, d).drop("category")
     found = best.select(F.concat(F.lit("http://d/"), F.col("key").cast("string")).alias("_url"), "category")
