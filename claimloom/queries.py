@@ -198,6 +198,11 @@ def keywords_explode(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 80), " ", -1)).alias("keyword"))
 
 
+@_register(SQL["keywords_explode"].replace("left(text, 80)", "text"))
+def keywords_explode_whole(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("keyword"))
+
+
 @_register("SELECT DISTINCT 'u' || p_partkey || '/' || lv AS url, 'level' AS kind, 'en' AS lang FROM part, unnest(['basic', 'advanced']) AS t(lv)")
 def nested_levels_explode(spark, d):
     p = _t(spark, d, "part")

@@ -44,3 +44,8 @@ def test_flagship_matches_whole_texts(spark, tables, monkeypatch):
     monkeypatch.setattr(queries.triples, "article_triples", lambda rows, config: seen.append(rows) or real(rows, config))
     assert queries.flagship(spark, tables).count()
     assert {r["url"][-1]: r["category"] for r in seen[0].select("url", "category").collect()} == {"1": "1", "2": "2", "3": "0", "4": "0", "5": "1"}
+
+
+def test_keywords_of_whole_texts(spark, tables):
+    got = sorted((r["doc_id"], r["keyword"]) for r in queries.Q["keywords_explode_whole"](spark, tables).collect())
+    assert got == sorted((i, w) for i, t in DOCS if t is not None for w in t.split(" "))
