@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sized, write_table
+from .common import drop_table, fresh, sized, write_table
 
 NONE = "\0null"
 
@@ -132,8 +132,8 @@ def _rates(cells: DataFrame, dims, wanted, damping: float, keep: float) -> DataF
     return cells.sparkSession.createDataFrame(data, "source string, lang string, topic string, weight double, probability double")
 
 
-def _rates_table(cells: DataFrame, dims, wanted, damping: float, keep: float, sweeps: int = 12) -> DataFrame:
-    """The same with the cells as a table: one written table a sweep, the budget by halving."""
+def _rates_table(cells: DataFrame, dims, wanted, damping: float, keep: float, sweeps: int = 200, close: float = 1e-9) -> DataFrame:
+    """The same with the cells as a table: one written table a sweep, the budget by halving; sweeps and end as in ``rake``."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     state = cells.withColumn("weight", F.col("tokens") / max(total, 1.0))
     goals = []
@@ -143,15 +143,28 @@ def _rates_table(cells: DataFrame, dims, wanted, damping: float, keep: float, sw
         if wanted[d] is not None:
             given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in wanted[d].items()] or [(NONE, 0.0)], "given string, value double")
             share, goal = share.join(given, share[d] == given["given"], "left"), F.coalesce("value", F.lit(0.0))
-        share = share.where(F.col("goal") > 0).select(d, goal.alias("goal"))
-        goals.append(write_table(share, "goals")[0])
+        share = share.where(F.col("goal") > 0).select(d, F.greatest(goal, F.lit(0.0)).alias("goal"))
+        share, _ = write_table(share, "goals")
+        if not share.agg(F.sum("goal")).first()[0]:  # no target for any group that is there: all are alike
+            share = share.withColumn("goal", F.lit(1.0))
+        goals.append(share)
+    path = None
     for _ in range(sweeps):
+        state = state.withColumn("before", F.col("weight"))
         for d, goal in zip(dims, goals, strict=True):
             now = state.groupBy(d).agg(F.sum("weight").alias("now"))
-            state = state.join(goal.join(now, d), d, "left").withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col("goal"), F.col("now")), F.lit(0.0))).select(*dims, "tokens", "weight")
-        state, _ = write_table(state, "raked")
-    mass = float(state.agg(F.sum("weight")).first()[0] or 1.0)
-    state = state.withColumn("weight", F.col("weight") / mass).withColumn("rate", F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0)))
+            state = state.join(goal.join(now, d), d, "left").withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col("goal"), F.col("now")), F.lit(0.0))).select(*dims, "tokens", "before", "weight")
+        swept, swept_path = write_table(state, "raked")
+        mass = float(swept.agg(F.sum("weight")).first()[0] or 1.0)
+        swept = swept.withColumn("weight", F.col("weight") / mass)
+        moved = swept.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
+        state = swept.select(*dims, "tokens", "weight")
+        if path:
+            drop_table(cells.sparkSession, path)
+        path = swept_path
+        if (moved or 0.0) < close:
+            break
+    state = state.withColumn("rate", F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0)))
     low, high = 0.0, max(total, 1.0) * 1e6
     for _ in range(60):
         middle = (low * high) ** 0.5 if low else high / 1e4
