@@ -115,7 +115,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         graph = rdf.read_rdf(spark, args.rdf, args.rdf_format)
         prefixes = {"": config.namespace} | config.prefixes
         if args.command == "query":
-            sparql(graph, args.text, prefixes).show(100, truncate=False)
+            found = sparql(graph, args.text, prefixes).persist()
+            found.show(found.count(), truncate=False)
         else:
             from .serve import server
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import shutil
+import tempfile
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -14,27 +17,36 @@ from .plans.sparql import Compiler, bindings
 from .sources.rdf import ntriples
 
 
-def answer(triples: DataFrame, text: str, prefixes: dict[str, str], most: int = 10_000) -> tuple[str, str]:
-    """(content type, body) of a query; a SELECT without a limit of its own sends ``most`` rows at most."""
+def parts(triples: DataFrame, text: str, prefixes: dict[str, str]) -> tuple[str, Iterator[str]]:
+    """(content type, the body in parts) of a query; the rows come a partition at a time, all of them."""
     q = parse(text, prefixes)
     if q.form == "SELECT":
         found = bindings(triples, text, prefixes)
-        rows = found.frame.limit(most).collect()
-        out = []
-        for r in rows:
-            row = {}
-            for n in found.names:
-                t = r[n]
-                if t is not None:
-                    cell = {"type": {"iri": "uri", "bnode": "bnode"}.get(t["kind"], "literal"), "value": t["v"]}
-                    cell |= {"xml:lang": t["lang"]} if t["lang"] else {"datatype": t["dt"]} if t["dt"] else {}
-                    row[n] = cell
-            out.append(row)
-        return "application/sparql-results+json", json.dumps({"head": {"vars": found.names}, "results": {"bindings": out}})
+        return "application/sparql-results+json", _results(found.names, found.frame)
     frame = Compiler(triples).run(q)
     if q.form == "ASK":
-        return "application/sparql-results+json", json.dumps({"head": {}, "boolean": bool(frame.first()[0])})
-    return "application/n-triples", "\n".join(r[0] for r in ntriples(frame).limit(most).collect()) + "\n"
+        return "application/sparql-results+json", iter([json.dumps({"head": {}, "boolean": bool(frame.first()[0])})])
+    return "application/n-triples", (r[0] + "\n" for r in ntriples(frame).toLocalIterator())
+
+
+def _results(names: list[str], frame: DataFrame) -> Iterator[str]:
+    yield f'{{"head": {json.dumps({"vars": names})}, "results": {{"bindings": ['
+    for k, r in enumerate(frame.toLocalIterator()):
+        row = {}
+        for n in names:
+            t = r[n]
+            if t is not None:
+                cell = {"type": {"iri": "uri", "bnode": "bnode"}.get(t["kind"], "literal"), "value": t["v"]}
+                cell |= {"xml:lang": t["lang"]} if t["lang"] else {"datatype": t["dt"]} if t["dt"] else {}
+                row[n] = cell
+        yield (", " if k else "") + json.dumps(row)
+    yield "]}}"
+
+
+def answer(triples: DataFrame, text: str, prefixes: dict[str, str]) -> tuple[str, str]:
+    """(content type, body) of a query, with all its rows."""
+    kind, body = parts(triples, text, prefixes)
+    return kind, "".join(body)
 
 
 def server(triples: DataFrame, config: Config, host: str = "127.0.0.1", port: int = 8000, title: str = "Claim graph", example: str = "") -> ThreadingHTTPServer:
@@ -42,12 +54,15 @@ def server(triples: DataFrame, config: Config, host: str = "127.0.0.1", port: in
     example = example or "SELECT DISTINCT ?type WHERE { ?s a ?type } LIMIT 10"
 
     class Handler(BaseHTTPRequestHandler):
-        def _send(self, code: int, kind: str, body: str) -> None:
-            data = body.encode()
+        def _head(self, code: int, kind: str, size: int) -> None:
             self.send_response(code)
-            for k, v in (("Content-Type", f"{kind}; charset=utf-8"), ("Content-Length", str(len(data))), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Headers", "*")):
+            for k, v in (("Content-Type", f"{kind}; charset=utf-8"), ("Content-Length", str(size)), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Headers", "*")):
                 self.send_header(k, v)
             self.end_headers()
+
+        def _send(self, code: int, kind: str, body: str) -> None:
+            data = body.encode()
+            self._head(code, kind, len(data))
             self.wfile.write(data)
 
         def _run(self, text: str | None) -> None:
@@ -55,7 +70,13 @@ def server(triples: DataFrame, config: Config, host: str = "127.0.0.1", port: in
                 self._send(200, "application/json", json.dumps({"title": title, "example": example, "prefixes": prefixes}))
                 return
             try:
-                self._send(200, *answer(triples, text, prefixes))
+                kind, body = parts(triples, text, prefixes)
+                with tempfile.TemporaryFile() as f:  # whole before it is sent, and not in memory
+                    for part in body:
+                        f.write(part.encode())
+                    self._head(200, kind, f.tell())
+                    f.seek(0)
+                    shutil.copyfileobj(f, self.wfile)
             except ValueError as e:
                 self._send(400, "text/plain", str(e))
 
