@@ -1,25 +1,38 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format.
 
-E-mail and IP addresses, phone, card, account and social security numbers, secrets and
-names behind a title are found by pattern.  Each gets a surrogate that depends on the
-key and its canonical form only, so mentions of one entity stay mentions of one entity
-throughout the corpus.  Numbers, addresses and secrets pass through a keyed permutation
-of all strings of their format (a Feistel network over mixed digits and letters), which
-keeps different entities different; check digits are made anew.  Names are drawn from
-lists of the same script and gender.
+E-mail and IP addresses, phone, card, account and social security numbers, secrets (key
+blocks and web tokens among them) and names are found by pattern.  Each gets a surrogate
+that depends on the key and its canonical form only, so mentions of one entity stay
+mentions of one entity throughout the corpus.  Numbers, addresses and secrets pass through
+a keyed permutation of all strings of their format (a Feistel network over mixed digits and
+letters), which keeps different entities different; check digits are made anew.  A secret
+whose format has next to no room, such as a row of stars, becomes a keyed token of its
+length.  Names are drawn from lists of the same script and gender.
+
+A person is known by a title (``Mr John Smith``).  Within that text every capitalised
+mention of a word of the name is replaced, with a title or without; in all other texts of
+the corpus the whole name is, and with it the text's further mentions of its words.  A
+single word after a title is the given name of a person of that text, if it is one's, else
+a family name.  Where titles of one whole name disagree on the gender, ``m`` goes before
+``f``; without any, the given name decides (lists, then its last letter).
 
 Collisions are checked over the whole corpus: entities whose surrogates meet, or whose
-surrogate is another entity's original, are drawn again until none is left.
-
-Defined cases: a null text stays null and has no entity; an empty text stays empty;
-repeated rows are each answered alike; an empty table gives an empty result; further
-columns of the input are ignored.
+surrogate is another entity's original, are drawn again until none is left; secrets get
+longer when their format is full.  Where a format of fixed length is full, so that drawing
+again frees nothing, ``settle`` raises an error.
+
+Defined cases: a null text stays null and has no entity; an empty text stays empty; texts
+of any length are read whole, in time in proportion to their length; repeated rows are each
+answered alike, and a null id like any other; overlapping finds go to the leftmost; an empty
+table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, sliced, write_table
+from .common import drop_table, sized, sliced, write_table
 
 _LETTER = "abcdefghijklmnopqrstuvwxyz"
 #: Titles, and the gender they tell.
@@ -45,37 +58,59 @@ _FAMILY = {
     "CYRILLIC": "Азаров Белов Волков Громов Дубов Ершов Зорин Исаев Котов Лапин Морозов Носков Орлов Панин Рябов Соколов Титов Ушаков".split(),
 }
 _FIND = re.compile(
-    r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
+    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
     |(?P<secret>(?<=AKIA)[0-9A-Z]{16}\b
+       |\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}
        |(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}["']?(?P<value>[^\s"']{4,})
        |\b[0-9a-f]{32,128}\b)
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
     |(?P<ssn>\b\d{3}-\d{2}-\d{4}\b)
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))
+    |(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]))
     |(?P<card>(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-]))
     |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]?\d{2,5}(?:[ .-]?\d{1,4})?(?!\w)|\+\d{8,15}\b)
     |(?P<name>\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|г-н|г-жа)\b\.?[ ](?P<who>[^\W\d_]+(?:[ -][^\W\d_]+){0,2}))""",
     re.VERBOSE,
 )
-_MAY = re.compile(r"[0-9@]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|г-н|г-жа)\b|(?i:passw|pwd|secret|token|key)")
+_MAY = re.compile(r"[0-9@]|eyJ|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|г-н|г-жа)\b|(?i:passw|pwd|secret|token|key)")
+_BLOCK = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----\s*(?P<value>[^-]+)-----END \1-----")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: A secret of a format with fewer strings than this gets a token instead of another string of that format.
+_ROOM = 10_000
+_PIECE = 256
 
 
 def script(word: str) -> str:
     return unicodedata.name(word[0], "LATIN").split(" ")[0]
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
+def find(text: str, people: dict[str, str] | None = None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of each entity, from left to right.
 
-    A name gives one entity per word, so a family name alone is still the same family name.
+    ``people`` are whole names, case-folded, known from elsewhere, and their genders.  A
+    name gives one entity per word, so a family name alone is still the same family name.
     """
-    out, at = [], 0
+    out, titled = _by_pattern(text)
+    if not titled and not people:
+        return out
+    return sorted(out + _names(text, out, titled, people or {}))
+
+
+def _by_pattern(text: str) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, str, list[str]]]]:
+    """(entities but names, titled names as (place, gender, words))."""
+    out, titled, at = [], [], 0
+    blocks = [(m.start("value"), m.end("value")) for m in _BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    out += [(a, b, "secret", text[a:b]) for a, b in blocks]
     for line in text.split("\n"):
         if _MAY.search(line):
             for m in _FIND.finditer(line):
-                kind = m.lastgroup if m.lastgroup in ("email", "iban", "ssn", "ip", "card", "phone") else "name" if m["name"] else "secret"
+                if any(a < at + m.end() and at + m.start() < b for a, b in blocks):
+                    continue
+                kind = m.lastgroup if m.lastgroup in ("email", "iban", "ssn", "ip", "ip6", "card", "phone") else "name" if m["name"] else "secret"
                 if kind == "name":
-                    out += _names(m, at)
+                    words = list(itertools.takewhile(lambda w: w[0].isupper(), _LETTERS.findall(m["who"])))
+                    if words:
+                        titled.append((at + m.start("who"), _TITLES.get(m["name"].split(" ")[0].rstrip("."), ""), words))
                     continue
                 own = "value" if kind == "secret" and m["value"] else 0
                 start, end = m.span(own)
@@ -83,19 +118,53 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 if kind != "phone" or 9 <= len(canon) <= 15:
                     out.append((at + start, at + end, kind, canon))
         at += len(line) + 1
+    return sorted(out), titled
+
+
+def _full(words: list[str]) -> str:
+    return " ".join(w.casefold() for w in words)
+
+
+def _names(text: str, taken: list[tuple[int, int, str, str]], titled, people: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """Mentions of the words of all persons that the text names, outside of other entities."""
+    words = [w for w in _LETTERS.finditer(text) if w[0][0].isupper()]
+    persons: dict[str, str] = {}
+    for _, gender, own in titled:
+        if len(own) > 1:
+            persons[_full(own)] = max(persons.get(_full(own), ""), gender)
+    for k in range(len(words)):  # whole names known from elsewhere
+        for n in (2, 3):
+            if people and k + n <= len(words) and _next_to(text, words[k : k + n]) and (name := _full([w[0] for w in words[k : k + n]])) in people:
+                persons[name] = max(persons.get(name, ""), people[name])
+    known: dict[str, str] = {}
+    for name in sorted(persons):
+        *given, family = name.split(" ")
+        for w in given:
+            known[w] = f"given:{script(w)}:{persons[name] or _gender(given[0])}"
+        known.setdefault(family, f"family:{script(family)}")
+    for _, _, own in titled:
+        if len(own) == 1:
+            known.setdefault(own[0].casefold(), f"family:{script(own[0])}")
+    out, k = [], 0
+    for w in words:
+        kind = known.get(w[0].casefold())
+        if kind is None:
+            continue
+        while k < len(taken) and taken[k][1] <= w.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= w.end():
+            out.append((w.start(), w.end(), kind, w[0].casefold()))
     return out
 
 
-def _names(m: re.Match, at: int) -> list[tuple[int, int, str, str]]:
-    gender = _TITLES.get(m["name"].split(" ")[0].rstrip("."), "")
-    words = [w for w in re.finditer(r"[^\W\d_]+", m["who"])]
-    last = next((k for k, w in enumerate(words) if not w[0][0].isupper()), len(words))
-    out = []
-    for k, w in enumerate(words[:last]):
-        family = k == last - 1
-        kind = f"family:{script(w[0])}" if family else f"given:{script(w[0])}:{gender or _gender(w[0])}"
-        out.append((at + m.start("who") + w.start(), at + m.start("who") + w.end(), kind, w[0].casefold()))
-    return out
+def _next_to(text: str, words: list[re.Match]) -> bool:
+    return all(b.start() - a.end() == 1 and text[a.end()] in " -" for a, b in itertools.pairwise(words))
+
+
+def full_names(text: str) -> set[str]:
+    """Neighbouring capitalised words, two or three, that may be a person's whole name."""
+    words = [w for w in _LETTERS.finditer(text) if w[0][0].isupper()]
+    return {_full([w[0] for w in words[k : k + n]]) for k in range(len(words)) for n in (2, 3) if k + n <= len(words) and _next_to(text, words[k : k + n])}
 
 
 def _gender(given: str) -> str:
@@ -107,11 +176,13 @@ def canonical(kind: str, form: str) -> str:
         return re.sub(r"\D", "", form)
     if kind == "iban":
         return form.replace(" ", "")
-    return form.lower() if kind == "email" else form
+    return form.lower() if kind in ("email", "ip6") else form
 
 
-def _number(key: bytes, *parts: object) -> int:
-    return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha512).digest(), "big")
+def _number(key: bytes, *parts: object, bits: int = 448) -> int:
+    """A keyed number, of at least so many bits and 64 more."""
+    seed = hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha512).digest()
+    return int.from_bytes(seed if bits <= 448 else hashlib.shake_256(seed).digest(bits // 8 + 9), "big")
 
 
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
@@ -121,22 +192,29 @@ def permute(x: int, n: int, key: bytes, tweak: str) -> int:
     a = int(n**0.5) if n < 1 << 50 else 1 << (n.bit_length() // 2)
     a = max(a, 2)
     b = -(-n // a)
+    bits = max(a, b).bit_length()
     while True:
         left, right = divmod(x, b)
         for r in range(0, 10, 2):
-            left = (left + _number(key, tweak, r, right)) % a
-            right = (right + _number(key, tweak, r + 1, left)) % b
+            left = (left + _number(key, tweak, r, right, bits=bits)) % a
+            right = (right + _number(key, tweak, r + 1, left, bits=bits)) % b
         x = left * b + right
         if x < n:
             return x
 
 
-def _alphabets(form: str, secret: bool) -> list[str]:
+@functools.lru_cache(4096)
+def _like(c: str) -> str:
+    """The letters of the same script, case and neighbourhood of 64 codes as a letter that is not ASCII; all of them give the same."""
+    start, kind, scr = ord(c) & ~63, unicodedata.category(c), script(c)
+    return "".join(d for d in map(chr, range(start, start + 64)) if unicodedata.category(d) == kind and script(d) == scr)
+
+
+def _alphabets(form: str, hexadecimal: bool) -> list[str]:
     """The characters that may stand at each place; one that stays is its own alphabet."""
-    hexadecimal = secret and re.fullmatch(r"[0-9a-f]{8,}", form) is not None
     out = []
     for c in form:
-        if hexadecimal:
+        if hexadecimal and c in "0123456789abcdef":
             out.append("0123456789abcdef")
         elif c in "0123456789":
             out.append("0123456789")
@@ -145,12 +223,20 @@ def _alphabets(form: str, secret: bool) -> list[str]:
         elif c in _LETTER.upper():
             out.append(_LETTER.upper())
         else:
-            out.append(c)
+            out.append(_like(c) if c.isalpha() and not c.isascii() else c)
     return out
 
 
-def _same_form(form: str, key: bytes, tweak: str) -> str:
-    sets = _alphabets(form, tweak.startswith("secret|"))
+def _same_form(form: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
+    """Another string of the format; long ones go piece by piece, each under what stands before it."""
+    if len(form) > _PIECE:
+        pieces = [form[i : i + _PIECE] for i in range(0, len(form), _PIECE)]
+        before, out = hashlib.sha256(), []
+        for piece in pieces:
+            out.append(_same_form(piece, key, f"{tweak}|{before.hexdigest()}", hexadecimal))
+            before.update(piece.encode("utf-8", "surrogatepass"))
+        return "".join(out)
+    sets = _alphabets(form, hexadecimal)
     shape = "".join(s[0] if len(s) > 1 else s for s in sets)
     x, n = 0, 1
     for c, s in zip(form, sets, strict=True):
@@ -163,6 +249,29 @@ def _same_form(form: str, key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def _token(form: str, key: bytes, tweak: str, least: int = 8) -> str:
+    """Keyed small letters and digits, as many as the form has characters."""
+    size = max(least, len(form))
+    x, out = _number(key, tweak, form, bits=6 * size), []
+    for _ in range(size):
+        x, d = divmod(x, 36)
+        out.append("0123456789abcdefghijklmnopqrstuvwxyz"[d])
+    return "".join(out)
+
+
+def _secret(form: str, key: bytes, attempt: int) -> str:
+    hexadecimal = re.fullmatch(r"[0-9a-f]{8,}", form) is not None
+    room = 1
+    for s in _alphabets(form, hexadecimal):
+        room *= len(s)
+        if room >= _ROOM:
+            break
+    if room < _ROOM:
+        return _token(form, key, f"token|{attempt}")
+    new = _same_form(form, key, f"secret|{attempt}", hexadecimal)
+    return new + _token("", key, f"more|{attempt}|{form}", attempt - 2) if attempt > 2 else new
+
+
 def luhn(digits: str) -> int:
     """The check digit after ``digits``."""
     total = sum(sum(divmod(int(d) * (2 if k % 2 == 0 else 1), 10)) for k, d in enumerate(reversed(digits)))
@@ -175,6 +284,8 @@ def _iban_check(country: str, rest: str) -> str:
 
 def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form of the surrogate."""
+    if kind == "secret":
+        return _secret(canon, key, attempt)
     tweak = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = canon.partition("@")
@@ -183,6 +294,8 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ip":
         x = permute(int.from_bytes(bytes(map(int, canon.split("."))), "big"), 1 << 32, key, tweak)
         return ".".join(map(str, x.to_bytes(4, "big")))
+    if kind == "ip6":
+        return _same_form(canon, key, tweak, hexadecimal=True)
     if kind == "phone":
         fixed = max(0, len(canon) - 10)
         return canon[:fixed] + _same_form(canon[fixed:], key, tweak)
@@ -196,12 +309,21 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind.startswith(("given:", "family:")):
         part, scr, *gender = kind.split(":")
         pool = _GIVEN.get((scr, gender[0])) if gender else _FAMILY.get(scr)
-        if pool and attempt < 3:
+        if pool and attempt < 1:
             return pool[_number(key, kind, canon, attempt) % len(pool)].casefold()
         return _new_word(canon, scr, _number(key, kind, canon, attempt), 3 + attempt // 6)
     return _same_form(canon, key, tweak)
 
 
+def draw(kind: str, canon: str, key: bytes, attempt: int = 0) -> tuple[int, str]:
+    """(attempt, surrogate): the first from ``attempt`` on that is not the original itself."""
+    while (new := surrogate(kind, canon, key, attempt)) == canon:
+        attempt += 1
+        if attempt > 200:
+            raise ValueError(f"no other string has the format of this {kind}")
+    return attempt, new
+
+
 def _new_word(canon: str, scr: str, seed: int, syllables: int) -> str:
     """A word in the letters of the script, for when its list of names is used up."""
     if scr == "LATIN":
@@ -230,16 +352,18 @@ def render(kind: str, form: str, new: str) -> str:
         return "".join(next(left) if c.isalnum() else c for c in form)
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(form, new, strict=True))
+    if kind == "ip6":
+        return new.upper() if any(c.isupper() for c in form) else new
     if kind.startswith(("given:", "family:")):
         return new.upper() if form.isupper() and len(form) > 1 else new.capitalize() if form[0].isupper() else new
     return new
 
 
-def replace(text: str, key: bytes, again: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+def replace(text: str, key: bytes, again: dict[tuple[str, str], int] | None = None, people: dict[str, str] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with surrogates, their places in it and types)."""
     parts, spans, at, size = [], [], 0, 0
-    for start, end, kind, canon in find(text):
-        new = render(kind, text[start:end], surrogate(kind, canon, key, (again or {}).get((kind, canon), 0)))
+    for start, end, kind, canon in find(text, people):
+        new = render(kind, text[start:end], draw(kind, canon, key, (again or {}).get((kind, canon), 0))[1])
         parts += [text[at:start], new]
         size += start - at
         spans.append((size, size + len(new), kind.split(":")[0]))
@@ -248,73 +372,118 @@ def replace(text: str, key: bytes, again: dict[tuple[str, str], int] | None = No
     return "".join([*parts, text[at:]]), spans
 
 
-def _entities(key: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            found = sorted({(k, c) for t in batch.column(0).to_pylist() if t for _, _, k, c in find(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], ["kind", "canon"])
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entities of texts, and whole names as of the kind ``person`` and their gender."""
+    for batch in sliced(batches):
+        found = set()
+        for t in batch.column(0).to_pylist():
+            if t:
+                own, titled = _by_pattern(t)
+                found.update((k, c) for _, _, k, c in (own + _names(t, own, titled, {}) if titled else own))
+                found.update((f"person:{gender}", _full(words)) for _, gender, words in titled if len(words) > 1)
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.string())], ["kind", "canon"])
 
-    return run
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        rows = [(th, name) for th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for name in full_names(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["th", "canon"])
 
 
 def _drawn(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            new = [surrogate(k, c, key, a) for k, c, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "canon", "attempt", "new"])
+            got = [draw(k, c, key, a) for k, c, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            attempts, new = pa.array([a for a, _ in got], pa.int32()), pa.array([n for _, n in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], attempts, new], ["kind", "canon", "attempt", "new"])
 
     return run
 
 
-def settle(texts: DataFrame, key: bytes, rounds: int = 40) -> DataFrame | None:
-    """(kind, canon, attempt) of the entities that must be drawn again; None if there is none."""
-    found, _ = write_table(texts.select("text").mapInArrow(_entities(key), "kind string, canon string").distinct(), "entities")
-    draw = lambda rows: rows.mapInArrow(_drawn(key), "kind string, canon string, attempt int, new string")
-    state, _ = write_table(draw(found.withColumn("attempt", F.lit(0))), "drawn")
-    for _ in range(rounds):
-        first = state.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        meet = state.join(first, ["kind", "new"]).where(F.col("canon") != F.col("first")).select("kind", "canon")
-        originals = found.select("kind", F.col("canon").alias("new"))
-        meet = meet.union(state.join(originals, ["kind", "new"], "left_semi").select("kind", "canon")).distinct()
+def settle(found: DataFrame, key: bytes, patience: int = 40) -> DataFrame | None:
+    """(kind, canon, attempt) of the entities that must be drawn again; None if there is none.
+
+    ``found`` is a written table of distinct (kind, canon).  Rounds go on until no surrogate
+    meets another or an original; after ``patience`` rounds that leave as many as there
+    were, an error tells that a format is full.
+    """
+    spark = found.sparkSession
+    # names of one script must not meet whatever part and gender they have
+    space = F.when(F.col("kind").rlike("^(given|family):"), F.regexp_extract("kind", "^[a-z]+:([A-Z]+)", 1)).otherwise(F.col("kind"))
+    draw_all = lambda rows: rows.mapInArrow(_drawn(key), "kind string, canon string, attempt int, new string")
+    originals = found.select(space.alias("space"), F.col("canon").alias("new")).distinct()
+    state, state_path = write_table(draw_all(found.withColumn("attempt", F.lit(0))), "drawn")
+    left, stuck = None, 0
+    while True:
+        placed = state.select(space.alias("space"), "new", "kind", "canon")
+        first = placed.groupBy("space", "new").agg(F.min(F.struct("kind", "canon")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        meet = placed.join(first, ["space", "new"]).where(F.struct("kind", "canon") != F.col("first")).select("kind", "canon")
+        meet = meet.union(placed.join(originals, ["space", "new"], "left_semi").select("kind", "canon")).distinct()
         meet, path = write_table(meet, "meeting")
-        if not meet.limit(1).count():
+        n = meet.count()
+        if not n:
+            drop_table(spark, path)
             break
+        stuck = stuck + 1 if left is not None and n >= left else 0
+        if stuck > patience:
+            raise ValueError(f"{n} entities find no surrogate of their own: their format is full")
+        left = n
         meeting = sized(meet.withColumn("clash", F.lit(True)), path)
         marked = state.join(meeting, ["kind", "canon"], "left")
-        moved = draw(marked.where("clash").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
-        state, _ = write_table(marked.where("clash IS NULL").select("kind", "canon", "attempt", "new").unionByName(moved), "drawn")
-    again = state.where(F.col("attempt") > 0).select("kind", "canon", "attempt")
-    return again if again.limit(1).count() else None
+        moved = draw_all(marked.where("clash").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
+        new, new_path = write_table(marked.where("clash IS NULL").select("kind", "canon", "attempt", "new").unionByName(moved), "drawn")
+        drop_table(spark, state_path)
+        drop_table(spark, path)
+        state, state_path = new, new_path
+    if left is None:
+        drop_table(spark, state_path)
+        return None
+    return state.where(F.col("attempt") > 0).select("kind", "canon", "attempt")
 
 
 def pseudonymize(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text with surrogates, n_entities, entities (start, end, type in the new text)."""
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    again = settle(base, key)
-    pair = "array<struct<kind: string, canon: string, attempt: int>>"
-    if again is None:
-        rows = base.select("id", "text", F.lit(None).cast(pair).alias("again"))
-    else:  # each text gets the entries of its own entities
-        keyed = base.withColumn("th", F.xxhash64("text"))
+    keyed = base.withColumn("th", F.xxhash64("text"))
+    everything, found_path = write_table(base.select("text").mapInArrow(_entities, "kind string, canon string").distinct(), "entities")
+    person = F.col("kind").startswith("person:")
+    people = everything.where(person).groupBy("canon").agg(F.max(F.substring("kind", 8, 1)).alias("gender"))
+    people, people_path = write_table(people, "people")
+    named = keyed.withColumn("people", F.lit(None).cast("array<struct<canon: string, gender: string>>"))
+    if people.limit(1).count():  # the texts that hold a whole name of the corpus
+        there = keyed.select("th", "text").mapInArrow(_candidates, "th long, canon string").join(sized(people, people_path), "canon")
+        there, path = write_table(there.groupBy("th").agg(F.collect_set(F.struct("canon", "gender")).alias("people")), "named-texts")
+        named = keyed.join(sized(there, path), "th", "left")
+    again = settle(everything.where(~person), key)
+    rows = named.withColumn("again", F.lit(None).cast("array<struct<kind: string, canon: string, attempt: int>>"))
+    if again is not None:  # each text gets the entries of its own entities
         again, path = write_table(again, "again")
-        mine = keyed.select("th", "text").mapInArrow(_mentions, "th long, kind string, canon string").join(sized(again, path), ["kind", "canon"])
+        mine = named.select("th", "text", "people").mapInArrow(_mentions, "th long, kind string, canon string").join(sized(again, path), ["kind", "canon"])
         mine, path = write_table(mine.groupBy("th").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("again")), "mentions")
-        rows = keyed.join(sized(mine, path), "th", "left").select("id", "text", "again")
+        rows = named.join(sized(mine, path), "th", "left")
+    drop_table(spark, found_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts, spans = [], []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                new, places = (None, []) if text is None else replace(text, key, {(e["kind"], e["canon"]): e["attempt"] for e in own or ()})
+            for text, own, names in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                new, places = (None, []) if text is None else replace(text, key, {(e["kind"], e["canon"]): e["attempt"] for e in own or ()}, {e["canon"]: e["gender"] for e in names or ()})
                 texts.append(new)
                 spans.append([{"start": a, "end": b, "type": k} for a, b, k in places])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], [id_col, text_col, "n_entities", "entities"])
 
-    return rows.mapInArrow(run, f"`{id_col}` long, `{text_col}` string, n_entities long, entities array<struct<start: int, end: int, type: string>>")
+    return rows.select("id", "text", "again", "people").mapInArrow(run, f"`{id_col}` long, `{text_col}` string, n_entities long, entities array<struct<start: int, end: int, type: string>>")
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        rows = [(th, k, c) for th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for _, _, k, c in find(t)]
+        rows = [
+            (th, k, c)
+            for th, t, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            if t
+            for k, c in {(k, c) for _, _, k, c in find(t, {e["canon"]: e["gender"] for e in names or ()})}
+        ]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["th", "kind", "canon"])
