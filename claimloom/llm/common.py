@@ -20,9 +20,11 @@ _own_root: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one of this machine only in local mode, where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _own_root.setdefault(app, None) or tempfile.mkdtemp(prefix="shared_")
         _own_root[app] = root
@@ -67,7 +69,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased and nothing else; texts of ASCII alone take the shorter way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def hash128(col: Column) -> list[Column]:
@@ -96,7 +99,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     """(text, y) of at most ``most`` labelled documents, by hash order, none of them held out.
 
     ``most`` is the documented bound of a fit; the same rows come out at every run.
-    Null ids, labels and rows with several labels are left out.
+    Null ids, labels and rows with several labels are left out; of rows that repeat an id,
+    the smallest text counts.
     """
     marks = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
@@ -110,4 +114,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     )
     marks, path = write_table(marks.select("id", "y"), "marks")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(sized(marks, path), "id").select("text", "y")
+    # one row per id, whatever the documents hold; texts meet by their id's hash, partly merged before the shuffle
+    return texts.join(sized(marks, path), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")

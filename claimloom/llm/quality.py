@@ -8,14 +8,17 @@ to gain get trees of one cut per feature in the same way.
 
 The fit is bounded by ``most`` labelled documents, chosen by hash (``labelled_sample``).
 
-Defined cases: a null text counts as empty and gets a score like any other; without a
-labelled document all scores are 0.5; repeated rows are each answered; an empty table
-gives an empty result; further columns of the input are ignored.
+Defined cases: a null text counts as empty and gets a score like any other; texts of any
+length are read whole, one at a time; without a labelled document all scores are 0.5; equal
+gains go to the first cut and the first pair; repeated rows are each answered, with null
+ids as well; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,30 +31,33 @@ from .common import labelled_sample, sliced
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "marks", "stops", "odd_marks", "bars", "line_bytes",
-    "lines_repeated", "words_distinct", "pairs_distinct", "packed", "not_ascii", "marked_words", "top_word", "line_ends", "mark_runs", "first_distinct",
+    "lines_repeated", "words_distinct", "pairs_distinct", "packed", "not_ascii", "marked_words", "top_word", "line_ends", "mark_runs", "near_distinct",
 )
 _UPPER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _STOPS, _ODD = b".,;:", b"!#$%&*@^~|<>=_\\{}[]"
 _HIGH = bytes(range(128, 256))
+#: Words that end in an odd mark, and runs of one mark.
+_MARKED = re.compile(rb"[" + re.escape(_ODD) + rb"](?!\S)")
+_RUNS = re.compile(rb"([" + re.escape(_MARKS) + rb"])\1+")
 
 
 def features(text: bytes) -> list[float]:
+    """All of them read the whole text."""
     size = len(text)
     words = text.split()
     n = len(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
     bare = len(text.translate(None, _MARKS))
     rest = lambda chars: (size - len(text.translate(None, chars))) / max(size, 1)
-    distinct = set(words)
+    counts = Counter(words)
     pairs = set(zip(words, words[1:], strict=False))
-    sample = words[:: max(1, n // 200)]
-    marked = sum(x[-1] in _ODD for x in sample) / max(len(sample), 1)
+    fresh = sum(len(set(words[k : k + 100])) for k in range(0, n, 100))
     return [
         np.log1p(size), np.log1p(n), size / max(n, 1), rest(_UPPER), rest(_DIGITS), (size - bare) / max(size, 1), rest(_STOPS), rest(_ODD), text.count(b"|") / max(n, 1),
-        np.log1p(size / max(len(lines), 1)), 1 - len(set(lines)) / max(len(lines), 1), len(distinct) / max(n, 1), len(pairs) / max(n - 1, 1), len(zlib.compress(text, 1)) / max(size, 1), rest(_HIGH),
-        marked, max((words.count(x) for x in sample[:3]), default=0) / max(n, 1), sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / max(len(lines), 1),
-        (text.count(b"!!") + text.count(b"***") + text.count(b"$$$") + text.count(b"###")) / max(n, 1), len(set(words[:100])) / max(min(n, 100), 1),
+        np.log1p(size / max(len(lines), 1)), 1 - len(set(lines)) / max(len(lines), 1), len(counts) / max(n, 1), len(pairs) / max(n - 1, 1), len(zlib.compress(text, 1)) / max(size, 1), rest(_HIGH),
+        len(_MARKED.findall(text)) / max(n, 1), max(counts.values(), default=0) / max(n, 1), sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / max(len(lines), 1),
+        len(_RUNS.findall(text)) / max(n, 1), fresh / max(n, 1),
     ]
 
 
