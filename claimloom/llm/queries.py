@@ -42,9 +42,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+def _verdicts(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
     held_out = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return _verdicts(score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))), 0.5)
+    return _verdicts(score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))), 0.5, "passages")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,30 @@
 
 Words and word beginnings of 4, 5 and 6 letters are counted in distinct labelled texts,
 once a text.  Their log-odds take a Dirichlet prior: a flat part and one in proportion to
-their frequency in both classes;
-those that stand out are kept, everything else scores a small penalty.  A word takes
-its own log-odds, or those of its longest kept beginning.  A linear-time scan finds
-every maximal segment of a text.  The best segment's score is set against the number of
-words by the extreme-value law that holds for segments of clean text, and a logistic
-curve fitted on the sample turns that into a probability.
+their frequency in both classes; those that stand out are kept, everything else scores a
+small penalty.  A word takes its own log-odds, or those of its longest kept beginning.  A
+linear-time scan finds every maximal segment of a text.
 
-The fit is bounded: ``most`` labelled documents by hash (``labelled_sample``) and
-``terms`` kept words and beginnings.
+Segments of clean text obey an extreme-value law: a segment of score s in n words has the
+excess x = slope * s - log(n) - shift, and the chance of one so good is 1 - exp(-exp(-x)).
+All segments of a text that reach above the law's middle are aggregated by the law of
+sums: the r best together have the chance exp(-T) * T ** (r - 1) / (r! (r - 1)!), where T
+is the sum of their excesses; that is weighted by 2 ** -r for the choice of r, and the
+most telling r counts.  A logistic curve fitted on the sample turns it into a probability.
+
+The fit is bounded by ``most`` labelled documents by hash (``labelled_sample``); all their
+terms count.
 
 Defined cases: a null or blank text has no segment and gets the score of a text without
-evidence; without labelled documents all scores are 0.5; repeated rows are each
-answered; an empty table gives an empty result; further columns of the input are ignored.
+evidence; texts of any length are scanned whole; without labelled documents all scores are
+0.5; segments of equal score keep their order in the text; repeated rows are each answered,
+with null ids as well; an empty table gives an empty result; further columns of the input
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -87,22 +94,32 @@ class ToxicityModel:
             seen[w] = self.word_score(w)
         return np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
 
-    def passages(self, text: str, level: float = 0.01) -> list[tuple[int, int, float]]:
-        """Segments whose chance in clean text of this length is below ``level``: (first word, end, chance)."""
-        scores = self.word_scores(text)
-        found = ((a, b, -np.expm1(-np.exp(-self.excess(s, len(scores))))) for a, b, s in segments(scores, self.drift))
-        return [x for x in found if x[2] < level]
-
     def excess(self, best: float, words: int) -> float:
         return self.slope * best - np.log(max(words, 1)) - self.shift
 
-    def evidence(self, text: str) -> float:
-        scores = self.word_scores(text)
-        return self.excess(max((s for _, _, s in segments(scores, self.drift)), default=0.0), len(scores))
+    def evidence(self, found: list[float], words: int) -> float:
+        """Minus the log of the chance that clean text of so many words has segments as good as these."""
+        return sum_evidence([self.excess(s, words) for s in found] or [self.excess(0.0, words)])
 
     def score(self, text: str) -> float:
+        words = self.word_scores(text)
+        return self.probability(self.evidence([s for _, _, s in segments(words, self.drift)], len(words)))
+
+    def probability(self, evidence: float) -> float:
         a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a + b * self.evidence(text), -40, 40))))
+        return float(1 / (1 + np.exp(-np.clip(a + b * evidence, -40, 40))))
+
+
+def sum_evidence(excesses: list[float]) -> float:
+    """The best of -log(2 ** (1 - r) * chance of the r best), over the r to which the law of sums applies."""
+    ordered = sorted(excesses, reverse=True)
+    best = total = ordered[0]
+    for r, x in enumerate(ordered[1:], 2):
+        total += x
+        if x <= 0 or total < r * (r + 1):  # the law is one of the far tail
+            break
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return best
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +133,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([both[0][t] for t in terms], pa.int64()), pa.array([both[1][t] for t in terms], pa.int64())], ["term", "clean", "toxic"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = 5, held: int = 0, most: int = 20_000, terms: int = 20_000, prior: float = 500.0, deviations: float = 3.5, drift: float = 0.25) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = 5, held: int = 0, most: int = 20_000, prior: float = 500.0, deviations: float = 3.5, drift: float = 0.25) -> ToxicityModel:
     sample, sample_path = write_table(labelled_sample(docs, labels, label, mod, held, most).dropDuplicates(["text", "y"]), "toxicity-sample")
     counts, counts_path = write_table(sample.mapInArrow(_count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-terms")
     n0, n1 = next(((float(r[0]), float(r[1])) for r in counts.where("term = ''").select("clean", "toxic").collect()), (0.0, 0.0))
@@ -126,29 +143,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mo
         a1, a0 = F.col("toxic") + alpha, F.col("clean") + alpha
         odds = F.log(a1 / (n1 + prior - a1)) - F.log(a0 / (n0 + prior - a0))
         strong = counts.where("term <> '' AND clean + toxic >= 4").select("term", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-        strong = strong.where(F.abs("z") >= deviations).orderBy(F.desc(F.abs("z")), "term").limit(terms)
+        strong = strong.where(F.abs("z") >= deviations)  # terms of at most ``most`` texts
         weights = {r["term"]: r["odds"] - drift if r["odds"] > 0 else min(r["odds"], -drift) for r in strong.collect()}
     bare = ToxicityModel(weights, drift, 1.0, 0.0, (0.0, 0.0))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = []
+            rows = []
             for text in batch.column(0).to_pylist():
                 scores = bare.word_scores(text or "")
                 up = scores[scores > 0]
-                found.append((max((s for _, _, s in segments(scores, drift)), default=0.0), len(scores), len(up), float(up.sum())))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[k] for x in found], pa.float64()) for k in range(4))], ["y", "best", "n", "ups", "up"])
+                rows.append((float(len(scores)), float(len(up)), float(up.sum()), [s for _, _, s in segments(scores, drift)]))
+            kinds = [pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds))], ["y", "n", "ups", "up", "found"])
 
-    rows = sample.mapInArrow(best, "y int, best double, n double, ups double, up double").toPandas().sort_values(["y", "best", "n"])
+    rows = sample.mapInArrow(scan, "y int, n double, ups double, up double, found array<double>").toPandas()
     drop_table(docs.sparkSession, sample_path)
     drop_table(docs.sparkSession, counts_path)
     if not rows["y"].nunique() > 1:
         return ToxicityModel({}, drift, 1.0, 0.0, (0.0, 0.0))
+    rows = rows.assign(best=[max(x, default=0.0) for x in rows["found"]]).sort_values(["y", "best", "n", "ups", "up"])  # the order changes no sum
     clean = rows[rows["y"] == 0]
     slope = _slope(float(clean["ups"].sum()), float(clean["up"].sum()), float(clean["n"].sum()), drift)
     shift = float((slope * clean["best"] - np.log(np.maximum(clean["n"], 1))).mean() - np.euler_gamma)
-    x = slope * rows["best"].to_numpy() - np.log(np.maximum(rows["n"].to_numpy(), 1)) - shift
-    return ToxicityModel(weights, drift, slope, shift, _logistic(x, rows["y"].to_numpy(np.float64)))
+    model = ToxicityModel(weights, drift, slope, shift, (0.0, 0.0))
+    x = np.array([model.evidence(list(found), int(n)) for found, n in zip(rows["found"], rows["n"], strict=True)])
+    model.curve = _logistic(x, rows["y"].to_numpy(np.float64))
+    return model
 
 
 def _slope(ups: float, up: float, n: float, drift: float) -> float:
@@ -174,20 +195,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] - w[1] * middle / scale), float(w[1] / scale)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score, passages (first word, end, chance in clean text)."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", level: float = 0.01) -> DataFrame:
+    """One row per input row: id, score, passages (first word, end, chance in clean text) whose chance is below ``level``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = model.curve
         for batch in sliced(batches):
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
                 words = model.word_scores(text or "")
                 found = segments(words, model.drift)
-                best = model.excess(max((s for _, _, s in found), default=0.0), len(words))
-                scores.append(float(1 / (1 + np.exp(-np.clip(a + b * best, -40, 40)))))
+                scores.append(model.probability(model.evidence([s for _, _, s in found], len(words))))
                 chance = ((x, y, float(-np.expm1(-np.exp(-np.clip(model.excess(s, len(words)), -30, 700))))) for x, y, s in found)
-                passages.append([{"first": x, "end": y, "chance": c} for x, y, c in chance if c < 0.01])
+                passages.append([{"first": x, "end": y, "chance": c} for x, y, c in chance if c < level])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(passages, kind)], [id_col, "score", "passages"])
 
