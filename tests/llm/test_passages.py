@@ -43,7 +43,7 @@ def test_several_passages_say_more_than_one():
 def test_all_terms_of_the_sample_count(spark, make):
     """Each of many words is known by its own texts: none is cut off."""
     words = ["bad" + "".join(random.Random(i).choices("bcdfghjklm", k=8)) for i in range(300)]
-    docs = [(i, f"{words[i // 8]} " * (1 + i % 8) + "plain words of a text here " * 4) for i in range(2400)] + [(5000 + i, "plain words of a text here " * (1 + i)) for i in range(60)]
+    docs = [(i, f"{words[i // 8]} " * (1 + i % 8) + "plain words of a text here " * 4) for i in range(2400)] + [(5000 + i, "plain words of a text here " + "".join(chr(97 + int(c)) for c in str(i))) for i in range(2400)]
     labels = spark.createDataFrame([(i, 1, int(i < 5000)) for i, _ in docs], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(make(docs), labels, deviations=1.0)
     assert sum(w in model.weights for w in words) >= 290
