@@ -57,8 +57,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))), 0.5, "passages")
 
 
+#: The mixture that op5 asks for: shares of tokens by language and by form; sources are damped.
+LANG_TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15}
+FORM_TARGETS = {"prose": 0.75, "notes": 0.15, "table": 0.04, "shout": 0.03, "short": 0.03}
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents"))
+    return mix(_table(spark, sf_dir, "documents"), lang_targets=LANG_TARGETS, topic_targets=FORM_TARGETS)
 
 
 def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
