@@ -50,6 +50,24 @@ def drop_table(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Written tables that one operator needs on its way; ``drop`` removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """``df`` as written and read back, with the hint to broadcast it if it is small enough."""
+        table, path = write_table(df, tag)
+        self.paths.append(path)
+        return sized(table, path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_table(self.spark, path)
+        self.paths = []
+
+
 def sized(df: DataFrame, path: str, limit: int = BROADCAST_BYTES, grows: int = 4) -> DataFrame:
     """Hint a broadcast if the written table is small enough (``grows``: bytes in memory for one on disk)."""
     return F.broadcast(df) if table_bytes(df.sparkSession, path) * grows <= limit else df

@@ -4,23 +4,30 @@ Two small collections of ``tables`` hashes each are computed, every hash a tuple
 ``rows`` minima.  A table key joins one hash of the first collection with one of the
 second, so 2 * tables * rows minima serve tables * tables keys of 2 * rows minima each.
 At a similarity of 0.85 a pair misses all 144 keys with probability about
-2 * (1 - 0.85 ** 3) ** 12, which is 2e-5.
+2 * (1 - 0.85 ** 3) ** 12, which is 2e-5.  Two texts are candidates if they share a key.
 
 1. Texts with equal shingle sets form one class; only classes go on.
-2. Every class is compared with the smallest one that shares a single hash with it,
-   which is linear work; links that hold on the full sets are joined to components.
-3. Table keys are formed of hashes in which several components meet, in both collections.
-4. Classes whose bucket holds several components are compared across components:
-   pairs that share one of their rarest shingles, then sketches, then full sets.
+2. Keys are formed of the hashes that several classes have, since others make no bucket.
+3. Each bucket is represented by its smallest class.  Every class is compared with the
+   representatives that it meets most, which is linear work; links that hold on the full
+   sets are joined to components.
+4. In buckets that still hold several components, candidates of different components are
+   compared: by a prefix filter, which is exact (of two similar sets, both have one of
+   their rarest shingles in common), then by sketches, then on the full sets.  So a large
+   bucket of texts just below the threshold does not give all its pairs.
 5. Components come from smallest-label passing with pointer jumping.
 
+Of two similar texts the sketches, 256 one-byte minima, agree in so few places as to be
+left out with a probability of 3e-7 (five standard deviations).
+
 Words are runs of ``[^\x20\x09-\x0D]`` after A-Z are lower-cased; a set holds the
 distinct five-word shingles, or the whole sequence where there are fewer words.
 
-Defined cases: a null or blank text has an empty set and is linked with nothing; a row
-with a null id is linked with nothing (component_id null, kept); rows that repeat an id
-are each answered by their own text; an empty table gives an empty result; further
-columns of the input are ignored.
+Defined cases: a null or blank text has an empty set and is linked with nothing; texts of
+any length are read whole and their sets, compared in full, grow with them; a row with a
+null id is linked with nothing (component_id null, kept); rows that repeat an id are each
+answered by their own text; of equal texts the smallest id represents all; an empty table
+gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, sized, sliced, write_table
+from .common import Scratch, drop_table, sized, sliced, write_table
 
 UP, DOWN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _CASE = bytes.maketrans(UP, DOWN)
@@ -161,28 +168,24 @@ def link_near_duplicates(
     seed: int = 1,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest linked id), kept."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows_of, _ = write_table(base.mapInArrow(_signatures(tables, rows, seed, width), "id long, n long, s1 long, s2 long, sig array<long>, sketch binary"), "signatures")
     classes = rows_of.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("id").alias("cid"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    classes, _ = write_table(classes, "classes")
+    classes, path = write_table(classes, "classes")  # with signatures: never broadcast
+    scratch.paths.append(path)
 
-    each = classes.select("cid", "n", F.posexplode("sig").alias("at", "val"))
-    heads = each.groupBy("at", "val").agg(F.min(F.struct("cid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("at", "val", "head")
-    heads, path = write_table(heads, "heads")
-    shared, _ = write_table(each.join(sized(heads, path), ["at", "val"]), "shared")  # hashes that several classes have
-    star = shared.where((F.col("cid") != F.col("head.cid")) & _close(F.col("n"), F.col("head.n"), percent))
-    star = star.groupBy(F.col("head.cid").alias("u"), F.col("cid").alias("v")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 3).select("u", "v")
-    links, _ = write_table(_confirm(star, classes, base, percent, width), "star-links")
+    keys = _keys(classes, tables, scratch)
+    links = _confirm(_star(keys, percent, scratch), classes, base, percent, width, tables, scratch)
     labels = components(links)
-
-    placed = shared.join(labels, shared["cid"] == labels["node"], "left").select("cid", "at", "val", F.coalesce("label", "cid").alias("comp"))
-    cross = _cross_pairs(_keys(placed, tables), base, percent, width)
-    more, _ = write_table(_confirm(cross, classes, base, percent, width), "cross-links")
+    more = _confirm(_cross_pairs(keys, labels, base, percent, width, scratch), classes, base, percent, width, tables, scratch)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
     reached = classes.join(labels, classes["cid"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("label", "cid").alias("component"))
     reached, path = write_table(reached, "reached")
+    scratch.drop()
     linked = rows_of.where(F.col("id").isNotNull()).select("id", "n", "s1", "s2").join(sized(reached, path), ["n", "s1", "s2"], "left")
     linked = linked.select("id", "n", F.coalesce("component", "id").alias("component"))
     alone = rows_of.where(F.col("id").isNull()).select("id", "n", F.lit(None).cast("long").alias("component"))
@@ -196,84 +199,86 @@ def _close(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _keys(placed: DataFrame, tables: int) -> DataFrame:
-    """(key, cid, comp): tensored keys of hashes in which components meet, in both collections."""
-    placed, _ = write_table(placed, "placed")
-    meets = placed.groupBy("at", "val").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("at", "val")
-    meets, path = write_table(meets, "meets")
-    mine = placed.join(sized(meets, path), ["at", "val"]).groupBy("cid", "comp").agg(F.collect_list(F.struct("at", "val")).alias("hs"))
+def _keys(classes: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
+    """(key, cid, n): the tensored keys that several classes have."""
+    each = classes.select("cid", "n", F.posexplode("sig").alias("at", "val"))
+    often = scratch.write(each.groupBy("at", "val").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("at", "val"), "hashes")
+    mine = each.join(often, ["at", "val"]).groupBy("cid", "n").agg(F.collect_list(F.struct("at", "val")).alias("hs"))
     first, second = F.filter("hs", lambda h: h["at"] < tables), F.filter("hs", lambda h: h["at"] >= tables)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["at"], x["val"], y["at"], y["val"]))))
-    return mine.select("cid", "comp", F.explode(keys).alias("key"))
-
-
-_SLOTS = 1 << 18
+    return scratch.write(mine.select("cid", "n", F.explode(keys).alias("key")), "keys")
 
 
-def _prefixes(often: np.ndarray, percent: int):
-    """The rarest shingles of each set, enough that any two similar sets share one of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            for row in range(batch.num_rows):
-                own = batch.column(2)[row].values.to_numpy()
-                length = len(own) - -(-percent * len(own) // 100) + 1
-                rare = own[np.lexsort((own, often[own & (_SLOTS - 1)]))[:length]]
-                whole = [np.full(len(rare), x, np.int64) for x in (batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), len(own))]
-                place = np.arange(1, len(rare) + 1, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, whole), pa.array(rare), pa.array(place)], ["cid", "comp", "n", "item", "place"])
-
-    return run
+def _star(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): each class v with the representatives u of its buckets, those that it meets in a quarter as many as in the most."""
+    heads = keys.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key", "head")
+    met = keys.join(scratch.write(heads, "heads"), "key").where((F.col("cid") != F.col("head.cid")) & _close(F.col("n"), F.col("head.n"), percent))
+    met = met.groupBy(F.col("cid").alias("v"), F.col("head.cid").alias("u")).agg(F.count(F.lit(1)).alias("c"))
+    of = met.groupBy("v").agg(F.collect_list(F.struct("u", "c")).alias("us"), F.max("c").alias("top"))  # no more than a class has keys
+    return of.select("v", "top", F.inline("us")).where(F.col("c") * 4 >= F.col("top")).select("u", "v")
 
 
-def _cross_pairs(keyed: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
-    """(u, v): pairs of different components that may be similar, of classes that meet in a bucket.
+def _cross_pairs(keys: DataFrame, labels: DataFrame, base: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """(u, v): pairs of different components, of classes in buckets where components meet, that pass the prefix filter.
 
-    Large groups of texts just below the threshold would give all their pairs, so buckets
-    only tell which classes to compare.  Of these the full sets are made, and two classes
-    are compared if they share one of their rarest shingles (prefix filter): a set that
-    differs too much from all others has rare shingles of its own there and meets nobody.
-    Rarity is counted in a table of fixed size; it orders the shingles and decides nothing else.
+    Shingles are ordered by the number of these classes that have them, counted exactly.
+    A shingle of one class only stands first and makes no pair.
     """
-    keyed, _ = write_table(keyed, "keys")
-    mixed = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    mixed, path = write_table(mixed, "mixed")
-    members, path = write_table(keyed.join(sized(mixed, path), "key").select("cid", "comp").distinct(), "members")
-    sets, _ = write_table(_full_sets(base, members.select("cid"), path, width), "member-sets")
-    counted = sets.select(F.explode("items").alias("item")).groupBy(F.col("item").bitwiseAND(_SLOTS - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    often = np.zeros(_SLOTS, np.int64)
-    counted = counted.toPandas()  # no longer than the table of fixed size
-    often[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    items = sets.join(sized(members, path), "cid").select("cid", "comp", "items").mapInArrow(_prefixes(often, percent), "cid long, comp long, n long, item long, place long")
-    items, _ = write_table(items, "prefixes")
+    placed = scratch.write(keys.join(labels, keys["cid"] == labels["node"], "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("comp")), "placed")
+    mixed = scratch.write(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key"), "mixed")
+    members = scratch.write(placed.join(mixed, "key").select("cid", "comp", "n").distinct(), "members")
+    sets = scratch.write(_full_sets(base, members.select("cid"), width), "member-sets")
+    each = sets.select("cid", F.explode("items").alias("item"))
+    counted = each.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1)
+    mine = each.join(counted, "item").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("shared"))
+    # the shingles that no other member has come before the first of these
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = mine.join(members, "cid").select("cid", "comp", "n", (F.col("n") - F.size("shared")).alias("before"), "shared")
+    ranked = ranked.where(F.col("before") < prefix).select("cid", "comp", "n", "before", F.posexplode(F.slice("shared", F.lit(1), (prefix - F.col("before")).cast("int"))).alias("at", "s"))
+    items, path = write_table(ranked.select("cid", "comp", "n", F.col("s.item").alias("item"), (F.col("before") + F.col("at") + 1).alias("place")), "prefixes")
+    scratch.paths.append(path)
     other = items.select(F.col("item").alias("there"), F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("place").alias("x_place"))
     # of n and m shingles, at least need are common; the rarest n - need + 1 and m - need + 1 then share one
     need = F.ceil((F.col("n") + F.col("x_n")) * percent / (100 + percent))
     in_both = (F.col("place") <= F.col("n") - need + 1) & (F.col("x_place") <= F.col("x_n") - need + 1)
     apart = (F.col("cid") < F.col("x")) & (F.col("comp") != F.col("x_comp")) & _close(F.col("n"), F.col("x_n"), percent)
     pairs = items.join(other, (F.col("item") == F.col("there")) & apart & in_both)
-    return pairs.select(F.col("cid").alias("u"), F.col("x").alias("v")).distinct()
+    return pairs.select(F.col("cid").alias("u"), F.col("x").alias("v"))
 
 
-def _full_sets(base: DataFrame, wanted: DataFrame, path: str, width: int) -> DataFrame:
-    """(cid, items) of the classes in ``wanted``, a written table."""
-    texts = base.join(sized(wanted, path), base["id"] == wanted["cid"], "left_semi").select("id", "text")
+def _full_sets(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, items) of the classes in ``wanted``."""
+    texts = base.join(wanted, base["id"] == wanted["cid"], "left_semi").select("id", "text")
     return texts.mapInArrow(_sets(width), "cid long, items array<long>")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; those whose sketches differ too much go first."""
-    left = classes.select(F.col("cid").alias("u"), F.col("sketch").alias("a"))
-    right = classes.select(F.col("cid").alias("v"), F.col("sketch").alias("b"))
-    pairs, _ = write_table(pairs.distinct(), "pairs")
-    tried = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_may_link(percent), "u long, v long")
-    tried, path = write_table(tried.distinct(), "tried")
-    wanted = tried.select(F.col("u").alias("cid")).union(tried.select("v")).distinct()
-    wanted, path = write_table(wanted, "wanted")
-    sets, _ = write_table(_full_sets(base, wanted, path, width), "sets")
+def _beside(pairs: DataFrame, rows: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ...) with the columns of ``rows`` (u, ...); a u of many pairs is dealt over several salts."""
+    dealt = pairs.join(crowd, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    spread = rows.join(crowd, "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(spread, ["u", "salt"]).drop("salt")
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, base: DataFrame, percent: int, width: int, tables: int, scratch: Scratch, per_salt: int = 500) -> DataFrame:
+    """The pairs that share a table key and whose full sets are similar enough; those whose sketches differ too much go first."""
+    left = classes.select(F.col("cid").alias("u"), F.col("sig").alias("a_sig"), F.col("sketch").alias("a"))
+    right = classes.select(F.col("cid").alias("v"), F.col("sig").alias("b_sig"), F.col("sketch").alias("b"))
+    same = F.zip_with("a_sig", "b_sig", lambda x, y: x == y)
+    bucket = F.exists(F.slice(same, 1, tables), lambda x: x) & F.exists(F.slice(same, tables + 1, tables), lambda x: x)
+    pairs, path = write_table(pairs.distinct(), "pairs")
+    scratch.paths.append(path)
+    crowd = lambda p: scratch.write(p.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_salt).select("u", F.ceil(F.col("n") / per_salt).cast("long").alias("salts")), "crowds")
+    tried = _beside(pairs.join(right, "v"), left, crowd(pairs)).where(bucket).select("u", "v", "a", "b").mapInArrow(_may_link(percent), "u long, v long")
+    tried, path = write_table(tried, "tried")
+    scratch.paths.append(path)
+    wanted = scratch.write(tried.select(F.col("u").alias("cid")).union(tried.select("v")).distinct(), "wanted")
+    sets, path = write_table(_full_sets(base, wanted, width), "sets")
+    scratch.paths.append(path)
+    # rows that repeat an id give its set again: once is enough
     a, b = sets.select(F.col("cid").alias("u"), F.col("items").alias("a")), sets.select(F.col("cid").alias("v"), F.col("items").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return tried.join(a, "u").join(b, "v").where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v").distinct()
+    held = _beside(tried.join(b, "v"), a, crowd(tried)).where(both * 100 >= (F.size("a") + F.size("b") - both) * percent)
+    return scratch.write(held.select("u", "v").distinct(), "links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
