@@ -81,8 +81,8 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame) -> DataFrame:
-    path, by_rank = write_token_files(docs, "word_bpe_49k.json")
-    return read_token_files(docs.sparkSession, path, by_rank, ids_crc32, "ids_crc32 long").withColumnRenamed("id", "doc_id")
+    path = write_token_files(docs, "word_bpe_49k.json")
+    return read_token_files(docs.sparkSession, path, ids_crc32, "ids_crc32 long").withColumnRenamed("id", "doc_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

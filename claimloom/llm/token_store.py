@@ -10,21 +10,26 @@ A file, or shard, is one binary value, little-endian:
     magic b"FRV1" | documents u32 | numbers u64 | data bytes u64 | n_tokens u32 per document
     | control bytes, ceil(numbers / 4) | data bytes
 
-The rank table (ids by falling frequency, then id) is a file of its own.  Shards are
-kept as rows (part, shard, payload) of a Parquet table, because that is what every
-store that Spark can reach takes; documents stand in ascending id order over
+The rank table (ids by falling frequency, then id) is a table of its own beside the
+shards: a folder holds ``shards`` and ``ranks``, and whoever has the folder can read it.
+Shards are kept as rows (part, shard, payload) of a Parquet table, because that is what
+every store that Spark can reach takes; documents stand in ascending id order over
 (part, shard, position).
 
-Defined cases: a null text is empty and has the end id only; null ids come first; rows
-that repeat an id stand together, ordered by text, and each gets its own place; an empty
-table gives no shard; further columns of the input are ignored.
+Defined cases: a null text is empty and has the end id only; texts of any length are
+encoded whole, and a shard closes after the text that fills it; null ids come first; rows
+that repeat an id stand together, ordered by their token ids, and each gets its own place;
+tokens of equal frequency are ranked by id; an empty table gives no shard; further columns
+of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, sized, sliced, write_table
+from .common import drop_table, shared_root, sized, sliced, write_table
 
 MAGIC = b"FRV1"
 _CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -87,14 +92,32 @@ def unpack_shard(payload: bytes) -> list[np.ndarray]:
     return np.split(numbers, np.cumsum(counts, dtype=np.int64)[:-1]) if docs else []
 
 
+#: The normaliser and pre-tokenizer that the encoding of single words relies on.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a text may be cut at blanks and its words be given to the model: only with the rules that are known to allow it."""
+    rules = json.loads(tokenizer.to_str())
+    special = all(t["content"].startswith("<|") and not t["normalized"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in rules["added_tokens"])
+    return special and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER and rules["truncation"] is None and rules["model"].get("dropout") is None
+
+
 class ChunkEncoder(dict):
-    """Encodes whole texts with a tokenizer that lower-cases and whose tokens never span a blank.
+    """Encodes whole texts, word by word where the tokenizer's rules allow it.
 
     Texts are cut at ASCII blanks after A-Z are lower-cased.  This maps a chunk to its
     ids, so a frequent word is encoded once, and finds what is missing as it is asked
     for.  Two generations of at most ``most`` chunks are kept; what was not met since the
-    last change of generations goes.  A text that may name a special token is encoded as
-    it stands.
+    last change of generations goes.  A text that may name a special token, and every text
+    under a tokenizer with other rules (``by_words``), is encoded as it stands.
     """
 
     #: A pre-tokenizer cuts exactly between a word and these; an apostrophe may belong to either.
@@ -104,7 +127,7 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer, self.code, self.most = load_tokenizer(tokenizer), "H" if kind == "<u2" else "I", most
         self.old: dict[bytes, bytes] = {}
-        self.model = self.tokenizer.model
+        self.model, self.cut = self.tokenizer.model, by_words(self.tokenizer)
         self.latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [x for x in range(256) if x not in printable]
@@ -142,7 +165,7 @@ class ChunkEncoder(dict):
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as unsigned integers of ``kind``."""
         of = self.__getitem__
-        return [b"".join(map(of, t.translate(_CASE).split())) if b"<|" not in t else self._whole(t.decode()) for t in texts]
+        return [b"".join(map(of, t.translate(_CASE).split())) if self.cut and b"<|" not in t else self._whole(t.decode()) for t in texts]
 
 
 def load_tokenizer(name: str):
@@ -178,6 +201,7 @@ def _tokenize(tokenizer: str, end_id: int, kind: str):
     return run
 
 
+_RANK = "rank int, token long"
 _SHARD = "part int, shard int, tokens long, ids array<long>, payload binary"
 
 
@@ -205,12 +229,14 @@ def _shards(rank: np.ndarray, kind: str, most: int):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 18) -> tuple[str, np.ndarray]:
-    """Write the shards in ascending id order; return their folder and the rank table.
+def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 18) -> str:
+    """Write shards, in ascending id order, and ranks to the new folder ``path``; return it.
 
-    A shard closes once it holds ``shard_tokens`` ids.
+    A shard closes once it holds ``shard_tokens`` ids.  Without a path the folder is one of
+    the session's shared folder.
     """
     spark = docs.sparkSession
+    path = path or f"{shared_root(spark)}/token-files-{uuid.uuid4().hex}"
     kind = "<u2" if max(load_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4"
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tokens, tokens_path = write_table(base.mapInArrow(_tokenize(tokenizer, end_id, kind), "id long, ids binary, token array<int>, n array<long>"), "token-ids", "zstd")
@@ -220,18 +246,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 1, id_co
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     first = F.col("id").asc_nulls_first()
     ordered = tokens.where("ids IS NOT NULL").select("id", "ids").repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), first).sortWithinPartitions(first, "ids")
-    _, path = write_table(ordered.mapInArrow(_shards(rank, kind, shard_tokens), _SHARD), "token-shards", "zstd")
+    ordered.mapInArrow(_shards(rank, kind, shard_tokens), _SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
+    spark.createDataFrame([(r, int(t)) for r, t in enumerate(by_rank)], _RANK).coalesce(1).write.parquet(f"{path}/ranks")
     drop_table(spark, tokens_path)
-    return path, by_rank
+    return path
 
 
-def read_token_files(spark: SparkSession, path: str, by_rank: np.ndarray, per_document, schema: str) -> DataFrame:
-    """(id, start, n_tokens, and what ``per_document`` makes of a document's ids) of each document.
+def read_token_files(spark: SparkSession, path: str, per_document, schema: str) -> DataFrame:
+    """(id, start, n_tokens, and what ``per_document`` makes of a document's ids) of each document, from the folder alone.
 
     ``per_document`` gets one array of ids and returns a value of the type ``schema``
     names, such as "ids_crc32 long".  ``start`` counts the ids of all documents before.
     """
     name, kind = schema.split()
+    by_rank = np.array([r["token"] for r in spark.read.schema(_RANK).parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)  # no longer than the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -243,7 +271,7 @@ def read_token_files(spark: SparkSession, path: str, by_rank: np.ndarray, per_do
                 arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)] + [pa.array([per_document(x) for x in documents])]
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "shard", "id", "inner", "n_tokens", name])
 
-    shards = spark.read.schema(_SHARD).parquet(path)
+    shards = spark.read.schema(_SHARD).parquet(f"{path}/shards")
     within = Window.partitionBy("part").orderBy("shard")
     place = shards.select("part", "shard", (F.sum("tokens").over(within) - F.col("tokens")).alias("before"))
     parts = shards.groupBy("part").agg(F.sum("tokens").alias("all"))  # one row per range of ids

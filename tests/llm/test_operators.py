@@ -305,8 +305,8 @@ def test_token_files(spark, odd, make):
     tok = Tokenizer.from_file(public.path("word_bpe_49k.json"))
     tricky = ["don't STOP", "Élan, œuvre!?", "ΣΟΦΟΣ", "a\x1cb x", "<|endoftext|> <|EndOfText|>", "é KK", "12,5.x_y", "中文 字", "it's l'été"]
     df = odd.union(make([(100 + i, t) for i, t in enumerate(tricky)]))
-    path, ranks = token_store.write_token_files(df, "word_bpe_49k.json", shard_tokens=50)
-    got = sorted(token_store.read_token_files(spark, path, ranks, token_store.ids_crc32, "ids_crc32 long").collect(), key=lambda r: r["start"])
+    path = token_store.write_token_files(df, "word_bpe_49k.json", shard_tokens=50)
+    got = sorted(token_store.read_token_files(spark, path, token_store.ids_crc32, "ids_crc32 long").collect(), key=lambda r: r["start"])
     at = 0
     for r, row in zip(got, sorted(df.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         ids = tok.encode(row["text"] or "", add_special_tokens=False).ids + [1]
@@ -324,6 +324,36 @@ def test_chunks_as_the_tokenizer(most):
         assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_tokenizer_of_another_kind(spark, make):
+    """One that keeps the case and the blanks: its texts are not cut into words."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert not token_store.by_words(tok) and token_store.by_words(Tokenizer.from_file(public.path("word_bpe_49k.json")))
+    texts = ["Some Words  of TEXT, again Some", " leading", "é中\n\nx", "", None]
+    path = token_store.write_token_files(make(list(enumerate(texts))), "byte_bpe_50k.json")
+    got = {r["id"]: r["ids"] for r in token_store.read_token_files(spark, path, np.ndarray.tolist, "ids array<long>").collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
+def test_token_files_stand_alone(spark, make, tmp_path):
+    """Another process reads the folder, with nothing of this one."""
+    import subprocess
+    import sys
+
+    path = token_store.write_token_files(make([(1, "one two"), (2, "two three two")]), "word_bpe_49k.json", str(tmp_path / "store"))
+    code = f"""
+from pyspark.sql import SparkSession
+from claimloom.llm import token_store
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("got", sorted(map(tuple, token_store.read_token_files(spark, {path!r}, token_store.ids_crc32, "c long").collect())))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    want = sorted(map(tuple, token_store.read_token_files(spark, path, token_store.ids_crc32, "c long").collect()))
+    assert f"got {want}" in out.stdout and len(want) == 2
+
+
 def test_numbers():
     n = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1, 7, 3], np.uint32)
     assert (token_store.decode_numbers(*token_store.encode_numbers(n), len(n)) == n).all() and len(token_store.decode_numbers(b"", b"", 0)) == 0
@@ -361,5 +391,5 @@ def test_odd_tables(spark, odd):
         assert run(odd.limit(0)).count() == 0, name
     for run in (near_dedup.keep_one, mixing.draw_mixture, lambda d: decontaminate.decontaminate(d, bench)):
         assert run(odd).columns == odd.columns and run(odd.limit(0)).count() == 0
-    path, ranks = token_store.write_token_files(odd.limit(0), "word_bpe_49k.json")
-    assert token_store.read_token_files(spark, path, ranks, token_store.ids_crc32, "c long").count() == 0
+    path = token_store.write_token_files(odd.limit(0), "word_bpe_49k.json")
+    assert token_store.read_token_files(spark, path, token_store.ids_crc32, "c long").count() == 0
