@@ -1,14 +1,20 @@
 r"""Benchmark decontamination by winnowing, with DataFrame operations only.
 
 A window is ``span`` consecutive words of a benchmark item (an item with fewer words,
-but not none, is one window).  Of each document the minimum k-gram hash of every run of
-``span - k + 1`` k-grams is kept; the benchmark gives all its k-grams, so every span of
-``span`` shared words meets in at least one fingerprint.  Documents that meet are read
-again: the windows around each met k-gram are compared in full, word for word.
+but not none, is one window).  Of documents and items alike the minimum k-gram hash of
+every run of ``span - k + 1`` k-grams is kept, so every span of ``span`` shared words has
+the same minimum on both sides and meets in at least one fingerprint.  Documents that meet
+are read again: the windows around each met k-gram are compared in full, word for word.
+
+Each word is hashed once; k-grams come from these hashes by doubling, and so do the minima,
+in a number of steps that grows with the logarithm of the span.  Windows of short items are
+winnowed in the same scan, under hashes of their own, so documents are read twice whatever
+the lengths of the items.
 
 Words are the runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after A-Z are lower-cased.
 
-Defined cases: a null text has no words; an item without words has no window; repeated
+Defined cases: a null text has no words; an item without words has no window; texts of any
+length are read whole, one row at a time; equal minima of a run are one fingerprint; repeated
 rows are each answered; rows with a null id are answered like others; an empty benchmark
 leaves every document clean; further columns of either table are ignored.
 """
@@ -20,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sized, write_table
+from .common import Scratch, ascii_lower, sized, write_table
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -29,45 +35,112 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, -1), "")
 
 
-def _runs(items: Column, length: int, of) -> Column:
-    """``of(start)`` for each run of ``length`` neighbours, null if there is none; starts count from 1."""
-    starts = F.sequence(F.lit(1), F.size(items) - (length - 1))
-    return F.when(F.size(items) >= length, F.transform(starts, of))
+def _zipped(a: str, b: str, shift: int, of) -> Column:
+    """``of(a[i], b[i + shift])`` for every place where there is both."""
+    size = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(1 + shift), size), of)
+
+
+def _grams(df: DataFrame, hashes: str, k: int, out: str) -> DataFrame:
+    """Adds hashes of the runs of ``k`` neighbours: runs of 1, 2, 4 ... are joined to longer ones."""
+    pair = lambda x, y: F.xxhash64(x, y)
+    power, name, have, covered = 1, hashes, None, 0
+    while power <= k:
+        if k & power:
+            if have is None:
+                have, covered = name, power
+            else:
+                df = df.withColumn(f"{out}_{power}", _zipped(name, have, power, pair))
+                have, covered = f"{out}_{power}", covered + power
+        power *= 2
+        if power <= k:
+            df = df.withColumn(f"{out}_x{power}", _zipped(name, name, power // 2, pair))
+            name = f"{out}_x{power}"
+    return df.withColumn(out, F.col(have))
+
+
+def _minima(df: DataFrame, hashes: str, width: int, out: str) -> DataFrame:
+    """Adds the distinct minima of all runs of ``width`` hashes: of 2, 4 ... neighbours first, then of two that overlap."""
+    lower = lambda x, y: F.least(x, y)
+    power, name = 1, hashes
+    while power * 2 <= width:
+        df = df.withColumn(f"{out}_{power * 2}", _zipped(name, name, power, lower))
+        name, power = f"{out}_{power * 2}", power * 2
+    if power < width:
+        df = df.withColumn(f"{out}_w", _zipped(name, name, width - power, lower))
+        name = f"{out}_w"
+    return df.withColumn(out, F.array_distinct(name))
+
+
+def _own(length: int, span: int) -> int:
+    """What the hashes of windows of this length are mixed with."""
+    return 0 if length == span else 0x9E3779B97F4A7C15 * length % (1 << 63)
+
+
+def _mixed_with(own: int):
+    return lambda h: h.bitwiseXOR(F.lit(own))
+
 
+def _k(length: int) -> int:
+    return (length + 1) // 2
 
-def grams(tokens: Column, k: int) -> Column:
-    """Hashes of the k-grams, null if there is none."""
-    return _runs(tokens, k, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(k))))
 
+def _with_grams(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds ``g<length>``, the k-gram hashes under which windows of each length are known, to a table with ``toks``."""
+    keep = df.columns
+    df = df.withColumn("h", F.transform("toks", lambda w: F.xxhash64(w)))
+    for n in lengths:
+        df = _grams(df, "h", _k(n), f"g{n}")
+    return df.select(*keep, *[f"g{n}" for n in lengths])
 
-def minima(hashes: Column, width: int) -> Column:
-    """The distinct minima of all runs of ``width`` hashes, null if there is none."""
-    return F.array_distinct(_runs(hashes, width, lambda i: F.array_min(F.slice(hashes, i, F.lit(width)))))
+
+def fingerprints(df: DataFrame, lengths: list[int], span: int) -> DataFrame:
+    """Adds ``hs``, the winnowed hashes of ``toks``, for windows of each length."""
+    keep = df.columns
+    df = _with_grams(df, lengths)
+    mixed = []
+    for n in lengths:
+        df = _minima(df, f"g{n}", n - _k(n) + 1, f"m{n}")
+        mixed.append(F.transform(f"m{n}", _mixed_with(_own(n, span))))
+    return df.select(*keep, (F.concat(*mixed) if len(mixed) > 1 else mixed[0]).alias("hs"))
 
 
 def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, span: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_hit, items (sorted array of string), contaminated."""
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    tokens = base.select("id", "th", words(F.col("text")).alias("toks"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col).cast("string")).alias("toks"))
-    items, items_path = write_table(items.where(F.size("toks") > 0), "benchmark-words")
+    items = scratch.write(items.where(F.size("toks") > 0), "benchmark-words")
     shorts = sorted(r[0] for r in items.where(F.size("toks") < span).select(F.size("toks")).distinct().collect())  # fewer than span values
-
-    hits = []
-    for length in [span, *shorts]:
-        k = (length + 1) // 2
-        own = items.where(F.size("toks") >= span) if length == span else items.where(F.size("toks") == length)
-        hits.append(_hits(base, own, length, k))
-    hits = reduce(DataFrame.unionByName, hits)
-    hits, hits_path = write_table(hits, "hits")
+    lengths = [span, *shorts]
+
+    prints = []
+    for n in lengths:  # an item is known by windows of its own length, or of the span
+        own = items.where(F.size("toks") >= span) if n == span else items.where(F.size("toks") == n)
+        prints.append(fingerprints(own, [n], span).select(F.explode("hs").alias("h")))
+    prints = scratch.write(reduce(DataFrame.unionByName, prints).distinct(), "prints")
+    drawn, _ = write_table(fingerprints(tokens, lengths, span).select("id", "th", F.size("toks").cast("long").alias("n_words"), "hs"), "fingerprints")
+    met = drawn.select("id", "th", F.explode("hs").alias("h")).join(prints, "h").groupBy("id", "th").agg(F.collect_set("h").alias("seeds"))
+    met = scratch.write(met.select(F.col("id").alias("m_id"), F.col("th").alias("m_th"), "seeds"), "met")
+
+    again = base.join(met, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("id", "th", "seeds", words(F.col("text")).alias("toks"))
+    again = _with_grams(again, lengths)
+    windows = scratch.write(_windows(items, span), "windows")
+    tried = F.array_distinct(F.concat(*[_around(f"g{n}", n, _own(n, span)) for n in lengths]))
+    tried = F.transform(tried, lambda w: F.struct(w["at"].alias("at"), w["len"].alias("len"), F.array_join(F.slice("toks", w["at"], w["len"]), " ").alias("window")))
+    tried = again.select("id", "th", F.inline(tried))
+    hits = tried.join(scratch.write(windows.select("window").distinct(), "window-texts"), "window").select("id", "th", "at", "len", "window")
+    hits, path = write_table(hits, "hits")
+    scratch.paths.append(path)
 
     covered = hits.groupBy("id", "th").agg(F.collect_set(F.struct("at", "len")).alias("spans"))
     covered = covered.select("id", "th", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))).alias("n_hit"))
-    windows = _windows(items, span)
     found = hits.select("id", "th", "window").distinct().join(windows, "window").groupBy("id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
     answer = covered.join(found, (covered["id"].eqNullSafe(found["id"])) & (covered["th"] == found["th"])).select(covered["id"].alias("r_id"), covered["th"].alias("r_th"), "n_hit", "items")
     answer, path = write_table(answer, "answer")
-    counted = base.select("id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return counted.join(sized(answer, path), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").select(
+    scratch.drop()
+    return drawn.select("id", "th", "n_words").join(sized(answer, path), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -76,6 +149,16 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, span: int = 1
     )
 
 
+def _around(grams: str, length: int, own: int) -> Column:
+    """(at, len) of the windows around each k-gram that was met, as far as they lie in the text."""
+    k, whole = _k(length), F.size("toks") >= length
+    at = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(F.col("seeds"), F.element_at(grams, i).bitwiseXOR(F.lit(own))))
+    first = lambda i: F.greatest(i - (length - k), F.lit(1))
+    last = lambda i: F.least(i, F.size("toks") - (length - 1))
+    starts = F.flatten(F.transform(at, lambda i: F.sequence(first(i), last(i))))
+    return F.when(whole, F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(length).alias("len")))).otherwise(F.array().cast("array<struct<at: int, len: int>>"))
+
+
 def _windows(items: DataFrame, span: int) -> DataFrame:
     """(window, item): the words of each window, joined by a space."""
     toks = F.col("toks")
@@ -84,26 +167,6 @@ def _windows(items: DataFrame, span: int) -> DataFrame:
     return items.select("item", F.explode(each).alias("window")).distinct()
 
 
-def _hits(base: DataFrame, items: DataFrame, length: int, k: int) -> DataFrame:
-    """(id, th, at, len, window): where windows of ``length`` words lie in the documents."""
-    prints = items.select(F.explode(grams(F.col("toks"), k)).alias("h")).distinct()
-    prints, path = write_table(prints, "prints")
-    tokens = base.select("id", "th", words(F.col("text")).alias("toks"))
-    drawn = tokens.where(F.size("toks") >= length).select("id", "th", grams(F.col("toks"), k).alias("g"))
-    drawn = drawn.select("id", "th", F.explode(minima(F.col("g"), length - k + 1)).alias("h"))
-    met = drawn.join(sized(prints, path), "h").groupBy("id", "th").agg(F.collect_set("h").alias("seeds"))
-    met, path = write_table(met.select(F.col("id").alias("m_id"), F.col("th").alias("m_th"), "seeds"), "met")
-
-    again = base.join(sized(met, path), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("id", "th", "seeds", words(F.col("text")).alias("toks"))
-    again = again.select("id", "th", "seeds", "toks", grams(F.col("toks"), k).alias("g"))
-    at = F.filter(F.sequence(F.lit(1), F.size("g")), lambda i: F.array_contains(F.col("seeds"), F.element_at("g", i)))
-    around = F.transform(at, lambda i: F.sequence(F.greatest(i - (length - k), F.lit(1)), F.greatest(F.least(i, F.size("toks") - (length - 1)), F.lit(1))))
-    tried = F.transform(F.array_distinct(F.flatten(around)), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("toks", i, F.lit(length)), " ").alias("window")))
-    tried = again.select("id", "th", F.inline(tried))
-    whole, path = write_table(_windows(items, length).select("window").distinct(), "windows")
-    return tried.join(sized(whole, path), "window").select("id", "th", "at", F.lit(length).alias("len"), "window")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
