@@ -33,7 +33,7 @@ def test_pipeline(spark):
         for a in sets:
             for b in sets:
                 both = len(sets[a] & sets[b])
-                if both and label[a] > label[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+                if both and label[a] > label[b] and 100 * both >= 80 * len(sets[a] | sets[b]):
                     label[a], changed = label[b], True
     left = {i: t for i, t in left.items() if label[i] == i}
     bench = [tuple(r) for r in spark.read.parquet(str(DATA / "benchmark.parquet")).select("item_id", "text").collect()]
