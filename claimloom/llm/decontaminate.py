@@ -6,15 +6,16 @@ every run of ``span - k + 1`` k-grams is kept, so every span of ``span`` shared
 the same minimum on both sides and meets in at least one fingerprint.  Documents that meet
 are read again: the windows around each met k-gram are compared in full, word for word.
 
-Each word is hashed once; k-grams come from these hashes by doubling, and so do the minima,
-in a number of steps that grows with the logarithm of the span.  Windows of short items are
-winnowed in the same scan, under hashes of their own, so documents are read twice whatever
-the lengths of the items.
+Each word is hashed once.  Pieces of a text are turned into one row per window, with the
+hashes of its words side by side, so that k-grams, minima and the question whether a
+minimum is new are plain columns of generated code.  Windows of short items are winnowed
+in the same rows, under hashes of their own: documents are read twice whatever the lengths
+of the items, once for fingerprints and once, those that met, for the comparison.
 
 Words are the runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after A-Z are lower-cased.
 
 Defined cases: a null text has no words; an item without words has no window; texts of any
-length are read whole, one row at a time; equal minima of a run are one fingerprint; repeated
+length are read whole, in pieces of 4096 words that overlap; equal minima of a run are one fingerprint; repeated
 rows are each answered; rows with a null id are answered like others; an empty benchmark
 leaves every document clean; further columns of either table are ignored.
 """
@@ -35,41 +36,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, -1), "")
 
 
-def _zipped(a: str, b: str, shift: int, of) -> Column:
-    """``of(a[i], b[i + shift])`` for every place where there is both."""
-    size = F.greatest(F.size(b) - shift, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(1 + shift), size), of)
-
-
-def _grams(df: DataFrame, hashes: str, k: int, out: str) -> DataFrame:
-    """Adds hashes of the runs of ``k`` neighbours: runs of 1, 2, 4 ... are joined to longer ones."""
-    pair = lambda x, y: F.xxhash64(x, y)
-    power, name, have, covered = 1, hashes, None, 0
-    while power <= k:
-        if k & power:
-            if have is None:
-                have, covered = name, power
-            else:
-                df = df.withColumn(f"{out}_{power}", _zipped(name, have, power, pair))
-                have, covered = f"{out}_{power}", covered + power
-        power *= 2
-        if power <= k:
-            df = df.withColumn(f"{out}_x{power}", _zipped(name, name, power // 2, pair))
-            name = f"{out}_x{power}"
-    return df.withColumn(out, F.col(have))
-
-
-def _minima(df: DataFrame, hashes: str, width: int, out: str) -> DataFrame:
-    """Adds the distinct minima of all runs of ``width`` hashes: of 2, 4 ... neighbours first, then of two that overlap."""
-    lower = lambda x, y: F.least(x, y)
-    power, name = 1, hashes
-    while power * 2 <= width:
-        df = df.withColumn(f"{out}_{power * 2}", _zipped(name, name, power, lower))
-        name, power = f"{out}_{power * 2}", power * 2
-    if power < width:
-        df = df.withColumn(f"{out}_w", _zipped(name, name, width - power, lower))
-        name = f"{out}_w"
-    return df.withColumn(out, F.array_distinct(name))
+_PIECE = 4096
 
 
 def _own(length: int, span: int) -> int:
@@ -77,32 +44,40 @@ def _own(length: int, span: int) -> int:
     return 0 if length == span else 0x9E3779B97F4A7C15 * length % (1 << 63)
 
 
-def _mixed_with(own: int):
-    return lambda h: h.bitwiseXOR(F.lit(own))
-
-
 def _k(length: int) -> int:
-    return (length + 1) // 2
+    return max((length + 1) // 2, length - 5)
 
 
-def _with_grams(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds ``g<length>``, the k-gram hashes under which windows of each length are known, to a table with ``toks``."""
-    keep = df.columns
-    df = df.withColumn("h", F.transform("toks", lambda w: F.xxhash64(w)))
-    for n in lengths:
-        df = _grams(df, "h", _k(n), f"g{n}")
-    return df.select(*keep, *[f"g{n}" for n in lengths])
+def _gram(words_: list[Column], length: int, span: int) -> Column:
+    return F.xxhash64(F.lit(_own(length, span)), *words_)
 
 
 def fingerprints(df: DataFrame, lengths: list[int], span: int) -> DataFrame:
-    """Adds ``hs``, the winnowed hashes of ``toks``, for windows of each length."""
-    keep = df.columns
-    df = _with_grams(df, lengths)
-    mixed = []
+    """Rows of ``df``, but for ``toks``, with ``anchor`` and ``h``: one row with ``anchor`` 1 for each row of ``df``, and one per winnowed hash.
+
+    ``h`` is null in a row that is there as an anchor only.
+    """
+    keep = [c for c in df.columns if c != "toks"]
+    width = max(lengths)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)), F.lit(_PIECE)), lambda c: F.transform(F.slice("toks", c + 1, F.lit(_PIECE + width - 1)), lambda w: F.xxhash64(w)))
+    df = df.select(*keep, F.posexplode(pieces).alias("piece", "w"))
+    shifted = [F.concat(F.array(F.lit(None).cast("long")), "w").alias("w0")]  # the word before
+    shifted += [F.slice("w", F.lit(j), F.greatest(F.size("w") - (j - 1), F.lit(0))).alias(f"w{j}") for j in range(1, width + 1)]
+    df = df.select(*keep, "piece", *shifted)
+    df = df.select(*keep, "piece", F.posexplode(F.arrays_zip(*[f"w{j}" for j in range(width + 1)])).alias("at", "z")).select(*keep, "piece", "at", "z.*")
+    first = (F.col("piece") == 0) & (F.col("at") == 0)
+    hashes = []
     for n in lengths:
-        df = _minima(df, f"g{n}", n - _k(n) + 1, f"m{n}")
-        mixed.append(F.transform(f"m{n}", _mixed_with(_own(n, span))))
-    return df.select(*keep, (F.concat(*mixed) if len(mixed) > 1 else mixed[0]).alias("hs"))
+        k = _k(n)
+        grams = [_gram([F.col(f"w{i + j}") for j in range(k)], n, span) for i in range(n - k + 2)]
+        low = F.least(*grams[1:]) if len(grams) > 2 else grams[1]
+        before = F.least(*grams[:-1]) if len(grams) > 2 else grams[0]
+        hashes.append(F.when(F.col(f"w{n}").isNotNull() & ((F.col("at") == 0) | (low != before)), low))
+    df = df.select(*keep, first.alias("first"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+    if len(lengths) == 1:
+        return df.select(*keep, F.col("first").cast("int").alias("anchor"), F.col("h0").alias("h")).where("anchor = 1 OR h IS NOT NULL")
+    df = df.select(*keep, "first", F.posexplode(F.array(*[f"h{i}" for i in range(len(lengths))])).alias("which", "h"))
+    return df.select(*keep, (F.col("first") & (F.col("which") == 0)).cast("int").alias("anchor"), "h").where("anchor = 1 OR h IS NOT NULL")
 
 
 def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, span: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -118,16 +93,18 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, span: int = 1
     prints = []
     for n in lengths:  # an item is known by windows of its own length, or of the span
         own = items.where(F.size("toks") >= span) if n == span else items.where(F.size("toks") == n)
-        prints.append(fingerprints(own, [n], span).select(F.explode("hs").alias("h")))
+        prints.append(fingerprints(own, [n], span).select("h").where("h IS NOT NULL"))
     prints = scratch.write(reduce(DataFrame.unionByName, prints).distinct(), "prints")
-    drawn, _ = write_table(fingerprints(tokens, lengths, span).select("id", "th", F.size("toks").cast("long").alias("n_words"), "hs"), "fingerprints")
-    met = drawn.select("id", "th", F.explode("hs").alias("h")).join(prints, "h").groupBy("id", "th").agg(F.collect_set("h").alias("seeds"))
-    met = scratch.write(met.select(F.col("id").alias("m_id"), F.col("th").alias("m_th"), "seeds"), "met")
+    tokens = tokens.withColumn("n_words", F.size("toks").cast("long"))
+    drawn = fingerprints(tokens, lengths, span).join(prints.withColumn("met", F.lit(True)), "h", "left").where("anchor = 1 OR met")
+    drawn = drawn.groupBy("id", "th", "n_words").agg(F.sum("anchor").alias("copies"), F.collect_set(F.when(F.col("met"), F.col("h"))).alias("seeds"))
+    drawn, _ = write_table(drawn, "fingerprints")
+    met = scratch.write(drawn.where(F.size("seeds") > 0).select(F.col("id").alias("m_id"), F.col("th").alias("m_th"), "seeds"), "met")
 
     again = base.join(met, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("id", "th", "seeds", words(F.col("text")).alias("toks"))
-    again = _with_grams(again, lengths)
+    again = again.withColumn("h", F.transform("toks", lambda w: F.xxhash64(w)))
     windows = scratch.write(_windows(items, span), "windows")
-    tried = F.array_distinct(F.concat(*[_around(f"g{n}", n, _own(n, span)) for n in lengths]))
+    tried = F.array_distinct(F.concat(*[_around(n, span) for n in lengths]))
     tried = F.transform(tried, lambda w: F.struct(w["at"].alias("at"), w["len"].alias("len"), F.array_join(F.slice("toks", w["at"], w["len"]), " ").alias("window")))
     tried = again.select("id", "th", F.inline(tried))
     hits = tried.join(scratch.write(windows.select("window").distinct(), "window-texts"), "window").select("id", "th", "at", "len", "window")
@@ -140,7 +117,7 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, span: int = 1
     answer = covered.join(found, (covered["id"].eqNullSafe(found["id"])) & (covered["th"] == found["th"])).select(covered["id"].alias("r_id"), covered["th"].alias("r_th"), "n_hit", "items")
     answer, path = write_table(answer, "answer")
     scratch.drop()
-    return drawn.select("id", "th", "n_words").join(sized(answer, path), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").select(
+    return drawn.select("id", "th", "n_words", F.explode(F.sequence(F.lit(1), F.col("copies")))).join(sized(answer, path), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -149,10 +126,11 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, span: int = 1
     )
 
 
-def _around(grams: str, length: int, own: int) -> Column:
+def _around(length: int, span: int) -> Column:
     """(at, len) of the windows around each k-gram that was met, as far as they lie in the text."""
     k, whole = _k(length), F.size("toks") >= length
-    at = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(F.col("seeds"), F.element_at(grams, i).bitwiseXOR(F.lit(own))))
+    gram = lambda i: _gram([F.element_at("h", i + j) for j in range(k)], length, span)
+    at = F.filter(F.sequence(F.lit(1), F.size("toks") - (k - 1)), lambda i: F.array_contains(F.col("seeds"), gram(i)))
     first = lambda i: F.greatest(i - (length - k), F.lit(1))
     last = lambda i: F.least(i, F.size("toks") - (length - 1))
     starts = F.flatten(F.transform(at, lambda i: F.sequence(first(i), last(i))))
