@@ -195,6 +195,8 @@ def parse(media: bytes) -> list[Frame]:
                 if bits != 8 or not frame.width or not frame.height:
                     raise ValueError("not 8 bits or no size")
                 frame.parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+                if not all(1 <= side <= 4 for part in frame.parts for side in part[1:3]):
+                    raise ValueError("sampling factor out of range")
             elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("not baseline")
             elif marker == 0xC4:
@@ -226,6 +228,9 @@ def parse(media: bytes) -> list[Frame]:
                 done = True
         if not frame.lanes:
             raise ValueError("no luminance scan")
+        across, down = frame.units
+        if across * down > 4 * sum(map(len, frame.lanes)):  # a unit takes two bits at least
+            raise ValueError("scan too short for the size")
         frames.append(frame)
     if not frames:
         raise ValueError("empty")
@@ -385,20 +390,33 @@ def describe(frames: list[Frame], thumbs: list[np.ndarray]) -> str:
     return f"{frames[0].width}x{sum(f.height for f in frames)}x{len(frames)}:{average}:{difference}"
 
 
-def describe_media(media: DataFrame, *, id_col: str = "id", media_col: str = "content") -> DataFrame:
+def describe_media(media: DataFrame, *, id_col: str = "id", media_col: str = "content", chunk: int = 6_000_000) -> DataFrame:
     """One row per input row: id, width, height, images, thumbnail_sha256, average_hash, difference_hash, error."""
 
+    def told(frames: list[Frame], thumbs: list[np.ndarray]) -> tuple:
+        return (frames[0].width, frames[0].height, len(frames), hashlib.sha256(b"".join(t.tobytes() for t in thumbs)).hexdigest(), *hashes(thumbs[0]), None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = []
-            for content in batch.column(1).to_pylist():
-                try:
-                    frames = parse(content or b"")
-                    thumbs = thumbnails(frames)
-                    own = hashes(thumbs[0])
-                    rows.append((frames[0].width, frames[0].height, len(frames), hashlib.sha256(b"".join(t.tobytes() for t in thumbs)).hexdigest(), *own, None))
-                except (ValueError, struct.error, IndexError) as e:
-                    rows.append((None, None, None, None, None, None, str(e)))
+            contents = [c or b"" for c in batch.column(1).to_pylist()]
+            rows: list[tuple] = [()] * len(contents)
+            for group in _groups([len(c) for c in contents], chunk):
+                good: dict[int, list[Frame]] = {}
+                for i in group:
+                    try:
+                        good[i] = parse(contents[i])
+                    except (ValueError, struct.error, IndexError) as e:
+                        rows[i] = (*[None] * 6, str(e))
+                try:  # side by side, unless one of them has a broken scan
+                    thumbs = iter(thumbnails([f for frames in good.values() for f in frames]))
+                    for i, frames in good.items():
+                        rows[i] = told(frames, [next(thumbs) for _ in frames])
+                except (ValueError, IndexError):
+                    for i, frames in good.items():
+                        try:
+                            rows[i] = told(frames, thumbnails(frames))
+                        except (ValueError, IndexError) as e:
+                            rows[i] = (*[None] * 6, str(e))
             types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "width", "height", "images", "thumbnail_sha256", "average_hash", "difference_hash", "error"])

@@ -287,7 +287,9 @@ def test_jpeg_round_trip_and_errors(spark, odd):
     for p, m in zip(payloads, jpeg.write_images(payloads), strict=True):
         assert b"".join(t.tobytes() for t in jpeg.thumbnails(jpeg.parse(m))) == p
     good = jpeg.write_images(payloads[1:2])[0]
-    bad = [good, None, b"", b"no", good[:200], good[:-40], good.replace(b"\xff\xc0", b"\xff\xc2")]
+    frame = good.index(b"\xff\xc0")  # marker, size, bits, height, width, parts, then (id, sampling, quantiser)
+    no_sampling, huge = good[: frame + 11] + b"\0" + good[frame + 12 :], good[: frame + 5] + b"\xff\xff\xff\xff" + good[frame + 9 :]
+    bad = [good, None, b"", b"no", good[:200], good[:-40], good.replace(b"\xff\xc0", b"\xff\xc2"), no_sampling, huge, *(good[:k] + bytes([good[k] ^ 0x55]) + good[k + 1 :] for k in (frame + 3, frame + 9, frame + 10))]
     rows = jpeg.describe_media(spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate(bad)], "id long, content binary")).orderBy("id").collect()
     assert rows[0]["error"] is None and (rows[0]["width"], rows[0]["height"]) == (192, 192) and all(r["error"] for r in rows[1:])
     got = jpeg.read_digests(jpeg.store_texts(odd)).collect()
