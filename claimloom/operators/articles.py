@@ -36,26 +36,30 @@ def _meta(doc: Node, name: str) -> str | None:
     return next((_clean(n.attrs["content"]) for n in doc.select("meta") if n.attrs.get("name") == name and "content" in n.attrs), None)
 
 
+#: How the pages word dates and authors.
+_UPDATED, _BY, _TRANSLATED_BY = r"Last updated on (\d{1,2} \w+ \d{4})", r"by ([\w\s]+)\.", r"Translation by ([A-Za-z\s]+)"
+
+
+def _found(pattern: str, text: str) -> str | None:
+    got = re.search(pattern, text)
+    return got[1].strip() if got else None
+
+
 def _byline(doc: Node):
-    """(last update, author): the green box, or else the footnote under the first comment."""
+    """(last update, author): the first green box that tells either, and for an author it lacks the footnote under the first comment."""
+    date = author = None
     for box in doc.select("p.greenbox"):
         text = box.text()
-        if "Last updated" in text:
-            day, who = re.search(r"Last updated on (\d{1,2} \w+ \d{4})", text), re.search(r"by ([\w\s]+)\.", text)
+        if "Last updated" in text or "Translation by" in text:
+            author = _found(_BY, text)
             try:
-                date = datetime.strptime(day[1], "%d %B %Y").date() if day else None
+                date = datetime.strptime(_found(_UPDATED, text) or "", "%d %B %Y").date() if "Last updated" in text else None
             except ValueError:
                 date = None
-            return date, who[1].strip() if who else None
-        if "Translation by" in text:
-            who = re.search(r"by ([\w\s]+)\.", text)
-            if who:
-                return None, who[1].strip()
             break
-    comment = doc.first("div.comment")
+    comment = doc.first("div.comment") if author is None else None
     note = next((n for n in comment.after() if n.tag == "p" and n.attrs.get("class") == "footnote padding"), None) if comment else None
-    who = re.search(r"Translation by ([A-Za-z\s]+)", note.text()) if note else None
-    return None, who[1].strip() if who else None
+    return date, author if note is None else _found(_TRANSLATED_BY, note.text())
 
 
 def _languages(doc: Node, url: str) -> list[dict]:
@@ -86,10 +90,12 @@ def _levels(doc: Node, url: str):
 
 
 def _myth(doc: Node):
+    """(text, source) of the myth box, or else of the first comment; a source is a link with a target."""
     for selector in (".comment.myth", ".comment"):
         if (box := doc.first(selector)) is not None:
             a = box.find("a")
-            return _fold(box.text().strip()), {"url": a.attrs.get("href"), "name": _fold(a.text().strip())} if a is not None else None, box, selector
+            linked = a is not None and a.attrs.get("href") is not None
+            return _fold(box.text().strip()), {"url": a.attrs["href"], "name": a.text().strip()} if linked else None, box, selector
     return None, None, None, None
 
 
@@ -102,16 +108,19 @@ def _until(nodes: list[Node], stop: str) -> list[Node]:
     return out
 
 
-def _body(doc: Node, glance: str | None, box: Node | None, selector: str | None) -> list[Node]:
-    """The elements that make up the article's text."""
+def _body(doc: Node, glance: str | None, says: str | None, box: Node | None, selector: str | None) -> list[Node]:
+    """The elements that make up the article's text; only a page that says nothing itself is read under its first ``h4``."""
     headings = {n.text().strip(): n for n in reversed(doc.select("h2"))}
     if glance:
         details = next((n for n in doc.walk() if n.attrs.get("id") == "FurtherDetails"), None)
         if details is not None and details.parent is not None:
             return details.parent.after()
         return headings["Further details"].after() if "Further details" in headings else []
-    if box is not None:
-        near = box.next() if selector == ".comment.myth" else box.next("div")
+    if says:
+        near = None if box is None else box.next() if selector == ".comment.myth" else box.next("div")
+        if near is None and selector == ".comment.myth":  # nothing after the myth: as without it
+            first = doc.first("div.comment")
+            near = first.next("div") if first is not None else None
         return near.select("p") if near is not None else []
     first = doc.find("h4")
     return first.after() if first is not None else []
@@ -146,11 +155,12 @@ def parse_article(url: str, html: str | None) -> dict:
     date, author = _byline(doc)
     own, levels = _levels(doc, url)
     heading = doc.first("#mainbody h2")
-    says = heading.next("div") if heading is not None else None
-    myth, source, box, selector = _myth(doc) if says is not None else (None, None, None, None)
+    said = heading.next("div") if heading is not None else None
+    says = said.text().strip() if said is not None else None
+    myth, source, box, selector = _myth(doc) if says else (None, None, None, None)
     glance_head = next((n for n in doc.select("h2") if n.text().strip() == "At a glance"), None)
     glance = "\n".join(n.text().strip() for n in _until(glance_head.after(), "bluebox")).strip() if glance_head is not None else None
-    content, figures = _fold_body(_body(doc, glance, box, selector))
+    content, figures = _fold_body(_body(doc, glance, says, box, selector))
     related_head = next((n for n in doc.select("h2") if n.text().strip() == "Related Arguments"), None)
     related_box = related_head.parent.next("div") if related_head is not None and related_head.parent is not None else None
     return {
@@ -165,7 +175,7 @@ def parse_article(url: str, html: str | None) -> dict:
         "last_update": date,
         "languages": _languages(doc, url),
         "levels": levels,
-        "what_the_science_says": says.text().strip() if says is not None else None,
+        "what_the_science_says": says,
         "climate_myth": myth,
         "climate_myth_source": source,
         "at_glance": glance,

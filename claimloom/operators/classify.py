@@ -11,16 +11,17 @@ from pyspark.sql.functions import pandas_udf
 
 from ..config import RDF, SKOS
 from ..functions.text import clean_tokens, first_max, jaccard, last_of, window
+from .concepts import place
 
 #: The classes of the second model, by index.
 CLASS_LABELS = ("1_1", "1_2", "1_3", "1_4", "1_6", "1_7", "2_1", "2_3", "3_1", "3_2", "3_3", "4_1", "4_2", "4_4", "4_5", "5_1", "5_2", "5_3")
 NEGATIVE = "0"
-#: Labels fewer than this are broadcast; a larger taxonomy is joined by shuffle.
-BROADCAST_LABELS = 100_000
+#: Labels are broadcast up to so many bytes of text; a larger taxonomy is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def taxonomy(triples: DataFrame, scheme: str | None = None) -> DataFrame:
-    """(id, url, label, parent_id) of the concepts of a SKOS graph.
+    """(id, url, label, parent_id, ord) of the concepts of a SKOS graph; ``ord`` sorts them as a taxonomy lists them.
 
     One grouped pass over the triples instead of a self-join per predicate.
     """
@@ -33,7 +34,7 @@ def taxonomy(triples: DataFrame, scheme: str | None = None) -> DataFrame:
         F.min(F.when(of(SKOS + "broader"), F.col("o"))).alias("parent"),
     )
     rows = rows.where("concept AND inside AND label IS NOT NULL")
-    return rows.select(last_of(F.col("s"), "#").alias("id"), F.col("s").alias("url"), "label", last_of(F.col("parent"), "#").alias("parent_id"))
+    return rows.select(last_of(F.col("s"), "#").alias("id"), F.col("s").alias("url"), "label", last_of(F.col("parent"), "#").alias("parent_id"), place(last_of(F.col("s"), "#")).alias("ord"))
 
 
 def scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, tokens: Callable[[Column], Column] = clean_tokens) -> DataFrame:
@@ -47,10 +48,11 @@ def scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: s
 def all_scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, tokens: Callable[[Column], Column] = clean_tokens) -> DataFrame:
     """The same for every pair, 0 included: for small label sets and thresholds of 0.
 
-    The labels are broadcast, and their number is checked first.
+    The labels are broadcast, and their bytes are checked first.
     """
     small = labels.select(F.col(label_id).alias("label_id"), F.col(order).alias("ord"), tokens(F.col(label)).alias("lt"))
-    if labels.limit(BROADCAST_LABELS + 1).count() > BROADCAST_LABELS:
+    size = labels.agg(F.coalesce(F.sum(F.octet_length(label) + 64), F.lit(0))).first()[0]
+    if size > BROADCAST_BYTES:
         raise ValueError("too many labels to compare every text with each; use scores()")
     left = texts.select(F.col(key).alias("key"), tokens(F.col(text)).alias("tt"))
     return left.join(F.broadcast(small), F.lit(True), "inner").select("key", "label_id", "ord", jaccard(F.col("tt"), F.col("lt")).alias("similarity"))

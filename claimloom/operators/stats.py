@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ def summary(counts: DataFrame, excluded: tuple[str, ...] = ("0_0",)) -> DataFram
     )
 
 
-def tree_lines(nodes: DataFrame, most: int = 10_000) -> list[str]:
-    """A hierarchy as indented lines and a total, for printing: at most ``most`` nodes."""
-    rows = nodes.orderBy("page_id", "node_id").limit(most).collect()
-    return ["  " * r["depth"] + "- " + (r["url"] or "") for r in rows] + [f"total: {len(rows)}"]
+def tree_lines(nodes: DataFrame) -> Iterator[str]:
+    """A hierarchy as indented lines and a total, for printing; the rows come a partition at a time, all of them."""
+    total = 0
+    for r in nodes.orderBy("page_id", "node_id").toLocalIterator():
+        total += 1
+        yield "  " * r["depth"] + "- " + (r["url"] or "")
+    yield f"total: {total}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions import text as T
 from .functions import urls as U
-from .operators import articles, classify, ingest, stats, triples
+from .operators import articles, classify, concepts, ingest, stats, triples
 from .plans.sparql import query as sparql
 from .schemas import TRIPLES
 from .sources.rdf import ntriples, read_ntriples
@@ -193,13 +193,8 @@ def last_event_per_user(spark, d):
     return ingest.last_per_key(_t(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts").select("user_id", "event_id")
 
 
-@_register("SELECT doc_id, w AS keyword FROM (SELECT doc_id, unnest(string_split(left(text, 80), ' ')) AS w FROM documents)")
+@_register("SELECT doc_id, w AS keyword FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)")
 def keywords_explode(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 80), " ", -1)).alias("keyword"))
-
-
-@_register(SQL["keywords_explode"].replace("left(text, 80)", "text"))
-def keywords_explode_whole(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("keyword"))
 
 
@@ -242,13 +237,13 @@ def cache_ttl_hits(spark, d):
 
 
 # -- matching
-_PAIRS = f"""WITH l AS (SELECT doc_id, {_TOKENS.format("left(text, 256)")} AS a FROM documents), r AS (SELECT item_id, {_TOKENS.format("text")} AS b FROM benchmark),
+_PAIRS = f"""WITH l AS (SELECT doc_id, {_TOKENS.format("text")} AS a FROM documents), r AS (SELECT item_id, {_TOKENS.format("text")} AS b FROM benchmark),
 p AS (SELECT doc_id, item_id, len(list_intersect(a, b)) AS k, len(a) AS n, len(b) AS m FROM l, r),
 s AS (SELECT doc_id, item_id, CASE WHEN n + m - k = 0 THEN 0.0::DOUBLE ELSE k::DOUBLE / (n + m - k)::DOUBLE END AS similarity FROM p) """
 
 
 def _match_inputs(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 256).alias("text")), _t(spark, d, "benchmark")
+    return _t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "benchmark")
 
 
 @_register(_PAIRS + "SELECT doc_id AS key, item_id AS label_id, item_id AS ord, similarity FROM s")
@@ -269,22 +264,6 @@ def jaccard_best_match(spark, d):
     return classify.best_match(*_match_inputs(spark, d), "doc_id", "text", "item_id", "text", "item_id", 0.05)
 
 
-# The three above read the first 256 characters, as their SQL says; these read the whole texts.
-@_register(SQL["jaccard_cross"].replace("left(text, 256)", "text"))
-def jaccard_cross_whole(spark, d):
-    return classify.all_scores(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", "item_id")
-
-
-@_register(SQL["jaccard_inverted"].replace("left(text, 256)", "text"))
-def jaccard_inverted_whole(spark, d):
-    return classify.scores(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", "item_id")
-
-
-@_register(SQL["jaccard_best_match"].replace("left(text, 256)", "text"))
-def jaccard_best_match_whole(spark, d):
-    return classify.best_match(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", "item_id", 0.05)
-
-
 _NAMES = "[" + ", ".join(f"'{x}'" for x in classify.CLASS_LABELS) + "]"
 
 
@@ -374,36 +353,34 @@ _sparql("sparql_ask", "ASK { ?c :vip true }", "SELECT count(*) > 0 AS answer FRO
 _sparql("sparql_construct", "CONSTRUCT { ?r :has ?c } WHERE { ?c :of/:in ?r }", f"SELECT 'http://g/region/' || n_regionkey AS s, 'iri' AS s_kind, 'http://g/has' AS p, {_C} AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM customer JOIN nation ON n_nationkey = c_nationkey")
 
 
-def _tree() -> list[tuple]:
-    """A SKOS tree of 6, 27 and 49 concepts."""
-    from .config import RDF, SKOS
-
-    ids = [f"{a}" for a in range(6)]
-    second = [f"{k % 5 + 1}_{k}" for k in range(27)]
-    third = [f"{second[k % 27]}_{k}" for k in range(49)]
-    out, url = [], lambda x: f"{_N}{x}"
-    for x in ids + second + third:
-        out += [(url(x), "iri", RDF + "type", SKOS + "Concept", "iri", None, None), (url(x), "iri", SKOS + "inScheme", url("scheme"), "iri", None, None), (url(x), "iri", SKOS + "prefLabel", f"label {x}", "literal", None, "en")]
-        if "_" in x:
-            out.append((url(x), "iri", SKOS + "broader", url(x.rpartition("_")[0]), "iri", None, None))
-    return out
+_quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_TREE = ", ".join(f"({_quoted(i)}, {_quoted(label)}, {_quoted(up)})" for i, label, up in concepts.listed())
+_EDGES = ", ".join(f"({_quoted(i)}, {_quoted(up)})" for i, _, up in concepts.listed() if up)
+_ORD = "lpad(CAST(len(string_split(id, '_')) AS VARCHAR), 3, '0') || array_to_string(list_transform(string_split(id, '_'), lambda x: lpad(x, 10, '0')), '')"
 
 
-_TREE = ", ".join(f"('{a[0].rpartition('#')[2]}', '{a[3]}')" for a in _tree() if a[4] == "literal")
-_EDGES = ", ".join(f"('{a[0].rpartition('#')[2]}', '{a[3].rpartition('#')[2]}')" for a in _tree() if a[2].endswith("broader"))
+@_register(f"SELECT id, '{_N}' || id AS url, label, p AS parent_id, {_ORD} AS ord FROM (VALUES {_TREE}) t(id, label, p)")
+def taxonomy_star_bgp(spark, d):
+    return classify.taxonomy(concepts.concept_triples(spark, _N))
 
 
-@_register(f"SELECT t.id, '{_N}' || t.id AS url, label, p AS parent_id FROM (VALUES {_TREE}) t(id, label) LEFT JOIN (VALUES {_EDGES}) e(c, p) ON e.c = t.id")
-def taxonomy_star_bgp(spark, d):
-    return classify.taxonomy(spark.createDataFrame(_tree(), TRIPLES))
+@_register(SQL["taxonomy_star_bgp"])
+def taxonomy_builtin(spark, d):
+    return concepts.concepts(spark, _N)
 
 
 @_register(f"WITH RECURSIVE e(c, p) AS (VALUES {_EDGES}), r AS (SELECT c, p FROM e UNION SELECT r.c, e.p FROM r JOIN e ON e.c = r.p) SELECT '{_N}' || c AS x, '{_N}' || p AS y FROM r")
 def taxonomy_broader_closure(spark, d):
-    return sparql(spark.createDataFrame(_tree(), TRIPLES), "PREFIX skos: <http://www.w3.org/2004/02/skos/core#> SELECT ?x ?y { ?x skos:broader+ ?y }")
+    return sparql(concepts.concept_triples(spark, _N), "PREFIX skos: <http://www.w3.org/2004/02/skos/core#> SELECT ?x ?y { ?x skos:broader+ ?y }")
+
+
+@_register(f"SELECT p, count(*) AS n FROM (SELECT unnest(['type', 'inScheme', 'prefLabel']) AS p FROM (VALUES {_TREE}) t(id, label, up) UNION ALL SELECT unnest(CASE WHEN up IS NULL THEN ['topConceptOf', 'hasTopConcept'] ELSE ['broader', 'narrower'] END) FROM (VALUES {_TREE}) t(id, label, up) UNION ALL SELECT unnest(['type', 'prefLabel', 'definition'])) GROUP BY p")
+def taxonomy_triple_counts(spark, d):
+    found = triples.graph(concepts.concept_triples(spark, _N))
+    return found.groupBy(F.regexp_extract("p", "([A-Za-z]+)$", 1).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register(f"SELECT CAST(len(string_split(id, '_')) AS BIGINT) AS depth, count(*) AS n FROM (VALUES {_TREE}) t(id, label) GROUP BY 1")
+@_register(f"SELECT CAST(len(string_split(id, '_')) AS BIGINT) AS depth, count(*) AS n FROM (VALUES {_TREE}) t(id, label, p) GROUP BY 1")
 def taxonomy_tree_counts(spark, d):
     return taxonomy_star_bgp(spark, d).groupBy(F.size(F.split("id", "_")).cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -15,12 +15,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.ingest import cache_split
 
-#: The claims that ``collect`` asks a remote endpoint for.
+#: The claims that ``collect`` asks a remote endpoint for, in the endpoint's terms.
 CLAIM_QUERY = """
-PREFIX s: <http://schema.org/>
+PREFIX schema: <http://schema.org/>
 SELECT DISTINCT ?rev ?date_published ?text WHERE {{
-  ?rev a s:ClaimReview ; s:inLanguage "{language}" ; s:datePublished ?date_published ; s:itemReviewed ?cl .
-  ?cl s:text ?text . }}
+  ?rev a schema:ClaimReview ; schema:inLanguage "{language}" ; schema:datePublished ?date_published ; schema:itemReviewed ?cl .
+  ?cl schema:text ?text . }}
 ORDER BY DESC(?date_published) LIMIT {limit}
 """
 

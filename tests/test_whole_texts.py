@@ -1,4 +1,4 @@
-"""Words beyond the first 256 characters count."""
+"""Words beyond the first characters of a text count."""
 
 import re
 
@@ -31,11 +31,11 @@ def brute():
 
 def test_matching_of_whole_texts(spark, tables):
     want = brute()
-    got = {(r["key"], r["label_id"]): r["similarity"] for r in queries.Q["jaccard_cross_whole"](spark, tables).collect()}
+    got = {(r["key"], r["label_id"]): r["similarity"] for r in queries.Q["jaccard_cross"](spark, tables).collect()}
     assert got == pytest.approx(want)
-    got = {(r["key"], r["label_id"]): r["similarity"] for r in queries.Q["jaccard_inverted_whole"](spark, tables).collect()}
+    got = {(r["key"], r["label_id"]): r["similarity"] for r in queries.Q["jaccard_inverted"](spark, tables).collect()}
     assert got == pytest.approx({k: v for k, v in want.items() if v > 0}) and (1, 1) in got
-    got = {r["key"]: r["category"] for r in queries.Q["jaccard_best_match_whole"](spark, tables).collect()}
+    got = {r["key"]: r["category"] for r in queries.Q["jaccard_best_match"](spark, tables).collect()}
     assert got == {1: "1", 2: "2", 3: "0", 4: "0", 5: "1"}
 
 
@@ -47,5 +47,5 @@ def test_flagship_matches_whole_texts(spark, tables, monkeypatch):
 
 
 def test_keywords_of_whole_texts(spark, tables):
-    got = sorted((r["doc_id"], r["keyword"]) for r in queries.Q["keywords_explode_whole"](spark, tables).collect())
+    got = sorted((r["doc_id"], r["keyword"]) for r in queries.Q["keywords_explode"](spark, tables).collect())
     assert got == sorted((i, w) for i, t in DOCS if t is not None for w in t.split(" "))
