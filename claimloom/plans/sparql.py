@@ -2,12 +2,14 @@
 
 A solution has one column per variable: a struct (v, kind, dt, lang), null where the
 variable is unbound.  Struct equality takes null parts as equal, so a join on variables
-is a plain hash-joinable equality; only variables that OPTIONAL, UNION or VALUES may
-leave unbound get the wider condition.  Errors of expressions are nulls.
+is a plain hash-joinable equality.  Where OPTIONAL, UNION or VALUES may leave a variable
+unbound, the rows are split into those that have it and those that lack it, so that each
+part is again joined by equality.  Errors of expressions are nulls.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from functools import reduce
 
@@ -18,6 +20,9 @@ from ..config import XSD
 from .parser import Group, Query, Term, Var, parse
 
 _NUMERIC = [XSD + x for x in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")] + ["https://schema.org/Number"]
+_INTEGERS = [XSD + x for x in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")]
+#: Sides that may both be unbound in more shared variables than this are compared row by row.
+_SPLIT = 3
 _TERM = "struct<v: string, kind: string, dt: string, lang: string>"
 
 
@@ -185,9 +190,13 @@ class Compiler:
         return nodes.distinct().select(F.col("_s"), F.col("_s").alias("_o"))
 
     def _closure(self, step: DataFrame) -> DataFrame:
-        """All pairs joined by one step or more; each round extends only pairs that were new."""
-        if self.spark.sparkContext.getCheckpointDir() is None:
-            self.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paths_"))
+        """All pairs joined by one step or more; each round extends only pairs that were new, and writes only those."""
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            shared = context.getConf().get("spark.checkpoint.dir")
+            if not shared and not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paths_"))
         step = step.checkpoint()
         seen = new = step
         following = step.select(F.col("_s").alias("_m"), F.col("_o").alias("_e"))
@@ -196,31 +205,58 @@ class Compiler:
             new = longer.join(seen, ["_s", "_o"], "left_anti").checkpoint()
             if not new.limit(1).count():
                 return seen
-            seen = seen.unionByName(new).checkpoint()
+            seen = seen.unionByName(new)  # rounds that are checkpointed already
 
     # -- joins
+    def _meeting(self, a: Solutions, right: DataFrame, b: Solutions, shared: list[str]) -> list[tuple[Column, list[tuple[DataFrame, list[str]]]]]:
+        """Of each part of ``a`` the test for it, and the parts of ``right`` that it may meet with the variables that must be equal.
+
+        A part is told by which of the shared variables are bound.
+        """
+        both = [n for n in shared if n in a.open or n in b.open]
+        fixed = [n for n in shared if n not in both]
+        out = []
+        for here in itertools.product(*[(True, False) if n in a.open else (True,) for n in both]):
+            mine = reduce(lambda x, y: x & y, [F.col(n).isNotNull() if bound else F.col(n).isNull() for n, bound in zip(both, here, strict=True)], F.lit(True))
+            parts = []
+            for there in itertools.product(*[(True, False) if n in b.open else (True,) for n in both]):
+                test = reduce(lambda x, y: x & y, [F.col(f"_r_{n}").isNotNull() if bound else F.col(f"_r_{n}").isNull() for n, bound in zip(both, there, strict=True)], F.lit(True))
+                parts.append((right.where(test), fixed + [n for n, x, y in zip(both, here, there, strict=True) if x and y]))
+            out.append((mine, parts))
+        return out
+
+    @staticmethod
+    def _equal(names: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(n) == F.col(f"_r_{n}") for n in names], F.lit(True))
+
     def join(self, a: Solutions, b: Solutions, how: str = "inner", test=None) -> Solutions:
         shared = [n for n in a.names if n in b.names]
         right = b.frame.select(*[F.col(n).alias(f"_r_{n}") for n in b.names], *([F.lit(1).alias("_r_unit")] if not b.names else []))
-        terms = []
-        for n in shared:
-            same = F.col(n) == F.col(f"_r_{n}")
-            if n in a.open:
-                same = same | F.col(n).isNull()
-            if n in b.open:
-                same = same | F.col(f"_r_{n}").isNull()
-            terms.append(same)
-        condition = reduce(lambda x, y: x & y, terms) if terms else F.lit(True)
         merged = [F.coalesce(F.col(n), F.col(f"_r_{n}")).alias(n) if n in shared and n in a.open else F.col(n) for n in a.names]
         added = [n for n in b.names if n not in a.names]
+        extra = F.lit(True)
         if test is not None:  # the filters of an OPTIONAL see both sides
             view = {n: F.coalesce(F.col(n), F.col(f"_r_{n}")) if n in shared else F.col(n) for n in a.names} | {n: F.col(f"_r_{n}") for n in added}
-            condition = condition & F.coalesce(test(view), F.lit(False))
-        frame = a.frame.join(right, condition, how).select(*merged, *[F.col(f"_r_{n}").alias(n) for n in added], *([] if a.names or added else [F.lit(1).alias("_unit")]))
+            extra = F.coalesce(test(view), F.lit(False))
+        shown = [*merged, *[F.col(f"_r_{n}").alias(n) for n in added], *([] if a.names or added else [F.lit(1).alias("_unit")])]
         opened = (a.open & b.open) | {n for n in a.open if n not in b.names} | {n for n in b.open if n not in a.names}
         if how == "left":
             opened = a.open | b.open.difference(a.names) | set(added)
-        return Solutions(frame, a.names + added, opened)
+        may = [n for n in shared if n in a.open or n in b.open]
+        if not may or len(may) > _SPLIT:
+            wide = [F.lit(True) if n not in may else F.col(n).isNull() | F.col(f"_r_{n}").isNull() for n in shared]
+            terms = [F.col(n) == F.col(f"_r_{n}") if n not in may else (F.col(n) == F.col(f"_r_{n}")) | w for n, w in zip(shared, wide, strict=True)]
+            frame = a.frame.join(right, reduce(lambda x, y: x & y, terms, extra), how).select(*shown)
+            return Solutions(frame, a.names + added, opened)
+        frames = []
+        for mine, parts in self._meeting(a, right, b, shared):
+            rows = rest = a.frame.where(mine)
+            for part, equal in parts:
+                frames.append(rows.join(part, self._equal(equal) & extra).select(*shown))
+                rest = rest.join(part, self._equal(equal) & extra, "left_anti")
+            if how == "left":  # what met nothing in any part
+                frames.append(rest.select(*[F.col(n) for n in a.names], *[F.lit(None).cast(_TERM).alias(n) for n in added], *([] if a.names or added else [F.lit(1).alias("_unit")])))
+        return Solutions(reduce(DataFrame.unionByName, frames), a.names + added, opened)
 
     def without(self, a: Solutions, b: Solutions, how: str = "left_anti", minus: bool = False, test=None) -> Solutions:
         """Rows of ``a`` with (left_semi) or without (left_anti) a compatible row of ``b``."""
@@ -228,20 +264,33 @@ class Compiler:
         if minus and not shared:
             return a
         right = b.frame.select(*[F.col(n).alias(f"_r_{n}") for n in b.names], *([F.lit(1).alias("_r_unit")] if not b.names else []))
-        condition, meets = F.lit(True), F.lit(False)
+        extra = F.lit(True)
+        if test is not None:
+            extra = F.coalesce(test({n: F.col(f"_r_{n}") for n in b.names} | {n: F.col(n) for n in a.names}), F.lit(False))
+        may = [n for n in shared if n in a.open or n in b.open]
+        if len(may) <= _SPLIT:
+            frames = []
+            for mine, parts in self._meeting(a, right, b, shared):
+                rest = a.frame.where(mine)
+                for part, equal in parts:
+                    if minus and not equal:  # solutions without a common binding take nothing away
+                        continue
+                    if how == "left_semi":
+                        frames.append(rest.join(part, self._equal(equal) & extra, "left_semi"))
+                    rest = rest.join(part, self._equal(equal) & extra, "left_anti")
+                if how == "left_anti":
+                    frames.append(rest)
+            return Solutions(reduce(DataFrame.unionByName, frames), a.names, a.open)
+        condition, meets = extra, F.lit(False)
         for n in shared:
             same = F.col(n) == F.col(f"_r_{n}")
-            if n in a.open or n in b.open:
+            if n in may:
                 meets = meets | (F.col(n).isNotNull() & F.col(f"_r_{n}").isNotNull())
                 same = same | F.col(n).isNull() | F.col(f"_r_{n}").isNull()
             else:
                 meets = F.lit(True)
             condition = condition & same
-        if minus and all(n in a.open or n in b.open for n in shared):
-            condition = condition & meets
-        if test is not None:
-            condition = condition & F.coalesce(test({n: F.col(f"_r_{n}") for n in b.names} | {n: F.col(n) for n in a.names}), F.lit(False))
-        return Solutions(a.frame.join(right, condition, how), a.names, a.open)
+        return Solutions(a.frame.join(right, condition & meets if minus else condition, how), a.names, a.open)
 
     def group(self, g: Group) -> Solutions:
         out = None
@@ -309,7 +358,34 @@ class Compiler:
             tests = [p[1] for p in e[1].parts if p[0] == "filter" and not _exists(p[1])]
             test = (lambda view: reduce(lambda x, y: x & y, [self.value(t, view).truth for t in tests])) if tests else None
             return self.without(rows, self.group(inner), "left_anti" if e[2] else "left_semi", test=test)
-        return Solutions(rows.frame.where(self.value(e, _view(rows)).truth), rows.names, rows.open)
+        marked, e = self._marked(rows, e) if _exists(e) else (rows, e)
+        frame = marked.frame.where(self.value(e, _view(marked)).truth)
+        return Solutions(frame.select(*(rows.names or ["_unit"])), rows.names, rows.open)
+
+    def _marked(self, rows: Solutions, e) -> tuple[Solutions, tuple]:
+        """Adds a truth column for each EXISTS inside an expression, and puts it in its place."""
+        if e[0] == "exists":
+            name = f"_exists{len(rows.names)}"
+            kept = list(rows.names)
+            there = self.filter(Solutions(rows.frame.select(*kept).distinct() if kept else rows.frame, kept, rows.open), ("exists", e[1], False))
+            flag = there.frame.select(*[F.col(n).alias(f"_r_{n}") for n in kept], F.lit(True).alias("_there"))
+            same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in kept], F.lit(True))
+            frame = rows.frame.join(flag, same, "left").withColumn(name, _struct(F.coalesce(F.col("_there"), F.lit(False)).cast("string"), "literal", F.lit(XSD + "boolean")))
+            frame = frame.select(*kept, name, *(["_unit"] if "_unit" in rows.frame.columns else []))
+            found = ("var", name)
+            return Solutions(frame, [*kept, name], rows.open), ("not", found) if e[2] else found
+        parts = []
+        for x in e:
+            if isinstance(x, tuple) and _exists(x):
+                rows, x = self._marked(rows, x)
+            elif isinstance(x, list):
+                given, x = x, []
+                for y in given:
+                    if isinstance(y, tuple) and _exists(y):
+                        rows, y = self._marked(rows, y)
+                    x.append(y)
+            parts.append(x)
+        return rows, tuple(parts)
 
     # -- expressions
     def value(self, e, view: dict[str, Column], aggregates: dict | None = None) -> Value:
@@ -330,7 +406,7 @@ class Compiler:
             found = reduce(lambda x, y: x | y, [_compare("=", again(e[1]), again(x)) for x in e[2]], F.lit(False))
             return Value(truth=~found if e[3] else found)
         if kind == "exists":
-            raise ValueError("EXISTS stands at the top of a FILTER or in a conjunction only")
+            raise ValueError("EXISTS stands in a FILTER only")
         if kind == "op":
             a, b = again(e[2]), again(e[3])
             if e[1] == "&&":
@@ -407,6 +483,25 @@ class Compiler:
         if name in ("YEAR", "MONTH", "DAY"):
             part = {"YEAR": r"^(-?\d{4,})-", "MONTH": r"^-?\d{4,}-(\d\d)", "DAY": r"^-?\d{4,}-\d\d-(\d\d)"}[name]
             return Value(number=F.nullif(F.regexp_extract(text[0], part, 1), F.lit("")).try_cast("double"), whole=True)
+        if name in ("HOURS", "MINUTES", "SECONDS"):
+            part = {"HOURS": r"T(\d\d):", "MINUTES": r"T\d\d:(\d\d)", "SECONDS": r"T\d\d:\d\d:(\d\d(?:\.\d+)?)"}[name]
+            return Value(number=F.nullif(F.regexp_extract(text[0], part, 1), F.lit("")).try_cast("double"), whole=name != "SECONDS")
+        if name == "TZ":
+            return Value(text=F.regexp_extract(text[0], r"T[0-9:.]+(Z|[+-]\d\d:\d\d)$", 1))
+        if name == "TIMEZONE":
+            zone = F.nullif(F.regexp_extract(text[0], r"T[0-9:.]+(Z|[+-]\d\d:\d\d)$", 1), F.lit(""))
+            hours, minutes = F.regexp_extract(zone, r"(\d\d):", 1).try_cast("int"), F.regexp_extract(zone, r":(\d\d)", 1).try_cast("int")
+            length = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+            found = F.when(zone.isNull(), F.lit(None)).when((zone == "Z") | (length == ""), F.lit("PT0S")).otherwise(F.concat(F.when(zone.startswith("-"), F.lit("-PT")).otherwise("PT"), length))
+            return Value(_struct(found, "literal", F.lit(XSD + "dayTimeDuration")))
+        if name == "NOW":
+            return Value(_struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), "literal", F.lit(XSD + "dateTime")))
+        if name == "RAND":
+            return Value(_struct(F.rand().cast("string"), "literal", F.lit(XSD + "double")))
+        if name in ("UUID", "STRUUID"):
+            return Value(_struct(F.concat(F.lit("urn:uuid:"), F.uuid()), "iri")) if name == "UUID" else Value(_struct(F.uuid(), "literal"))
+        if name == "BNODE":  # the same label gives the same node
+            return Value(_struct(F.concat(F.lit("_:b"), F.md5(text[0].cast("binary")) if text else F.replace(F.uuid(), F.lit("-"))), "bnode"))
         if name in (XSD + "integer", XSD + "double", XSD + "decimal", XSD + "float"):
             n = text[0].try_cast("double")
             return Value(_struct((F.floor(n) if name.endswith("integer") else n).cast("bigint" if name.endswith("integer") else "string"), "literal", F.lit(name)))
@@ -476,20 +571,26 @@ class Compiler:
         made = {}
         for k, (text, (_, name, distinct, e, separator)) in enumerate(calls.items()):
             v = self.value(e, view) if e is not None else None
-            number, whole = v.number if v else None, Value
+            number = v.number if v else None
             if name == "COUNT":
                 if e is None:
                     n = F.count_distinct(F.struct(*[F.coalesce(F.col(x), F.struct(*[F.lit(None).cast("string").alias(y) for y in ("v", "kind", "dt", "lang")])) for x in rows.names])) if distinct else F.count(F.lit(1))
                 else:
                     n = F.count_distinct(v.term) if distinct else F.count(v.term)
-                made[text] = whole(number=n.cast("double"), whole=True).term
+                made[text] = _struct(n.cast("bigint"), "literal", F.lit(XSD + "integer"))
             elif name in ("SUM", "AVG"):
                 f = {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg}.get((name, distinct))
                 n = f(number) if f else F.try_divide(F.sum_distinct(number), F.count_distinct(number))
                 made[text] = Value(number=F.coalesce(n, F.lit(0.0))).term
+                if name == "SUM":  # integers are added without rounding
+                    exact = F.when(v.term["dt"].isin(_INTEGERS), v.term["v"].try_cast("decimal(38,0)"))
+                    total = F.coalesce((F.sum_distinct if distinct else F.sum)(exact), F.lit(0)).cast("decimal(38,0)")
+                    made[text] = F.when(F.count(exact) == F.count(number), _struct(total, "literal", F.lit(XSD + "integer"))).otherwise(made[text])
             elif name in ("MIN", "MAX"):
                 f = F.min_by if name == "MIN" else F.max_by
-                made[text] = f(v.term, F.when(v.term.isNotNull(), F.struct(F.coalesce(number, F.lit(0.0)), v.text)))
+                # blank nodes, IRIs, numbers by value, other literals by their text
+                rank = F.when(v.term["kind"] == "bnode", 0).when(v.term["kind"] == "iri", 1).when(number.isNotNull(), 2).otherwise(3)
+                made[text] = f(v.term, F.when(v.term.isNotNull(), F.struct(rank, F.coalesce(number, F.lit(0.0)), v.text)))
             elif name == "SAMPLE":
                 made[text] = F.min(v.term)
             else:
@@ -561,7 +662,9 @@ def _view(rows: Solutions) -> dict[str, Column]:
 
 
 def _exists(e) -> bool:
-    return isinstance(e, tuple) and (e[0] == "exists" or any(_exists(x) for x in e[1:] if isinstance(x, tuple)))
+    if isinstance(e, list):
+        return any(map(_exists, e))
+    return isinstance(e, tuple) and bool(e) and (e[0] == "exists" or any(_exists(x) for x in e[1:] if isinstance(x, tuple | list)))
 
 
 def _aggregates(e) -> list:

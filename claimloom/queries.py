@@ -353,6 +353,55 @@ _sparql("sparql_ask", "ASK { ?c :vip true }", "SELECT count(*) > 0 AS answer FRO
 _sparql("sparql_construct", "CONSTRUCT { ?r :has ?c } WHERE { ?c :of/:in ?r }", f"SELECT 'http://g/region/' || n_regionkey AS s, 'iri' AS s_kind, 'http://g/has' AS p, {_C} AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM customer JOIN nation ON n_nationkey = c_nationkey")
 
 
+_sparql("sparql_aggregates", "SELECT ?g (AVG(?z) AS ?a) (MIN(?z) AS ?lo) (MAX(?z) AS ?hi) (SAMPLE(?g) AS ?x) (COUNT(DISTINCT ?z) AS ?d) { ?c :segment ?g ; :size ?z } GROUP BY ?g",
+        "SELECT c_mktsegment AS g, CASE WHEN avg(z) = floor(avg(z)) THEN CAST(CAST(avg(z) AS BIGINT) AS VARCHAR) ELSE CAST(avg(z) AS VARCHAR) END AS a, CAST(min(z) AS VARCHAR) AS lo, CAST(max(z) AS VARCHAR) AS hi, c_mktsegment AS x, CAST(count(DISTINCT z) AS VARCHAR) AS d FROM (SELECT c_mktsegment, c_custkey % 50 AS z FROM customer) GROUP BY c_mktsegment")
+_sparql("sparql_group_concat", 'SELECT ?r (GROUP_CONCAT(?name; SEPARATOR=", ") AS ?all) { ?n :in ?r ; :name ?name } GROUP BY ?r', "SELECT 'http://g/region/' || n_regionkey AS r, string_agg(n_name, ', ' ORDER BY n_name) AS all FROM nation GROUP BY n_regionkey".replace(" AS all ", ' AS "all" '))
+_sparql("sparql_min_of_words", "SELECT (MIN(?name) AS ?lo) (MAX(?name) AS ?hi) (SUM(?k) AS ?t) { ?n :name ?name OPTIONAL { ?n :size ?k } }", "SELECT min(x) AS lo, max(x) AS hi, '0' AS t FROM (SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region)")
+_sparql("sparql_path_inverse", "SELECT ?r ?n { ?r ^:in ?n }", "SELECT 'http://g/region/' || n_regionkey AS r, 'http://g/nation/' || n_nationkey AS n FROM nation")
+_sparql("sparql_path_alternative", "SELECT ?c ?x { ?c :in|:of ?x }", f"SELECT 'http://g/nation/' || n_nationkey AS c, 'http://g/region/' || n_regionkey AS x FROM nation UNION ALL SELECT {_C}, 'http://g/nation/' || c_nationkey FROM customer")
+_NODES = f"SELECT 'http://g/nation/' || n_nationkey AS x FROM nation UNION SELECT 'http://g/region/' || r_regionkey FROM region UNION SELECT 'http://g/region/' || n_regionkey FROM nation UNION SELECT {_C} FROM customer UNION SELECT 'http://g/nation/' || c_nationkey FROM customer"
+_sparql("sparql_path_star", "SELECT ?x ?y { ?x (:of|:in)* ?y FILTER(isIRI(?x)) }", f"SELECT x, x AS y FROM ({_NODES}) UNION SELECT {_C}, 'http://g/nation/' || c_nationkey FROM customer UNION SELECT 'http://g/nation/' || n_nationkey, 'http://g/region/' || n_regionkey FROM nation UNION SELECT {_C}, 'http://g/region/' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
+_sparql("sparql_path_maybe", "SELECT ?x ?y { ?x :in? ?y FILTER(isIRI(?x)) }", f"SELECT x, x AS y FROM ({_NODES}) UNION SELECT 'http://g/nation/' || n_nationkey, 'http://g/region/' || n_regionkey FROM nation")
+_TRIPLE = "CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang"
+_sparql("sparql_describe", "DESCRIBE <http://g/region/1>", f"SELECT 'http://g/region/1' AS s, 'iri' AS s_kind, 'http://g/name' AS p, r_name AS o, 'literal' AS o_kind, {_TRIPLE} FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'http://g/nation/' || n_nationkey, 'iri', 'http://g/in', 'http://g/region/1', 'iri', NULL, NULL FROM nation WHERE n_regionkey = 1")
+_sparql("sparql_exists_in_or", "SELECT ?c { ?c :size ?k FILTER(?k > 45 || EXISTS { ?c :vip true } || (!EXISTS { ?c :of ?n } && ?k < 0)) }", f"SELECT {_C} AS c FROM customer WHERE c_custkey % 50 > 45 OR c_custkey % 4 = 0")
+_sparql("sparql_optional_join", "SELECT ?c ?v ?d { ?c :of ?n OPTIONAL { ?c :vip ?v } { SELECT ?v ?d { VALUES (?v ?d) { (true 1) (false 2) } } } }", f"SELECT {_C} AS c, v, d FROM customer, (VALUES ('true', '1'), ('false', '2')) t(v, d) WHERE c_custkey % 4 <> 0 OR v = 'true'")
+_sparql("sparql_optional_twice", "SELECT ?c ?v ?k { ?c :segment ?g OPTIONAL { ?c :vip ?v } OPTIONAL { ?c :size ?k . ?c :vip ?v } }", f"SELECT {_C} AS c, CASE WHEN c_custkey % 4 = 0 THEN 'true' END AS v, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 50 AS VARCHAR) END AS k FROM customer")
+_sparql("sparql_minus_optional", "SELECT ?c { { ?c :of ?n OPTIONAL { ?c :vip ?v } } MINUS { VALUES ?v { true } } }", f"SELECT {_C} AS c FROM customer WHERE c_custkey % 4 <> 0")
+_sparql("sparql_functions", 'SELECT ?c (HOURS(?t) AS ?h) (MINUTES(?t) AS ?m) (SECONDS(?t) AS ?s) (TZ(?t) AS ?z) (TIMEZONE(?t) AS ?o) { ?c :size 7 BIND("2024-05-06T07:08:09+05:30" AS ?t) }', f"SELECT {_C} AS c, '7' AS h, '8' AS m, '9' AS s, '+05:30' AS z, 'PT5H30M' AS o FROM customer WHERE c_custkey % 50 = 7")
+_sparql("sparql_limit_only", "SELECT (COUNT(*) AS ?n) { { SELECT ?c { ?c :size ?k } LIMIT 10 } }", "SELECT CAST(least(count(*), 10) AS VARCHAR) AS n FROM customer")
+
+
+@_register("SELECT page_id, url, CAST(row_number() OVER (ORDER BY url) AS BIGINT) AS place FROM (SELECT DISTINCT ON (url) page_id, url FROM pages ORDER BY url, page_id)")
+def sorted_url_places(spark, d):
+    """The sort of discovered URLs, with the place of each made visible."""
+    from pyspark.sql import Window
+
+    p = _t(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    # places by range: each range is numbered by itself, then shifted by what lies before it
+    ranged = p.repartitionByRange("url").sortWithinPartitions("url").withColumn("part", F.spark_partition_id())
+    within = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("url")))
+    sizes = within.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return within.join(F.broadcast(before), "part").select("page_id", "url", (F.col("at") + F.col("before")).cast("long").alias("place"))
+
+
+def _quads(spark, d) -> DataFrame:
+    """The geography with a named graph for each predicate but names, which lie in the default graph."""
+    last = F.regexp_extract("p", "([a-z]+)$", 1)
+    return geography(spark, d).withColumn("g", F.when(last != "name", F.concat(F.lit("http://g/graph/"), last)))
+
+
+@_register(f"SELECT {_C} AS c, 'http://g/nation/' || c_nationkey AS n FROM customer")
+def sparql_graph_fixed(spark, d):
+    return sparql(_quads(spark, d), "PREFIX : <http://g/> SELECT ?c ?n { GRAPH <http://g/graph/of> { ?c ?p ?n } }")
+
+
+@_register("SELECT 'http://g/graph/in' AS g, CAST(count(*) AS VARCHAR) AS n FROM nation UNION ALL SELECT 'http://g/graph/of', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'http://g/graph/segment', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'http://g/graph/size', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'http://g/graph/vip', CAST(count(*) AS VARCHAR) FROM customer WHERE c_custkey % 4 = 0 HAVING count(*) > 0")
+def sparql_graph_variable(spark, d):
+    return sparql(_quads(spark, d), "PREFIX : <http://g/> SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")
+
+
 _quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 _TREE = ", ".join(f"({_quoted(i)}, {_quoted(label)}, {_quoted(up)})" for i, label, up in concepts.listed())
 _EDGES = ", ".join(f"({_quoted(i)}, {_quoted(up)})" for i, _, up in concepts.listed() if up)
