@@ -301,6 +301,70 @@ def review_triples(spark, d):
     return found.where(F.col("p").isin(["https://schema.org/" + x for x in shown])).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Articles with a value in every column, on every side of every condition, as SQL over documents and labels.
+_FULL = """WITH a AS (SELECT doc_id AS i, 'http://d/' || doc_id AS url, 'http://d/' || (doc_id - CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS main_url,
+  CASE doc_id % 9 WHEN 0 THEN 'advanced' WHEN 1 THEN 'basic' END AS level, CASE WHEN doc_id % 50 <> 49 THEN lang END AS lang, CASE WHEN doc_id % 8 <> 0 THEN source END AS title,
+  CASE WHEN doc_id % 3 <> 0 THEN 'd' || md5(text) END AS description, CASE WHEN doc_id % 4 <> 0 THEN 'Author ' || (doc_id % 7) END AS author,
+  CASE WHEN doc_id % 6 <> 0 THEN CAST(DATE '2020-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) END AS last_update,
+  CASE WHEN doc_id % 10 <> 0 THEN 'w' || doc_id END AS says, CASE WHEN doc_id % 11 <> 0 THEN md5(text) END AS myth, CASE WHEN doc_id % 2 = 1 THEN 'http://d/' || doc_id || '/s' END AS cited,
+  CASE WHEN doc_id % 3 = 1 THEN 'g' || doc_id END AS glance, CASE WHEN doc_id % 7 <> 0 THEN 'c' || md5(text) END AS content,
+  CASE WHEN toxic = 1 THEN '0_0' ELSE CAST(quality AS VARCHAR) END AS category, source AS k1, documents.lang AS k2
+  FROM documents LEFT JOIN labels USING (doc_id)),
+v AS (SELECT *, {N} || 'claimreview_' || md5(url) AS r, {N} || 'claimreview_' || md5(main_url) AS m, '_:rating_' || md5(url) AS b, {N} || 'person_' || md5(author) AS person,
+  CASE WHEN category <> '0_0' THEN {N} || category END AS concept, {N} || 'organization_site' AS site
+  FROM a WHERE lang IS NOT NULL AND (level IS NULL OR lang <> 'en' OR level = 'basic'))
+"""
+_SDO, _RDFT = "'https://schema.org/{0}'", "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'"
+
+
+def _template(s: str, p: str, o: str, kind: str = "iri", dt: str = "", lang: str = "", s_kind: str = "iri", where: str = "TRUE") -> str:
+    name = _RDFT if p == "type" else p if ":" in p else _SDO.format(p)
+    return f"SELECT {s} AS s, '{s_kind}' AS s_kind, {name} AS p, {o} AS o, '{kind}' AS o_kind, {_SDO.format(dt) if dt else 'CAST(NULL AS VARCHAR)'} AS o_datatype, {lang or 'CAST(NULL AS VARCHAR)'} AS o_lang FROM v WHERE {where} AND {s} IS NOT NULL AND {o} IS NOT NULL"
+
+
+def _templates() -> str:
+    lit = lambda s, p, o, **k: _template(s, p, o, "literal", **k)
+    of = lambda x: _SDO.format(x)
+    near = "{N} || 'claimreview_' || md5('http://d/' || (i + 1))"
+    rows = [
+        _template("r", "type", of("ClaimReview")), lit("r", "url", "url", dt="URL"), _template("r", "reviewRating", "b", "bnode"), _template("b", "type", of("Rating"), s_kind="bnode"),
+        *[lit("b", p, f"'{x}'", dt="Number", s_kind="bnode") for p, x in (("ratingValue", 0), ("bestRating", 1), ("worstRating", 0))],
+        lit("b", "ratingExplanation", "says", lang="lang", s_kind="bnode"), lit("b", "name", "'False'", dt="Text", s_kind="bnode"), lit("r", "dateCreated", "strftime(last_update, '%Y-%m-%dT%H:%M:%S')", dt="Date"),
+        lit("r", "inLanguage", "CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' END", dt="Text"),
+        _template("r", "author", "person"), _template("person", "type", of("Person")), lit("person", "name", "author", dt="Text"), _template("r", "publisher", "site"), _template("site", "type", of("Organization")),
+        lit("site", "name", "'Fact check site'", lang="lang"), lit("site", "url", "'https://example.org/'", dt="URL"), lit("r", "license", "'https://creativecommons.org/licenses/by/3.0/'", dt="URL"),
+        lit("r", "description", "description", lang="lang"), lit("r", "abstract", "glance", lang="lang"), _template("r", "about", "concept"), _template("concept", "subjectOf", "r"),
+        lit("r", "name", "title", lang="lang"), lit("r", "headline", "says", lang="lang"), lit("r", "reviewBody", "content", lang="lang"), lit("r", "text", "content", lang="lang"),
+        _template("r", "'http://www.w3.org/2002/07/owl#sameAs'", "m", where="main_url <> url"), _template("r", "claimReviewed", "m"), _template("m", "type", of("Claim")), lit("m", "text", "myth", lang="lang"), lit("m", "citation", "cited", dt="URL"),
+        lit("r", "keywords", "k1", lang="lang"), lit("r", "keywords", "k2", lang="lang"), _template("r", "associatedClaimReview", near, where="i % 4 = 1"), _template("r", "'http://www.w3.org/2000/01/rdf-schema#seeAlso'", near, where="i % 4 = 1"),
+        _template("{N} || 'de'", "type", of("Language"), where="i % 2 = 0"), lit("{N} || 'de'", "alternateName", "'de'", dt="Text", where="i % 2 = 0"), lit("{N} || 'de'", "name", "'German'", lang="lang", where="i % 2 = 0"),
+    ]
+    return (_FULL + " UNION ".join(rows)).replace("{N}", f"'{_N}'")
+
+
+def _full_articles(spark, d):
+    """The same articles as columns."""
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
+    i, text = F.col("doc_id"), lambda prefix: F.concat(F.lit(prefix), F.md5(F.col("text").cast("binary")))
+    url = lambda n: F.concat(F.lit("http://d/"), n.cast("string"))
+    numbered = lambda prefix: F.concat(F.lit(prefix), i.cast("string"))
+    return docs.select(
+        url(i).alias("url"), url(i - F.when(i % 5 == 0, 1).otherwise(0)).alias("main_url"), F.when(i % 9 == 0, "advanced").when(i % 9 == 1, "basic").alias("level"), F.when(i % 50 != 49, F.col("lang")).alias("lang"),
+        F.when(i % 8 != 0, F.col("source")).alias("title"), F.array("source", "lang").alias("keywords"), F.when(i % 3 != 0, text("d")).alias("description"),
+        F.when(i % 4 != 0, F.concat(F.lit("Author "), (i % 7).cast("string"))).alias("author"), F.when(i % 6 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (i % 365).cast("int"))).alias("last_update"),
+        F.when(i % 2 == 0, F.array(F.struct(F.lit("German").alias("lang"), F.concat(url(i), F.lit("/de")).alias("url"), F.lit("de").alias("code")))).alias("languages"),
+        F.array(F.struct(F.lit("basic").alias("level"), F.array(url(i)).alias("urls"))).alias("levels"), F.when(i % 10 != 0, numbered("w")).alias("what_the_science_says"), F.when(i % 11 != 0, text("")).alias("climate_myth"),
+        F.when(i % 2 == 1, F.struct(F.concat(url(i), F.lit("/s")).alias("url"), F.lit("S").alias("name"))).alias("climate_myth_source"), F.when(i % 3 == 1, numbered("g")).alias("at_glance"), F.when(i % 7 != 0, text("c")).alias("content"),
+        F.when(i % 4 == 1, F.array(F.struct(url(i + 1).alias("url"), F.lit("x").alias("title")))).alias("related_arguments"), F.when(F.col("toxic") == 1, "0_0").otherwise(F.col("quality").cast("string")).alias("category"),
+    )
+
+
+@_register(_templates())
+def article_templates(spark, d):
+    """All triples of all templates, row by row."""
+    return triples.graph(triples.article_triples(_full_articles(spark, d), Config()))
+
+
 def _mappings(spark, d):
     return _t(spark, d, "labels").select(F.concat(F.lit("http://c/"), F.col("doc_id").cast("string")).alias("url"), F.when(F.col("toxic") == 1, "1_1").otherwise("0_0").alias("category"))
 
