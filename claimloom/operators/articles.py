@@ -168,7 +168,7 @@ def parse_article(url: str, html: str | None) -> dict:
         "main_url": url,
         "level": own,
         "lang": "en",
-        "title": title.text().strip() if title is not None else None,
+        "title": title.text() if title is not None else None,
         "keywords": keywords.split(", ") if keywords else None,
         "description": _meta(doc, "description"),
         "author": author,

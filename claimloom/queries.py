@@ -11,7 +11,6 @@ from .functions import urls as U
 from .operators import articles, classify, concepts, ingest, stats, triples
 from .plans.sparql import query as sparql
 from .schemas import TRIPLES
-from .sources.rdf import ntriples, read_ntriples
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -143,11 +142,6 @@ def nfkd_content(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(T.nfkd("text").cast("binary")).alias("nfkd_md5"))
 
 
-@_register()
-def doc_detect_language(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.detect_language(F.col("text")).alias("detected"))
-
-
 @_register("SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS DATE) AS day FROM orders")
 def date_parse_long(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", T.long_date(F.date_format("o_orderdate", "d MMMM yyyy")).alias("day"))
@@ -498,17 +492,6 @@ def taxonomy_tree_counts(spark, d):
     return taxonomy_star_bgp(spark, d).groupBy(F.size(F.split("id", "_")).cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register()
-def ntriples_roundtrip(spark, d):
-    import tempfile
-
-    lines = ntriples(geography(spark, d))
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="triples_")
-    path = f"{path}/ntriples_roundtrip"
-    lines.write.mode("overwrite").text(path)
-    return read_ntriples(spark, path)
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents matched to labels, made triples, counted per predicate."""
     texts, labels = _t(spark, d, "documents"), _t(spark, d, "benchmark")
