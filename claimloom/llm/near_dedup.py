@@ -137,8 +137,8 @@ def _sets(width: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable over ``links`` (u, v); nodes without links are absent."""
+def components(links: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label), and where it is written: the smallest node reachable over ``links`` (u, v); nodes without links are absent."""
     both, path = write_table(links.select("u", "v").union(links.select("v", "u")).distinct(), "links")
     labels, old = write_table(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label")), "labels")
     while True:
@@ -153,7 +153,7 @@ def components(links: DataFrame) -> DataFrame:
         labels, old = new.select("node", "label"), new_path
         if not new.where(F.col("label") != F.col("was")).limit(1).count():
             drop_table(links.sparkSession, path)
-            return labels
+            return labels, old
 
 
 def link_near_duplicates(
@@ -178,14 +178,16 @@ def link_near_duplicates(
 
     keys = _keys(classes, tables, scratch)
     links = _confirm(_star(keys, percent, scratch), classes, base, percent, width, tables, scratch)
-    labels = components(links)
+    labels, labels_path = components(links)
     more = _confirm(_cross_pairs(keys, labels, base, percent, width, scratch), classes, base, percent, width, tables, scratch)
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        drop_table(spark, labels_path)
+        labels, labels_path = components(links.unionByName(more))
 
     reached = classes.join(labels, classes["cid"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("label", "cid").alias("component"))
     reached, path = write_table(reached, "reached")
     scratch.drop()
+    drop_table(spark, labels_path)
     linked = rows_of.where(F.col("id").isNotNull()).select("id", "n", "s1", "s2").join(sized(reached, path), ["n", "s1", "s2"], "left")
     linked = linked.select("id", "n", F.coalesce("component", "id").alias("component"))
     alone = rows_of.where(F.col("id").isNull()).select("id", "n", F.lit(None).cast("long").alias("component"))

@@ -215,7 +215,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns; rows that repeat an id go together."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; rows that repeat an id go together.
+
+    A model that had no labels of both kinds to learn from knows nothing, and drops nothing.
+    """
+    if model.curve == (0.0, 0.0):
+        return docs
     gone = score_toxicity(docs, model, id_col=id_col, text_col=text_col).where(F.col("score") >= threshold).select(F.col(id_col).alias(fresh(docs, "gone")[0])).distinct()
     gone, path = write_table(gone, "toxic")
     return docs.join(sized(gone, path), docs[id_col].eqNullSafe(gone[gone.columns[0]]), "left_anti")
