@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("--mappings-db", default=None)
     c.add_argument("--taxonomy")
     c.add_argument("--output", default="graph")
-    c.add_argument("--format", default="ttl", choices=["ttl", "nt"])
+    c.add_argument("--format", default="ttl", choices=["ttl", "nt", "nq", "xml", "json-ld"])
     c = sub.add_parser("classify", help="match one text to a taxonomy")
     c.add_argument("text")
     c.add_argument("--taxonomy", default="builtin")
@@ -104,10 +104,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "build":
         taxonomy = _taxonomy(spark, config, args.taxonomy) if args.taxonomy else None
         graph = triples.build(store.stored(spark, args.articles_db or config.articles_path, ARTICLES), store.stored(spark, args.mappings_db or config.mappings_path, MAPPINGS), taxonomy, config)
-        if args.format == "nt":
-            rdf.write_ntriples(graph, args.output)
-        else:
-            rdf.write_turtle(graph, args.output, config.prefixes, config.namespace)
+        rdf.write_rdf(graph, args.output, args.format, config.prefixes, config.namespace)
     elif args.command == "classify":
         found = _categories(spark, config, args)(spark.createDataFrame([("", args.text)], "url string, t string"), "t")
         print(found.select(matching.plain_category(F.col("category"))).first()[0])

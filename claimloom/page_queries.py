@@ -169,6 +169,19 @@ def turtle_roundtrip(spark, d):
     return rdf.read_turtle(spark, path)
 
 
+def _roundtrip(form: str):
+    def run(spark, d):
+        path = _shared(spark)
+        rdf.write_rdf(geography(spark, d), path, form, {"g": "http://g/"})
+        return rdf.read_rdf(spark, path, form).select("s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang")
+
+    return run
+
+
+for _form in ("nq", "xml", "json-ld"):
+    _register(_GEOGRAPHY, f"{_form.replace('-', '')}_roundtrip")(_roundtrip(_form))
+
+
 _LISTS = ", ".join(f"{{'lang': '{lang}', 'k': {k}, 'n': len(list_intersect(ws, [" + ", ".join(f"'{w}'" for w in words.split()) + "]))}" for k, (lang, words) in enumerate(T.LANGUAGE_WORDS.items()))
 
 

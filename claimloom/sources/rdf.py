@@ -1,11 +1,11 @@
-"""RDF files: N-Triples natively by line, Turtle through a Python data source, and both written."""
+"""RDF files: N-Triples and N-Quads natively by line, Turtle and other syntaxes a file at a time, and all but TriG written."""
 
 from __future__ import annotations
 
 import re
 from urllib.parse import urljoin
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -13,14 +13,25 @@ from ..config import RDF, XSD
 from ..schemas import TRIPLES
 
 _IRI, _TERM = r"<([^<>]*)>", r"(?:<[^<>]*>|_:[^\s]+)"
-_LINE = rf'^\s*({_TERM})\s+{_IRI}\s+({_TERM}|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>)?)\s*\.\s*(?:#.*)?$'
+_LINE = rf'^\s*({_TERM})\s+{_IRI}\s+({_TERM}|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>)?)(?:\s+({_TERM}))?\s*\.\s*(?:#.*)?$'
+
+
+def _coded(c: Column) -> Column:
+    """Without the escapes of single characters by their code."""
+
+    def plain(x: Column) -> Column:
+        short = F.concat(F.decode(F.unhex(F.substring(x, 3, 4)), "UTF-16BE"), F.substring(x, 7, 1 << 30))
+        long_ = F.concat(F.decode(F.unhex(F.substring(x, 3, 8)), "UTF-32"), F.substring(x, 11, 1 << 30))
+        return F.when(F.regexp_like(x, F.lit(r"^\\u[0-9A-Fa-f]{4}")), short).when(F.regexp_like(x, F.lit(r"^\\U[0-9A-Fa-f]{8}")), long_).otherwise(x)
+
+    return F.when(F.regexp_like(c, F.lit(r"\\[uU]")), F.array_join(F.transform(F.split(c, r"(?=\\[uU])"), plain), "")).otherwise(c)
 
 
 def _unescape(c: Column) -> Column:
     out = F.replace(c, F.lit("\\\\"), F.lit("\0"))
-    for short, whole in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
+    for short, whole in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
         out = F.replace(out, F.lit(short), F.lit(whole))
-    return F.replace(out, F.lit("\0"), F.lit("\\"))
+    return F.replace(_coded(out), F.lit("\0"), F.lit("\\"))
 
 
 def _escape(c: Column) -> Column:
@@ -29,12 +40,26 @@ def _escape(c: Column) -> Column:
     return c
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Splittable, JVM only; lines that are no triple are passed over."""
-    lines = spark.read.text(path).where(F.col("value").rlike(_LINE))
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that say something: no blank ones and no comments."""
+    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): lines of an N-Triples or N-Quads file that are neither a statement nor a comment."""
+    return _split_lines(spark, path).where(~F.col("value").rlike(_LINE))
+
+
+def read_nquads(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Triples and their graph ``g``.  Splittable, JVM only; a bad line raises an error under ``strict``, else see ``bad_lines``."""
+    lines = _split_lines(spark, path)
+    if strict:
+        told = F.raise_error(F.concat(F.lit("no statement: "), F.col("value"))).cast("string")
+        lines = lines.select(F.when(F.col("value").rlike(_LINE), F.col("value")).otherwise(told).alias("value"))
+    lines = lines.where(F.col("value").rlike(_LINE))
     part = lambda k: F.regexp_extract("value", _LINE, k)
-    s, o = part(1), part(3)
-    bare = lambda c: F.when(c.startswith("<"), F.regexp_extract(c, _IRI, 1)).otherwise(c)
+    s, o, g = part(1), part(3), part(4)
+    bare = lambda c: F.when(c.startswith("<"), _coded(F.regexp_extract(c, _IRI, 1))).otherwise(c)
     literal = o.startswith('"')
     body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
     datatype = F.nullif(F.nullif(F.regexp_extract(o, r'"\^\^<([^<>]*)>$', 1), F.lit("")), F.lit(XSD + "string"))
@@ -42,14 +67,19 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(
         bare(s).alias("s"),
         kind(s).alias("s_kind"),
-        part(2).alias("p"),
+        _coded(part(2)).alias("p"),
         F.when(literal, _unescape(body)).otherwise(bare(o)).alias("o"),
         F.when(literal, "literal").otherwise(kind(o)).alias("o_kind"),
-        F.when(literal, datatype).alias("o_datatype"),
+        F.when(literal, _coded(datatype)).alias("o_datatype"),
         F.when(literal, F.nullif(F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))).alias("o_lang"),
+        F.nullif(bare(g), F.lit("")).alias("g"),
     )
 
 
+def read_ntriples(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    return read_nquads(spark, path, strict).drop("g")
+
+
 def _term(value: Column, kind: Column) -> Column:
     return F.when(kind == "iri", F.concat(F.lit("<"), value, F.lit(">"))).otherwise(value)
 
@@ -63,6 +93,11 @@ def ntriples(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat(_term(F.col("s"), F.col("s_kind")), F.lit(" <"), F.col("p"), F.lit("> "), object_term(), F.lit(" .")).alias("value"))
 
 
+def write_nquads(quads: DataFrame, path: str, mode: str = "overwrite") -> None:
+    graph = F.when(F.col("g").isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), F.when(F.col("g").startswith("_:"), F.col("g")).otherwise(F.concat(F.lit("<"), F.col("g"), F.lit(">")))))
+    quads.select(F.concat(_term(F.col("s"), F.col("s_kind")), F.lit(" <"), F.col("p"), F.lit("> "), object_term(), graph, F.lit(" .")).alias("value")).write.mode(mode).text(path)
+
+
 def write_ntriples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
     ntriples(triples).write.mode(mode).text(path)
 
@@ -89,9 +124,22 @@ def turtle(triples: DataFrame, prefixes: dict[str, str], namespace: str = "") ->
     return triples.sparkSession.createDataFrame([(0, head)], "ord int, value string").unionByName(body)
 
 
-def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str], namespace: str = "") -> None:
-    """One file, since prefixes hold per file; for large graphs N-Triples is the format."""
-    turtle(triples, prefixes, namespace).orderBy("ord", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+def _one_text(rows: DataFrame, path: str) -> None:
+    """(ord, value) as one file, in order."""
+    rows.orderBy("ord", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str], namespace: str = "", files: int = 1) -> None:
+    """Turtle, by default as one file; with more ``files`` each has the prefixes and whole subjects."""
+    rows = turtle(triples, prefixes, namespace)
+    if files == 1:
+        return _one_text(rows, path)
+    head = rows.where("ord = 0").first()["value"]
+    parts = rows.where("ord = 1").repartition(files, "value").sortWithinPartitions("value")
+    number = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("value"))
+    parts = parts.withColumn("at", number).select(F.when(F.col("at") == 1, F.concat(F.lit(head), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    parts.write.mode("overwrite").text(path)
+    return None
 
 
 _TOKEN = re.compile(
@@ -105,7 +153,7 @@ _TOKEN = re.compile(
     |(?P<bnode>_:[\w.-]*[\w-])
     |(?P<name>[A-Za-z_][\w.-]*(?<!\.)?:(?:[\w%-](?:[\w.%:-]*[\w%:-])?)?|:(?:[\w%-](?:[\w.%:-]*[\w%:-])?)?)
     |(?P<word>[A-Za-z]+)
-    |(?P<mark>[.;,\[\]()])""",
+    |(?P<mark>[.;,\[\](){}])""",
     re.VERBOSE | re.DOTALL,
 )
 _ESCAPES = {"t": "\t", "n": "\n", "r": "\r", '"': '"', "'": "'", "\\": "\\", "b": "\b", "f": "\f"}
@@ -146,17 +194,8 @@ class TurtleParser:
     def parse(self) -> list[tuple]:
         while self.peek()[0] != "end":
             kind, text = self.peek()
-            if text.lower() in ("@prefix", "prefix"):
-                self.take()
-                name, iri = self.take()[1], self.take()[1]
-                self.prefixes[name.rstrip(":")] = urljoin(self.base, iri[1:-1]) if self.base else iri[1:-1]
-                if text[0] == "@":
-                    self.take(".")
-            elif text.lower() in ("@base", "base"):
-                self.take()
-                self.base = self.take()[1][1:-1]
-                if text[0] == "@":
-                    self.take(".")
+            if text.lower() in ("@prefix", "prefix", "@base", "base"):
+                self.directive()
             else:
                 subject = self.term()
                 if self.peek()[1] != ".":
@@ -164,6 +203,16 @@ class TurtleParser:
                 self.take(".")
         return self.out
 
+    def directive(self) -> None:
+        text = self.take()[1]
+        if text.lower().endswith("prefix"):
+            name, iri = self.take()[1], self.take()[1]
+            self.prefixes[name.rstrip(":")] = urljoin(self.base, iri[1:-1]) if self.base else iri[1:-1]
+        else:
+            self.base = self.take()[1][1:-1]
+        if text[0] == "@":
+            self.take(".")
+
     def predicates(self, subject: tuple) -> None:
         while True:
             if self.peek() == ("word", "a"):
@@ -179,7 +228,7 @@ class TurtleParser:
                 self.take()
             while self.peek()[1] == ";":
                 self.take()
-            if self.peek()[1] in (".", "]") or self.peek()[0] == "end":
+            if self.peek()[1] in (".", "]", "}") or self.peek()[0] == "end":
                 return
             if self.tokens[self.at - 1][1] != ";":
                 raise ValueError(f"expected ';' or '.', found {self.peek()[1]!r}")
@@ -232,20 +281,24 @@ def parse_turtle(text: str, scope: str = "") -> list[tuple]:
     return TurtleParser(text, scope).parse()
 
 
-def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Turtle files as triples, a file per row, through any store that Spark reads."""
+def read_files(spark: SparkSession, path: str, parse, schema: str = TRIPLES) -> DataFrame:
+    """Files as rows of ``parse(text, scope)``, a file at a time, through any store that Spark reads."""
 
     def run(batches):
         import hashlib
 
         import pandas as pd
 
-        names = [c.split()[0] for c in TRIPLES.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            rows = [t for p, x in zip(batch["path"], batch["content"], strict=True) for t in parse_turtle(bytes(x).decode(), hashlib.md5(p.encode()).hexdigest()[:8])]
+            rows = [t for p, x in zip(batch["path"], batch["content"], strict=True) for t in parse(bytes(x).decode(), hashlib.md5(p.encode()).hexdigest()[:8])]
             yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, TRIPLES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    return read_files(spark, path, parse_turtle)
 
 
 class TurtleSource(DataSource):
@@ -276,9 +329,37 @@ class _TurtleReader(DataSourceReader):
             yield from parse_turtle(f.read())
 
 
+#: Names of syntaxes and those that they stand for.
+FORMS = {"nt": "nt", "ntriples": "nt", "n-triples": "nt", "nq": "nq", "nquads": "nq", "n-quads": "nq", "ttl": "ttl", "turtle": "ttl", "trig": "trig", "xml": "xml", "rdf": "xml", "rdf/xml": "xml", "pretty-xml": "xml", "json-ld": "json-ld", "jsonld": "json-ld"}
+
+
 def read_rdf(spark: SparkSession, path: str, form: str = "nt") -> DataFrame:
-    if form in ("nt", "ntriples", "n-triples"):
-        return read_ntriples(spark, path)
-    if form in ("ttl", "turtle"):
-        return read_turtle(spark, path)
+    """Triples of a file or folder; quads, with ``g``, of N-Quads and TriG."""
+    from . import formats
+
+    kind = FORMS.get(form.lower())
+    if kind == "nt":
+        return read_ntriples(spark, path, strict=True)
+    if kind == "nq":
+        return read_nquads(spark, path, strict=True)
+    if kind in ("ttl", "xml", "json-ld"):
+        return read_files(spark, path, {"ttl": parse_turtle, "xml": formats.parse_xml, "json-ld": formats.parse_jsonld}[kind])
+    if kind == "trig":
+        return read_files(spark, path, formats.parse_trig, f"{TRIPLES}, g string")
     raise ValueError(f"unknown RDF format: {form}")
+
+
+def write_rdf(triples: DataFrame, path: str, form: str, prefixes: dict[str, str], namespace: str = "") -> None:
+    from . import formats
+
+    kind = FORMS.get(form.lower())
+    if kind == "nt":
+        write_ntriples(triples, path)
+    elif kind == "nq":
+        write_nquads(triples if "g" in triples.columns else triples.withColumn("g", F.lit(None).cast("string")), path)
+    elif kind == "ttl":
+        write_turtle(triples, path, prefixes, namespace)
+    elif kind in ("xml", "json-ld"):
+        _one_text((formats.rdf_xml if kind == "xml" else formats.json_ld)(triples), path)
+    else:
+        raise ValueError(f"unknown RDF format to write: {form}")
