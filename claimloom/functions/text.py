@@ -108,12 +108,21 @@ def detect_language(col: Column) -> Column:
 
 
 #: ISO 639-1 codes and English names.
-LANGUAGE_NAMES = {
-    "ar": "Arabic", "bg": "Bulgarian", "ca": "Catalan", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "et": "Estonian", "fa": "Persian", "fi": "Finnish",
-    "fr": "French", "he": "Hebrew", "hi": "Hindi", "hr": "Croatian", "hu": "Hungarian", "id": "Indonesian", "is": "Icelandic", "it": "Italian", "ja": "Japanese", "ko": "Korean", "lt": "Lithuanian",
-    "nl": "Dutch", "no": "Norwegian", "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sk": "Slovak", "sl": "Slovenian", "sr": "Serbian", "sv": "Swedish", "th": "Thai",
-    "tr": "Turkish", "uk": "Ukrainian", "vi": "Vietnamese", "zh": "Chinese",
-}
+_NAMED = """
+ab Abkhazian|aa Afar|af Afrikaans|ak Akan|sq Albanian|am Amharic|ar Arabic|an Aragonese|hy Armenian|as Assamese|av Avaric|ay Aymara|az Azerbaijani|bm Bambara|ba Bashkir|eu Basque
+be Belarusian|bn Bangla|bi Bislama|bs Bosnian|br Breton|bg Bulgarian|my Burmese|ca Catalan|ch Chamorro|ce Chechen|ny Nyanja|zh Chinese|cv Chuvash|kw Cornish|co Corsican|cr Cree
+hr Croatian|cs Czech|da Danish|dv Divehi|nl Dutch|dz Dzongkha|en English|eo Esperanto|et Estonian|ee Ewe|fo Faroese|fj Fijian|fi Finnish|fr French|ff Fula|gl Galician
+ka Georgian|de German|el Greek|gn Guarani|gu Gujarati|ht Haitian Creole|ha Hausa|he Hebrew|hz Herero|hi Hindi|ho Hiri Motu|hu Hungarian|ia Interlingua|id Indonesian|ie Interlingue|ga Irish
+ig Igbo|ik Inupiaq|io Ido|is Icelandic|it Italian|iu Inuktitut|ja Japanese|jv Javanese|kl Kalaallisut|kn Kannada|kr Kanuri|ks Kashmiri|kk Kazakh|km Khmer|ki Kikuyu|rw Kinyarwanda
+ky Kyrgyz|kv Komi|kg Kongo|ko Korean|ku Kurdish|kj Kuanyama|la Latin|lb Luxembourgish|lg Ganda|li Limburgish|ln Lingala|lo Lao|lt Lithuanian|lu Luba-Katanga|lv Latvian|gv Manx
+mk Macedonian|mg Malagasy|ms Malay|ml Malayalam|mt Maltese|mi Maori|mr Marathi|mh Marshallese|mn Mongolian|na Nauru|nv Navajo|nd North Ndebele|ne Nepali|ng Ndonga|nb Norwegian Bokmål|nn Norwegian Nynorsk
+no Norwegian|ii Sichuan Yi|nr South Ndebele|oc Occitan|oj Ojibwa|cu Church Slavic|om Oromo|or Odia|os Ossetic|pa Punjabi|pi Pali|fa Persian|pl Polish|ps Pashto|pt Portuguese|qu Quechua
+rm Romansh|rn Rundi|ro Romanian|ru Russian|sa Sanskrit|sc Sardinian|sd Sindhi|se Northern Sami|sm Samoan|sg Sango|sr Serbian|gd Scottish Gaelic|sn Shona|si Sinhala|sk Slovak|sl Slovenian
+so Somali|st Southern Sotho|es Spanish|su Sundanese|sw Swahili|ss Swati|sv Swedish|ta Tamil|te Telugu|tg Tajik|th Thai|ti Tigrinya|bo Tibetan|tk Turkmen|tl Filipino|tn Tswana
+to Tongan|tr Turkish|ts Tsonga|tt Tatar|ty Tahitian|ug Uyghur|uk Ukrainian|ur Urdu|uz Uzbek|ve Venda|vi Vietnamese|vo Volapük|wa Walloon|cy Welsh|wo Wolof|fy Western Frisian
+xh Xhosa|yi Yiddish|yo Yoruba|za Zhuang|zu Zulu
+"""
+LANGUAGE_NAMES = dict(x.split(" ", 1) for line in _NAMED.strip().split("\n") for x in line.split("|"))
 
 
 def language_name(code: Column) -> Column:

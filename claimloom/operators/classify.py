@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..config import RDF, SKOS
-from ..functions.text import clean_tokens, first_max, jaccard, last_of, window
+from ..functions.text import STOP_WORDS, clean_tokens, first_max, jaccard, last_of, window
 from .concepts import place
 
 #: The classes of the second model, by index.
@@ -99,6 +99,22 @@ def two_stage(texts: DataFrame, text: str, binary: Callable[[], Callable[[list[s
     return seen.withColumn("category", F.when(F.col("_binary").isNotNull(), gate(F.col("_binary"), F.col("_classes")))).drop("_binary", "_classes")
 
 
+def register_classify(spark: SparkSession, labels: DataFrame, least: float = 0.25, name: str = "classify_claim", most: int = 10_000) -> None:
+    """A SQL function of that name from a text to the category of the most similar label, the earliest on ties.
+
+    The labels, small by nature, go into the function; ``most`` bounds them.
+    """
+    rows = labels.select("id", clean_tokens(F.col("label")).alias("t")).orderBy("ord").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many labels for a function; use best_match()")
+    listed = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.array(*[F.lit(x) for x in r["t"]]).cast("array<string>").alias("t"), F.lit(-k).alias("rank")) for k, r in enumerate(rows)])
+    spark.createDataFrame([("",)], "t string").select(listed.alias("labels")).createOrReplaceTempView(f"{name}_labels")
+    words = "array_except(regexp_extract_all(lower(coalesce(txt, '')), '([\\\\p{L}]+)', 1), array(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
+    scored = "transform(labels, l -> struct(coalesce(try_divide(cast(size(array_intersect(w, l.t)) AS double), cast(size(w) + size(l.t) - size(array_intersect(w, l.t)) AS double)), 0.0D) AS s, l.rank AS r, l.id AS id))"
+    best = f"SELECT array_max({scored}) AS b FROM (SELECT {words} AS w, (SELECT first(labels) FROM {name}_labels) AS labels)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(txt STRING) RETURNS STRING RETURN (SELECT CASE WHEN b.s >= {float(least)}D AND b.s > 0 THEN b.id ELSE '{NEGATIVE}' END FROM ({best}))")
+
+
 def plain_category(category: Column) -> Column:
     """``0_0`` shown as ``0``."""
     return F.when(category == "0_0", "0").otherwise(category)

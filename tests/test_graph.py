@@ -161,3 +161,14 @@ def test_streamed_claims(spark, tmp_path):
     q = stream_claims(claims, lambda: spark.read.schema(MAPPINGS).parquet(store), lambda df: df.write.mode("append").parquet(store), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [r["claim"] for r in spark.read.parquet(store).collect()] == ["y"]
+
+
+def test_sql_function_of_the_matcher(spark):
+    from claimloom.operators import concepts
+
+    classify.register_classify(spark, concepts.concepts(spark, "n#"), name="category_of")
+    spark.createDataFrame([(1, "ice isn't melting"), (2, "zzz"), (3, None), (4, "the polar bears")], "i int, t string").createOrReplaceTempView("claims_to_match")
+    got = {r["i"]: r["c"] for r in spark.sql("SELECT i, category_of(t) AS c FROM claims_to_match").collect()}
+    rows = spark.table("claims_to_match")
+    best = classify.best_match(rows, concepts.concepts(spark, "n#"), "i", "t", "id", "label", "ord")
+    assert got == {r["key"]: r["category"] for r in best.collect()} == {1: "1_1", 2: "0", 3: "0", 4: "3_2_2"}
