@@ -89,7 +89,7 @@ def url_union_except(spark, d):
     return ingest.not_stored(union, p.where("page_id % 7 = 0"), "url")
 
 
-@_register()
+@_register("SELECT url, 'en' AS lang, regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;?', '&', 'g') AS title, CAST(0 AS INTEGER) AS n_related, '' AS content FROM pages")
 def article_parse(spark, d):
     return articles.parse_pages(_t(spark, d, "pages")).select("url", "lang", "title", F.size("related_arguments").alias("n_related"), "content")
 
