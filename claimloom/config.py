@@ -13,9 +13,23 @@ OWL = "http://www.w3.org/2002/07/owl#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
+def _dotenv(path: str) -> dict[str, str]:
+    """NAME=value lines of a file, if there is one; comments, ``export`` and quotes around a value are allowed."""
+    if not os.path.isfile(path):
+        return {}
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and not name.startswith("#"):
+                value = value.strip()
+                out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value.split(" #")[0].strip()
+    return out
+
+
 @dataclass(frozen=True)
 class Config:
-    """Values come from ``CLAIMLOOM_<NAME>`` where that is set, else from the defaults."""
+    """Values come from ``CLAIMLOOM_<NAME>`` where the environment or a ``.env`` file sets it, in this order, else from the defaults."""
 
     namespace: str = "https://example.org/claims/ns#"
     organization_id: str = "organization_site"
@@ -36,10 +50,10 @@ class Config:
     prefixes: dict[str, str] = field(default_factory=lambda: {"sdo": SDO, "skos": SKOS, "rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD})
 
     @classmethod
-    def from_env(cls, **given) -> Config:
-        out = {}
+    def from_env(cls, dotenv: str = ".env", **given) -> Config:
+        out, known = {}, _dotenv(dotenv) | os.environ
         for f in fields(cls):
-            value = os.environ.get(f"CLAIMLOOM_{f.name.upper()}")
+            value = known.get(f"CLAIMLOOM_{f.name.upper()}")
             if f.name in given:
                 out[f.name] = given[f.name]
             elif value is not None and f.name != "prefixes":
