@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -68,9 +69,20 @@ class Scratch:
         self.paths = []
 
 
+def _row_bytes(schema: StructType) -> int:
+    """Bytes that a row takes in a broadcast table, its place in the hash table included; texts and arrays count as short ones."""
+    return 64 + sum(8 if isinstance(f.dataType, NumericType | BooleanType | DatetimeType) else 64 for f in schema.fields)
+
+
 def sized(df: DataFrame, path: str, limit: int = BROADCAST_BYTES, grows: int = 4) -> DataFrame:
-    """Hint a broadcast if the written table is small enough (``grows``: bytes in memory for one on disk)."""
-    return F.broadcast(df) if table_bytes(df.sparkSession, path) * grows <= limit else df
+    """Hint a broadcast if the written table is small enough, by its bytes on disk and by its rows.
+
+    ``grows`` is what a byte on disk takes in memory for texts; sorted numbers shrink far more
+    on disk, so the rows are counted too, from the files' footers.
+    """
+    if table_bytes(df.sparkSession, path) * grows > limit or df.count() * _row_bytes(df.schema) > limit:
+        return df
+    return F.broadcast(df)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
