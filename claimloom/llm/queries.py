@@ -12,10 +12,13 @@ from .langid import fit_languages, identify_languages
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import link_near_duplicates
+from .packing import pack_documents
+from .phrases import mine_phrases
 from .pii import pseudonymize
 from .quality import fit_quality, score_quality
 from .token_store import ids_crc32, read_token_files, write_token_files
 from .toxicity import fit_toxicity, score_toxicity
+from .whitening import fit_whitening, whitened_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +93,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", with_ids=False)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return whitened_rows(rows, fit_whitening(rows))
+
+
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -139,6 +155,28 @@ FROM d LEFT JOIN c USING (rid) JOIN m USING (rid)
 """.replace("WITH d", "WITH RECURSIVE d", 1)
 
 
+_OP11 = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+t AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+tot AS (SELECT lang, sum(len(w)) AS n FROM t GROUP BY lang),
+o AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM t, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+g AS (SELECT lang, m, w[i : i + m - 1] AS ws, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 10),
+inside AS (SELECT lang, u AS ws, max(f) AS longer FROM (SELECT lang, f, unnest([ws[1:2], ws[2:3]]) AS u FROM g WHERE m = 3) GROUP BY ALL),
+c AS (SELECT g.* FROM g LEFT JOIN inside USING (lang, ws) WHERE m >= 2 AND (longer IS NULL OR 100 * longer < 50 * f)),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.ws, k.f AS a, k.k, x.f AS l, y.f AS r,
+      CAST(1000000 AS HUGEINT) * k.f * k.f // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM k JOIN g x ON x.lang = k.lang AND x.ws = k.ws[1 : k.k] JOIN g y ON y.lang = k.lang AND y.ws = k.ws[k.k + 1 : k.m]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+f AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, score FROM b),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM f QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score
+FROM z JOIN tot USING (lang)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
@@ -151,8 +189,11 @@ def queries() -> dict:
         "op8_token_store": op8_token_store,
         "op9_langid": op9_langid,
         "op10_line_dedup": op10_line_dedup,
+        "op11_phrases": op11_phrases,
+        "op12_packing": op12_packing,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op3_near_dedup": _OP3, "op10_line_dedup": _OP10}
+    return {"op2_decontaminate": _OP2, "op3_near_dedup": _OP3, "op10_line_dedup": _OP10, "op11_phrases": _OP11}
