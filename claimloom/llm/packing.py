@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
-from .common import sized, sliced, write_table
+from .common import drop_table, sized, sliced, write_table
 from .token_store import load_tokenizer
 
 #: The rules under which a text may be cut where blanks begin.
@@ -288,11 +288,12 @@ def plan_packing(counts: dict[int, int], capacity: int = 2048, *, groups: int =
     return Plan(*table.T, fill.used)
 
 
-def _numbered(pieces: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+def _numbered(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pieces with their part and place in falling order of length, and the first rank of each part; both written."""
     spark = pieces.sparkSession
+    written, path = write_table(pieces, "pieces")  # a range shuffle reads its input twice: texts are encoded once
     order = [F.desc("length"), F.col("id").asc_nulls_first(), F.asc("piece"), F.asc("ids_crc32")]
-    ordered = pieces.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    ordered = written.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -302,15 +303,16 @@ def _numbered(pieces: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
             at += n
 
     schema = StructType(list(pieces.schema.fields)).add("part", IntegerType()).add("place", LongType())
-    placed, placed_path = write_table(ordered.mapInArrow(number, schema), "placed-pieces")
+    placed, _ = write_table(ordered.mapInArrow(number, schema), "placed-pieces")
+    drop_table(spark, path)
     parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per part of the shuffle
     parts, parts_path = write_table(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "piece-parts")
-    return placed, sized(parts, parts_path), [placed_path, parts_path]
+    return placed, sized(parts, parts_path)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, *, groups: int = 512, large: tuple[float, ...] = (0.4, 0.45, 0.49)) -> DataFrame:
     """``pieces`` (of ``cut_pieces``) with sequence_id and offset; of the plans with each share of ``large``, the one of fewest sequences."""
-    placed, parts, _ = _numbered(pieces)
+    placed, parts = _numbered(pieces)
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     plan = min((plan_packing(counts, capacity, groups=groups, large=x) for x in large), key=lambda p: p.sequences)
     names = [c for c in placed.columns if c not in ("part", "place")]
