@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .config import Config
 from .functions import text as T
-from .operators import articles, classify, crawl, ingest
-from .queries import _register, _t, geography
+from .operators import articles, classify, crawl, ingest, triples
+from .queries import _register, _t, article_sql, full_articles, geography
 from .schemas import ARTICLES
 from .sources import rdf, store
 
@@ -162,6 +163,15 @@ def ntriples_roundtrip(spark, d):
     return rdf.read_ntriples(spark, path)
 
 
+@_register(article_sql("text"))
+def article_graph_roundtrip(spark, d):
+    """The whole graph of articles whose bodies are whole texts, written as N-Quads and read back."""
+    path = _shared(spark)
+    graph = triples.graph(triples.article_triples(full_articles(spark, d, F.col("text")), Config()))
+    rdf.write_nquads(graph.withColumn("g", F.lit("http://g/articles")), path)
+    return rdf.read_nquads(spark, path, strict=True).where("g = 'http://g/articles'").drop("g")
+
+
 @_register(_GEOGRAPHY)
 def turtle_roundtrip(spark, d):
     path = _shared(spark)

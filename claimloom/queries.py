@@ -316,7 +316,8 @@ def _template(s: str, p: str, o: str, kind: str = "iri", dt: str = "", lang: str
     return f"SELECT {s} AS s, '{s_kind}' AS s_kind, {name} AS p, {o} AS o, '{kind}' AS o_kind, {_SDO.format(dt) if dt else 'CAST(NULL AS VARCHAR)'} AS o_datatype, {lang or 'CAST(NULL AS VARCHAR)'} AS o_lang FROM v WHERE {where} AND {s} IS NOT NULL AND {o} IS NOT NULL"
 
 
-def _templates() -> str:
+def article_sql(body: str = "'c' || md5(text)") -> str:
+    """All triples of the articles of ``full_articles`` with that body."""
     lit = lambda s, p, o, **k: _template(s, p, o, "literal", **k)
     of = lambda x: _SDO.format(x)
     near = "{N} || 'claimreview_' || md5('http://d/' || (i + 1))"
@@ -333,10 +334,10 @@ def _templates() -> str:
         lit("r", "keywords", "k1", lang="lang"), lit("r", "keywords", "k2", lang="lang"), _template("r", "associatedClaimReview", near, where="i % 4 = 1"), _template("r", "'http://www.w3.org/2000/01/rdf-schema#seeAlso'", near, where="i % 4 = 1"),
         _template("{N} || 'de'", "type", of("Language"), where="i % 2 = 0"), lit("{N} || 'de'", "alternateName", "'de'", dt="Text", where="i % 2 = 0"), lit("{N} || 'de'", "name", "'German'", lang="lang", where="i % 2 = 0"),
     ]
-    return (_FULL + " UNION ".join(rows)).replace("{N}", f"'{_N}'")
+    return (_FULL.replace("'c' || md5(text)", body) + " UNION ".join(rows)).replace("{N}", f"'{_N}'")
 
 
-def _full_articles(spark, d):
+def full_articles(spark, d, body=None):
     """The same articles as columns."""
     docs = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
     i, text = F.col("doc_id"), lambda prefix: F.concat(F.lit(prefix), F.md5(F.col("text").cast("binary")))
@@ -348,15 +349,15 @@ def _full_articles(spark, d):
         F.when(i % 4 != 0, F.concat(F.lit("Author "), (i % 7).cast("string"))).alias("author"), F.when(i % 6 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (i % 365).cast("int"))).alias("last_update"),
         F.when(i % 2 == 0, F.array(F.struct(F.lit("German").alias("lang"), F.concat(url(i), F.lit("/de")).alias("url"), F.lit("de").alias("code")))).alias("languages"),
         F.array(F.struct(F.lit("basic").alias("level"), F.array(url(i)).alias("urls"))).alias("levels"), F.when(i % 10 != 0, numbered("w")).alias("what_the_science_says"), F.when(i % 11 != 0, text("")).alias("climate_myth"),
-        F.when(i % 2 == 1, F.struct(F.concat(url(i), F.lit("/s")).alias("url"), F.lit("S").alias("name"))).alias("climate_myth_source"), F.when(i % 3 == 1, numbered("g")).alias("at_glance"), F.when(i % 7 != 0, text("c")).alias("content"),
+        F.when(i % 2 == 1, F.struct(F.concat(url(i), F.lit("/s")).alias("url"), F.lit("S").alias("name"))).alias("climate_myth_source"), F.when(i % 3 == 1, numbered("g")).alias("at_glance"), F.when(i % 7 != 0, text("c") if body is None else body).alias("content"),
         F.when(i % 4 == 1, F.array(F.struct(url(i + 1).alias("url"), F.lit("x").alias("title")))).alias("related_arguments"), F.when(F.col("toxic") == 1, "0_0").otherwise(F.col("quality").cast("string")).alias("category"),
     )
 
 
-@_register(_templates())
+@_register(article_sql())
 def article_templates(spark, d):
     """All triples of all templates, row by row."""
-    return triples.graph(triples.article_triples(_full_articles(spark, d), Config()))
+    return triples.graph(triples.article_triples(full_articles(spark, d), Config()))
 
 
 def _mappings(spark, d):

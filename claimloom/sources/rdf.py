@@ -13,7 +13,10 @@ from ..config import RDF, XSD
 from ..schemas import TRIPLES
 
 _IRI, _TERM = r"<([^<>]*)>", r"(?:<[^<>]*>|_:[^\s]+)"
-_LINE = rf'^\s*({_TERM})\s+{_IRI}\s+({_TERM}|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>)?)(?:\s+({_TERM}))?\s*\.\s*(?:#.*)?$'
+#: What stands in quotes.  Possessive, so that the JVM walks along it; a plain repetition of the two
+#: alternatives calls itself for each character and ends on the stack of long literals.
+_BODY = r'(?:[^"\\]++|\\[\s\S])*+'
+_LINE = rf'^\s*({_TERM})\s+{_IRI}\s+({_TERM}|"{_BODY}"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>)?)(?:\s+({_TERM}))?\s*\.\s*(?:#.*)?$'
 
 
 def _coded(c: Column) -> Column:
@@ -61,7 +64,7 @@ def read_nquads(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     s, o, g = part(1), part(3), part(4)
     bare = lambda c: F.when(c.startswith("<"), _coded(F.regexp_extract(c, _IRI, 1))).otherwise(c)
     literal = o.startswith('"')
-    body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
+    body = F.regexp_extract(o, rf'^"({_BODY})"', 1)
     datatype = F.nullif(F.nullif(F.regexp_extract(o, r'"\^\^<([^<>]*)>$', 1), F.lit("")), F.lit(XSD + "string"))
     kind = lambda c: F.when(c.startswith("<"), "iri").otherwise("bnode")
     return lines.select(

@@ -70,3 +70,17 @@ def test_json_ld_forms():
     }
     with pytest.raises(ValueError, match="not inline"):
         formats.parse_jsonld('{"@context": "http://c/", "@id": "a"}')
+
+
+def test_long_literals(spark, tmp_path):
+    """Bodies of a megabyte, of escapes alone, and of what looks like the end of a literal."""
+    bodies = ["x" * 1_000_000, '"\\\n\t' * 60_000, '" .\n<a> <b> "', "\\" * 5_001, "ends with \\", "", '\\"', "é \u0085\x0b x"]
+    rows = [(f"http://e/{i}", "iri", "http://e/p", b, "literal", None, "en" if i % 2 else None, "http://g/1") for i, b in enumerate(bodies)]
+    path = str(tmp_path / "long")
+    rdf.write_nquads(spark.createDataFrame(rows, TRIPLES + ", g string"), path)
+    got = rdf.read_nquads(spark, path, strict=True).orderBy("s").collect()
+    assert [r["o"] for r in got] == bodies and {r["g"] for r in got} == {"http://g/1"}
+    assert [r["o_lang"] for r in got] == ["en" if i % 2 else None for i in range(len(bodies))]
+    assert rdf.bad_lines(spark, path).count() == 0
+    (tmp_path / "bad.nt").write_text('<a> <b> "open ' + "y" * 300_000 + "\n" + '<a> <b> "c" "d" .\n')
+    assert rdf.bad_lines(spark, str(tmp_path / "bad.nt")).count() == 2
