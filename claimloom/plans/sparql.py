@@ -20,6 +20,7 @@ from ..config import XSD
 from .parser import Group, Query, Term, Var, parse
 
 _NUMERIC = [XSD + x for x in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")] + ["https://schema.org/Number"]
+_DOUBLES = [XSD + x for x in ("double", "float")]
 _INTEGERS = [XSD + x for x in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")]
 #: Sides that may both be unbound in more shared variables than this are compared row by row.
 _SPLIT = 3
@@ -36,31 +37,156 @@ def _constant(t: Term) -> Column:
     return _struct(F.lit(t.value), t.kind, F.lit(t.datatype), F.lit(t.lang))
 
 
+_WHOLE, _EXACT = "decimal(38,0)", "decimal(38,18)"
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of ``value``, which the plan holds once however often ``body`` names it: chained
+    expressions would else double with every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Number:
+    """A number by XSD's order of types: whole, else decimal, else double; what a value is not, is null.
+
+    Whole numbers have 38 digits, decimals 20 before the point and 18 after it.  What leaves
+    these goes on as a double.  All three stand in one struct column.
+    """
+
+    def __init__(self, parts: Column):
+        self.parts = parts
+
+    double = property(lambda self: self.parts["d"])
+    exact = property(lambda self: self.parts["e"])
+    whole = property(lambda self: self.parts["w"])
+
+    @staticmethod
+    def made(double: Column, exact: Column | None = None, whole: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(double.cast("double").alias("d"), (none if exact is None else exact).try_cast(_EXACT).alias("e"), (none if whole is None else whole).try_cast(_WHOLE).alias("w"))
+
+    @classmethod
+    def of(cls, term: Column) -> Number:
+        """Of a struct with ``v`` and ``dt``; whole and decimal types keep every digit."""
+
+        def read(t: Column) -> Column:
+            v, known = t["v"], t["dt"].isin(_NUMERIC)
+            return cls.made(F.when(known, v.try_cast("double")), F.when(known & ~t["dt"].isin(_DOUBLES), v.try_cast(_EXACT)), F.when(t["dt"].isin(_INTEGERS), v.try_cast(_WHOLE)))
+
+        return cls(_once(term, read))
+
+    @classmethod
+    def literal(cls, v: Column, datatype: str) -> Number:
+        return cls.of(F.struct(v.alias("v"), F.lit(XSD + datatype).alias("dt")))
+
+    @classmethod
+    def counted(cls, n: Column) -> Number:
+        return cls(_once(n, lambda n: cls.made(n, n, n)))
+
+    def changed(self, body) -> Number:
+        return Number(_once(self.parts, lambda x: body(Number(x))))
+
+    def _with(self, other: Number, body) -> Column:
+        return _once(F.struct(self.parts.alias("a"), other.parts.alias("b")), lambda x: body(Number(x["a"]), Number(x["b"])))
+
+    def _of_both(self, other: Number, double, exact, whole) -> Number:
+        return Number(self._with(other, lambda a, b: self.made(double(a.double, b.double), F.coalesce(exact(a, b).try_cast(_EXACT), whole(a.whole, b.whole).try_cast(_EXACT)), whole(a.whole, b.whole))))
+
+    def __add__(self, other: Number) -> Number:
+        return self._of_both(other, lambda x, y: x + y, lambda a, b: F.try_add(a.exact, b.exact), F.try_add)
+
+    def __sub__(self, other: Number) -> Number:
+        return self._of_both(other, lambda x, y: x - y, lambda a, b: F.try_subtract(a.exact, b.exact), F.try_subtract)
+
+    def __mul__(self, other: Number) -> Number:
+        def exact(a: Number, b: Number) -> Column:
+            x, y = a.exact.try_cast("decimal(18,9)"), b.exact.try_cast("decimal(18,9)")  # a product of these is whole in 37 digits
+            return F.coalesce(F.when((x == a.exact) & (y == b.exact), F.try_multiply(x, y)).try_cast(_EXACT), F.try_multiply(a.exact, b.exact).try_cast(_EXACT))
+
+        return self._of_both(other, lambda x, y: x * y, exact, F.try_multiply)
+
+    def __truediv__(self, other: Number) -> Number:
+        """A quotient is a decimal where it ends within 18 places, else a double."""
+
+        def divided(a: Number, b: Number) -> Column:
+            x, y = a.exact.try_cast("decimal(20,9)"), b.exact.try_cast("decimal(20,9)")
+            q = F.when((x == a.exact) & (y == b.exact), F.try_divide(x, y)).try_cast(_EXACT)
+            short = q.try_cast("decimal(24,12)")
+            ends = (short == q) & (F.try_multiply(short, b.exact.try_cast("decimal(13,6)")) == a.exact) & (b.exact.try_cast("decimal(13,6)") == b.exact)
+            return self.made(F.try_divide(a.double, b.double), F.when(ends, q))
+
+        return Number(self._with(other, divided))
+
+    def __neg__(self) -> Number:
+        return self.changed(lambda x: self.made(-x.double, -x.exact, -x.whole))
+
+    def __abs__(self) -> Number:
+        return self.changed(lambda x: self.made(F.abs(x.double), F.abs(x.exact), F.abs(x.whole)))
+
+    def rounded(self, how) -> Number:
+        """``how`` is F.floor or F.ceil."""
+        return self.changed(lambda x: self.made(how(x.double), F.coalesce(how(x.exact).try_cast(_EXACT), x.whole.try_cast(_EXACT)), F.coalesce(x.whole, how(x.exact).try_cast(_WHOLE))))
+
+    def cut(self) -> Number:
+        """Towards zero, as whole."""
+
+        def body(x: Number) -> Column:
+            exact = F.coalesce(x.exact, x.double.try_cast(_EXACT))
+            whole = F.coalesce(x.whole, F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)).try_cast(_WHOLE))
+            return self.made(whole, whole, whole)
+
+        return self.changed(body)
+
+    def compared(self, op, other: Number) -> Column:
+        def body(a: Number, b: Number) -> Column:
+            return (
+                F.when(a.whole.isNotNull() & b.whole.isNotNull(), op(a.whole, b.whole))
+                .when(a.exact.isNotNull() & b.exact.isNotNull(), op(a.exact, b.exact))
+                .when(a.double.isNotNull() & b.double.isNotNull(), op(a.double, b.double))
+            )
+
+        return self._with(other, body)
+
+    @property
+    def keys(self) -> list[Column]:
+        """By which numbers are sorted: the double, then what it cannot tell apart."""
+        return [self.double, self.whole, self.exact]
+
+    @property
+    def term(self) -> Column:
+        def body(x: Column) -> Column:
+            n = Number(x)
+            point = F.regexp_replace(F.regexp_replace(n.exact.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+            v = F.coalesce(n.whole.cast("string"), F.when(n.exact == 0, F.lit("0")).otherwise(point), n.double.cast("string"))
+            kind = F.when(n.whole.isNotNull(), "integer").when(n.exact.isNotNull(), "decimal").otherwise("double")
+            return _struct(v, "literal", F.concat(F.lit(XSD), kind))
+
+        return _once(self.parts, body)
+
+
 class Value:
     """An expression in the forms that operators ask for."""
 
-    def __init__(self, term: Column | None = None, *, number: Column | None = None, text: Column | None = None, truth: Column | None = None, whole: bool = False):
-        self._term, self._number, self._text, self._truth, self._whole = term, number, text, truth, whole
+    def __init__(self, term: Column | None = None, *, number: Number | None = None, text: Column | None = None, truth: Column | None = None):
+        self._term, self._number, self._text, self._truth = term, number, text, truth
 
     @property
     def term(self) -> Column:
         if self._term is not None:
             return self._term
         if self._number is not None:
-            n = self._number
-            whole = F.lit(True) if self._whole else (n == F.floor(n)) & (F.abs(n) < 1e15)
-            return F.when(whole, _struct(n.cast("bigint"), "literal", F.lit(XSD + "integer"))).otherwise(_struct(n.cast("string"), "literal", F.lit(XSD + "decimal")))
+            return self._number.term
         if self._truth is not None:
             return _struct(self._truth.cast("string"), "literal", F.lit(XSD + "boolean"))
         return _struct(self._text, "literal")
 
     @property
-    def number(self) -> Column:
+    def number(self) -> Number:
         if self._number is not None:
             return self._number
         if self._term is None:
-            return F.lit(None).cast("double")
-        return F.when(self._term["dt"].isin(_NUMERIC), self._term["v"].try_cast("double"))
+            return Number(Number.made(F.lit(None)))
+        return Number.of(self._term)
 
     @property
     def text(self) -> Column:
@@ -73,12 +199,12 @@ class Value:
         if self._truth is not None:
             return self._truth
         if self._number is not None:
-            return self._number != 0
+            return self._number.double != 0
         if self._text is not None:
             return self._text != ""
         t = self._term
         plain = (t["kind"] == "literal") & t["dt"].isNull()
-        return F.when(t["dt"] == XSD + "boolean", t["v"].isin("true", "1")).when(t["dt"].isin(_NUMERIC), F.coalesce(self.number != 0, F.lit(False))).when(plain, t["v"] != "")
+        return F.when(t["dt"] == XSD + "boolean", t["v"].isin("true", "1")).when(t["dt"].isin(_NUMERIC), F.coalesce(self.number.double != 0, F.lit(False))).when(plain, t["v"] != "")
 
 
 class Solutions:
@@ -108,7 +234,7 @@ class Compiler:
         elif p[0] == "iri":
             edges = self._filtered(self.source().where(F.col("p") == p[1]), s, o).select(self._subject(), self._object(), "g")
         else:
-            edges = self.path(p, s, o).withColumn("g", F.lit(None).cast("string"))
+            edges = self.path(p, s, o)
         names: list[str] = []
         places = [(s, "_s"), *([(p, "_p")] if isinstance(p, Var) else []), (o, "_o")]
         if self.graph_var:
@@ -156,41 +282,55 @@ class Compiler:
             bound = set(out.names)
         return out or self.unit()
 
+    def _edges(self, rows: DataFrame, start: Column, end: Column) -> DataFrame:
+        """(_s, _o, g): under a graph variable an edge is of its graph, else of none."""
+        return rows.select(start.alias("_s"), end.alias("_o"), (F.col("g") if self.graph_var else F.lit(None).cast("string")).alias("g"))
+
     def path(self, p, s=None, o=None) -> DataFrame:
-        """(_s, _o) of a property path."""
+        """(_s, _o, g) of a property path; all its edges are of one graph."""
         kind = p[0]
+        subject, object_ = self._subject(), self._object()
         if kind == "iri":
-            return self.source().where(F.col("p") == p[1]).select(self._subject(), self._object()).distinct()
+            return self._edges(self.source().where(F.col("p") == p[1]), subject, object_).distinct()
         if kind == "inverse":
-            return self.path(p[1]).select(F.col("_o").alias("_s"), F.col("_s").alias("_o"))
+            return self.path(p[1]).select(F.col("_o").alias("_s"), F.col("_s").alias("_o"), "g")
         if kind == "alt":
             return self.path(p[1]).unionByName(self.path(p[2])).distinct() if p[1][0] != "alt" else self.path(p[1]).unionByName(self.path(p[2]))
         if kind == "seq":
-            a, b = self.path(p[1]), self.path(p[2]).select(F.col("_s").alias("_m"), F.col("_o").alias("_e"))
-            return a.join(b, a["_o"] == b["_m"]).select("_s", F.col("_e").alias("_o"))
+            return self._chained(self.path(p[1]), self.path(p[2]))
         if kind == "not":
             parts = []
             if p[1] or not p[2]:
-                parts.append(self.source().where(~F.col("p").isin(p[1])).select(self._subject(), self._object()))
+                parts.append(self._edges(self.source().where(~F.col("p").isin(p[1])), subject, object_))
             if p[2]:
-                parts.append(self.source().where(~F.col("p").isin(p[2])).select(self._object().alias("_s"), self._subject().alias("_o")))
+                parts.append(self._edges(self.source().where(~F.col("p").isin(p[2])), object_, subject))
             return reduce(DataFrame.unionByName, parts)
         step = self.path(p[1]).distinct()
         if kind == "maybe":
             return step.unionByName(self._same(s, o)).distinct()
-        closed = self._closure(step)
+        closed = self._closure(step, s, o)
         return closed if kind == "plus" else closed.unionByName(self._same(s, o)).distinct()
 
+    @staticmethod
+    def _chained(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(F.col("_s").alias("_m"), F.col("_o").alias("_e"), F.col("g").alias("_h"))
+        return a.join(b, (a["_o"] == b["_m"]) & a["g"].eqNullSafe(b["_h"])).select("_s", F.col("_e").alias("_o"), "g")
+
     def _same(self, s, o) -> DataFrame:
         """Every node with itself, and the constants of the pattern, which need not be in the graph."""
-        nodes = self.source().select(self._subject()).union(self.source().select(self._object()))
+        rows = self.source()
+        nodes = self._edges(rows, self._subject(), self._subject()).union(self._edges(rows, self._object(), self._object()))
         for t in (s, o):
             if isinstance(t, Term):
-                nodes = nodes.union(self.spark.range(1).select(_constant(t)))
-        return nodes.distinct().select(F.col("_s"), F.col("_s").alias("_o"))
+                graphs = rows.where("g IS NOT NULL").select("g").distinct() if self.graph_var else self.spark.range(1).select(F.lit(None).cast("string").alias("g"))
+                nodes = nodes.union(self._edges(graphs, _constant(t), _constant(t)))
+        return nodes.distinct()
 
-    def _closure(self, step: DataFrame) -> DataFrame:
-        """All pairs joined by one step or more; each round extends only pairs that were new, and writes only those."""
+    def _closure(self, step: DataFrame, s=None, o=None) -> DataFrame:
+        """Pairs joined by one step or more; each round extends only pairs that were new, and writes only those.
+
+        From a constant end the search goes outwards from it alone, so only what it reaches is ever touched.
+        """
         context = self.spark.sparkContext
         if context.getCheckpointDir() is None:
             shared = context.getConf().get("spark.checkpoint.dir")
@@ -198,11 +338,14 @@ class Compiler:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paths_"))
         step = step.checkpoint()
-        seen = new = step
-        following = step.select(F.col("_s").alias("_m"), F.col("_o").alias("_e"))
+        backwards = isinstance(o, Term) and not isinstance(s, Term)
+        first = step.where(F.col("_s") == _constant(s)) if isinstance(s, Term) else step.where(F.col("_o") == _constant(o)) if backwards else step
+        seen = new = first
         while True:
-            longer = new.join(following, new["_o"] == following["_m"]).select("_s", F.col("_e").alias("_o")).distinct()
-            new = longer.join(seen, ["_s", "_o"], "left_anti").checkpoint()
+            longer = (self._chained(step, new) if backwards else self._chained(new, step)).distinct()
+            met = seen.select(*[F.col(c).alias(f"_m{c}") for c in ("_s", "_o", "g")])
+            known = (F.col("_s") == F.col("_m_s")) & (F.col("_o") == F.col("_m_o")) & F.col("g").eqNullSafe(F.col("_mg"))
+            new = longer.join(met, known, "left_anti").checkpoint()
             if not new.limit(1).count():
                 return seen
             seen = seen.unionByName(new)  # rounds that are checkpointed already
@@ -395,7 +538,7 @@ class Compiler:
             return Value(view.get(e[1], F.lit(None).cast(_TERM)))
         if kind == "term":
             t = e[1]
-            return Value(_constant(t), number=F.lit(float(t.value)) if t.datatype in _NUMERIC else None, whole=False) if t.datatype in _NUMERIC else Value(_constant(t))
+            return Value(_constant(t), number=Number.of(_constant(t))) if t.datatype in _NUMERIC else Value(_constant(t))
         if kind == "agg":
             return Value(aggregates[repr(e)])
         if kind == "not":
@@ -415,7 +558,7 @@ class Compiler:
                 return Value(truth=a.truth | b.truth)
             if e[1] in "+-*/":
                 x, y = a.number, b.number
-                return Value(number={"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[e[1]])
+                return Value(number={"+": x.__add__, "-": x.__sub__, "*": x.__mul__, "/": x.__truediv__}[e[1]](y))
             return Value(truth=_compare(e[1], a, b))
         return self.call(e[1], e[2], again)
 
@@ -441,7 +584,7 @@ class Compiler:
         if name in ("ISIRI", "ISURI", "ISLITERAL", "ISBLANK"):
             return Value(truth=t["kind"] == {"ISIRI": "iri", "ISURI": "iri", "ISLITERAL": "literal", "ISBLANK": "bnode"}[name])
         if name == "ISNUMERIC":
-            return Value(truth=F.when(t.isNotNull(), v[0].number.isNotNull()))
+            return Value(truth=F.when(t.isNotNull(), v[0].number.double.isNotNull()))
         if name == "SAMETERM":
             return Value(truth=t == v[1].term)
         if name in ("IRI", "URI"):
@@ -461,17 +604,26 @@ class Compiler:
             pattern = F.concat(F.lit("(?u"), text[3], F.lit(")"), text[1]) if len(text) > 3 else text[1]
             return like(F.regexp_replace(text[0], pattern, text[2]))
         if name == "SUBSTR":
-            return like(F.substring(text[0], v[1].number.cast("int"), v[2].number.cast("int") if len(v) > 2 else F.lit(1 << 30)))
+            # places from 1; those before it count for the length
+            first = F.round(v[1].number.double).cast("int")
+            end = first + F.round(v[2].number.double).cast("int") if len(v) > 2 else F.lit((1 << 31) - 1)
+            start = F.greatest(first, F.lit(1))
+            return like(F.substring(text[0], start, F.greatest(end - start, F.lit(0))))
         if name in ("UCASE", "LCASE"):
             return like((F.upper if name == "UCASE" else F.lower)(text[0]))
         if name == "STRBEFORE":
-            return like(F.when(F.contains(text[0], text[1]), F.split_part(text[0], text[1], F.lit(1))).otherwise(""))
+            before = like(F.substring(text[0], F.lit(1), F.position(text[1], text[0]) - 1)).term
+            return Value(F.when(F.contains(text[0], text[1]), before).when(~F.contains(text[0], text[1]), _struct(F.lit(""), "literal")))
         if name == "STRAFTER":
-            return like(F.when(F.contains(text[0], text[1]), F.substring(text[0], F.position(text[1], text[0]) + F.length(text[1]), F.lit(1 << 30))).otherwise(""))
+            after = like(F.substring(text[0], F.position(text[1], text[0]) + F.length(text[1]), F.lit(1 << 30))).term
+            return Value(F.when(F.contains(text[0], text[1]), after).when(~F.contains(text[0], text[1]), _struct(F.lit(""), "literal")))
         if name == "STRLEN":
-            return Value(number=F.length(text[0]).cast("double"), whole=True)
+            return Value(number=Number.counted(F.length(text[0])))
         if name == "CONCAT":
-            return Value(text=F.concat(*text) if text else F.lit(""))
+            if not text:
+                return Value(text=F.lit(""))
+            same = reduce(lambda x, y: x & y, [t["lang"].eqNullSafe(x.term["lang"]) for x in v])
+            return Value(_struct(F.concat(*text), "literal", None, F.when(same, t["lang"])))
         if name == "ENCODE_FOR_URI":
             return Value(text=F.replace(F.url_encode(text[0]), F.lit("+"), F.lit("%20")))
         if name in ("MD5", "SHA1"):
@@ -479,13 +631,17 @@ class Compiler:
         if name in ("SHA256", "SHA384", "SHA512"):
             return Value(text=F.sha2(text[0].cast("binary"), int(name[3:])))
         if name in ("ABS", "CEIL", "FLOOR", "ROUND"):
-            return Value(number={"ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor, "ROUND": lambda c: F.floor(c + 0.5)}[name](v[0].number).cast("double"))
+            n = v[0].number
+            if name == "ROUND":  # halves go up
+                return Value(number=(n + Number.literal(F.lit("0.5"), "decimal")).rounded(F.floor))
+            return Value(number=abs(n) if name == "ABS" else n.rounded(F.ceil if name == "CEIL" else F.floor))
         if name in ("YEAR", "MONTH", "DAY"):
             part = {"YEAR": r"^(-?\d{4,})-", "MONTH": r"^-?\d{4,}-(\d\d)", "DAY": r"^-?\d{4,}-\d\d-(\d\d)"}[name]
-            return Value(number=F.nullif(F.regexp_extract(text[0], part, 1), F.lit("")).try_cast("double"), whole=True)
+            return Value(number=Number.counted(F.nullif(F.regexp_extract(text[0], part, 1), F.lit("")).try_cast(_WHOLE)))
         if name in ("HOURS", "MINUTES", "SECONDS"):
             part = {"HOURS": r"T(\d\d):", "MINUTES": r"T\d\d:(\d\d)", "SECONDS": r"T\d\d:\d\d:(\d\d(?:\.\d+)?)"}[name]
-            return Value(number=F.nullif(F.regexp_extract(text[0], part, 1), F.lit("")).try_cast("double"), whole=name != "SECONDS")
+            found = F.nullif(F.regexp_extract(text[0], part, 1), F.lit(""))
+            return Value(number=Number.literal(found, "decimal" if name == "SECONDS" else "integer"))
         if name == "TZ":
             return Value(text=F.regexp_extract(text[0], r"T[0-9:.]+(Z|[+-]\d\d:\d\d)$", 1))
         if name == "TIMEZONE":
@@ -503,8 +659,11 @@ class Compiler:
         if name == "BNODE":  # the same label gives the same node
             return Value(_struct(F.concat(F.lit("_:b"), F.md5(text[0].cast("binary")) if text else F.replace(F.uuid(), F.lit("-"))), "bnode"))
         if name in (XSD + "integer", XSD + "double", XSD + "decimal", XSD + "float"):
-            n = text[0].try_cast("double")
-            return Value(_struct((F.floor(n) if name.endswith("integer") else n).cast("bigint" if name.endswith("integer") else "string"), "literal", F.lit(name)))
+            if name.endswith("integer"):  # a text may be written as any number
+                return Value(number=Number(_once(text[0], lambda x: Number.made(x.try_cast("double"), x, F.when(F.regexp_like(x, F.lit(r"^[+-]?\d+$")), x)))).cut())
+            if name.endswith("decimal"):
+                return Value(number=Number(_once(text[0], lambda x: Number.made(x.try_cast("double"), F.coalesce(x.try_cast(_EXACT), x.try_cast("double").try_cast(_EXACT))))))
+            return Value(_struct(text[0].try_cast("double").cast("string"), "literal", F.lit(name)))
         if name == XSD + "string":
             return Value(text=text[0])
         if name == XSD + "boolean":
@@ -535,7 +694,7 @@ class Compiler:
             for e, down in q.order:
                 value = self.value(e, view, calls)
                 turn = (lambda c: c.desc_nulls_last()) if down else (lambda c: c.asc_nulls_first())
-                keys += [turn(value.term.isNotNull()), turn(value.number), turn(value.text)]
+                keys += [turn(value.term.isNotNull()), *map(turn, value.number.keys), turn(value.text)]
             frame = frame.orderBy(*keys)
         shown = [n for n, _ in items]
         frame = frame.select(*shown) if shown else frame.select("_unit") if "_unit" in frame.columns else frame
@@ -556,7 +715,7 @@ class Compiler:
                 raise ValueError("ORDER BY of a DISTINCT query takes selected variables only")
             value = self.value(e, {n: F.col(n) for n in shown}, calls)
             turn = (lambda c: c.desc_nulls_last()) if down else (lambda c: c.asc_nulls_first())
-            keys += [turn(value.term.isNotNull()), turn(value.number), turn(value.text)]
+            keys += [turn(value.term.isNotNull()), *map(turn, value.number.keys), turn(value.text)]
         return frame.orderBy(*keys) if keys else frame
 
     def aggregate(self, rows: Solutions, q: Query, items: list):
@@ -579,18 +738,20 @@ class Compiler:
                     n = F.count_distinct(v.term) if distinct else F.count(v.term)
                 made[text] = _struct(n.cast("bigint"), "literal", F.lit(XSD + "integer"))
             elif name in ("SUM", "AVG"):
-                f = {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg}.get((name, distinct))
-                n = f(number) if f else F.try_divide(F.sum_distinct(number), F.count_distinct(number))
-                made[text] = Value(number=F.coalesce(n, F.lit(0.0))).term
-                if name == "SUM":  # integers are added without rounding
-                    exact = F.when(v.term["dt"].isin(_INTEGERS), v.term["v"].try_cast("decimal(38,0)"))
-                    total = F.coalesce((F.sum_distinct if distinct else F.sum)(exact), F.lit(0)).cast("decimal(38,0)")
-                    made[text] = F.when(F.count(exact) == F.count(number), _struct(total, "literal", F.lit(XSD + "integer"))).otherwise(made[text])
+                add = F.sum_distinct if distinct else F.sum
+                many = F.count_distinct(number.double) if distinct else F.count(number.double)
+                # exact as long as every number is; what is added may be longer than a decimal holds
+                all_whole, all_exact = F.count(number.whole) == F.count(number.double), F.count(number.exact) == F.count(number.double)
+                zero = F.lit(0)
+                total = Number(Number.made(F.coalesce(add(number.double), zero.cast("double")), F.when(all_exact, F.coalesce(add(number.exact), zero.cast(_EXACT))), F.when(all_whole, F.coalesce(add(number.whole), zero.cast(_WHOLE)))))
+                if name == "AVG":
+                    total = Number(F.when(many == 0, Number.made(zero, zero, zero)).otherwise((total / Number.counted(many)).parts))
+                made[text] = total.term
             elif name in ("MIN", "MAX"):
                 f = F.min_by if name == "MIN" else F.max_by
                 # blank nodes, IRIs, numbers by value, other literals by their text
-                rank = F.when(v.term["kind"] == "bnode", 0).when(v.term["kind"] == "iri", 1).when(number.isNotNull(), 2).otherwise(3)
-                made[text] = f(v.term, F.when(v.term.isNotNull(), F.struct(rank, F.coalesce(number, F.lit(0.0)), v.text)))
+                rank = F.when(v.term["kind"] == "bnode", 0).when(v.term["kind"] == "iri", 1).when(number.double.isNotNull(), 2).otherwise(3)
+                made[text] = f(v.term, F.when(v.term.isNotNull(), F.struct(rank, *[F.coalesce(x, F.lit(0).cast(kind)) for x, kind in zip(number.keys, ("double", _WHOLE, _EXACT), strict=True)], v.text)))
             elif name == "SAMPLE":
                 made[text] = F.min(v.term)
             else:
@@ -681,12 +842,13 @@ def _variables(e) -> set[str]:
 
 def _compare(op: str, a: Value, b: Value) -> Column:
     x, y, s, t = a.number, b.number, a.term, b.term
-    both = x.isNotNull() & y.isNotNull()
+    both = x.double.isNotNull() & y.double.isNotNull()
     signs = {"=": lambda p, q: p == q, "!=": lambda p, q: p != q, "<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}
+    numbers = x.compared(signs[op], y)
     if op in ("=", "!="):
-        return F.when(both, signs[op](x, y)).otherwise(signs[op](s, t))
-    comparable = (s["kind"] == "literal") & (t["kind"] == "literal") & s["dt"].eqNullSafe(t["dt"]) & x.isNull() & y.isNull()
-    return F.when(both, signs[op](x, y)).when(comparable, signs[op](s["v"], t["v"]))
+        return F.when(both, numbers).otherwise(signs[op](s, t))
+    comparable = (s["kind"] == "literal") & (t["kind"] == "literal") & s["dt"].eqNullSafe(t["dt"]) & x.double.isNull() & y.double.isNull()
+    return F.when(both, numbers).when(comparable, signs[op](s["v"], t["v"]))
 
 
 def query(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None) -> DataFrame:

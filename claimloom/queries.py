@@ -456,6 +456,28 @@ def sparql_graph_fixed(spark, d):
     return sparql(_quads(spark, d), "PREFIX : <http://g/> SELECT ?c ?n { GRAPH <http://g/graph/of> { ?c ?p ?n } }")
 
 
+@_register(f"SELECT 'http://g/graph/in' AS g, 'http://g/region/' || n_regionkey AS x, 'http://g/nation/' || n_nationkey AS y FROM nation")
+def sparql_graph_path(spark, d):
+    """A path inside one graph: no edge of another graph goes on from it."""
+    return sparql(_quads(spark, d), "PREFIX : <http://g/> SELECT ?g ?x ?y { GRAPH ?g { ?x ^:in/(:of|:in)? ?y . ?y :in ?x } }")
+
+
+@_register(f"SELECT 'http://g/graph/of' AS g, {_C} AS x, 'http://g/nation/' || c_nationkey AS y FROM customer UNION SELECT 'http://g/graph/in', 'http://g/nation/' || n_nationkey, 'http://g/region/' || n_regionkey FROM nation")
+def sparql_graph_closure(spark, d):
+    return sparql(_quads(spark, d), "PREFIX : <http://g/> SELECT ?g ?x ?y { GRAPH ?g { ?x (:of|:in)+ ?y } }")
+
+
+_sparql("sparql_reach_from", "SELECT ?y { <http://g/customer/7> (:of|:in)+ ?y }", "SELECT 'http://g/nation/' || c_nationkey AS y FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'http://g/region/' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7")
+_sparql("sparql_reach_to", "SELECT ?x { ?x (:of|:in)+ <http://g/region/1> }", f"SELECT 'http://g/nation/' || n_nationkey AS x FROM nation WHERE n_regionkey = 1 UNION ALL SELECT {_C} FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1")
+_BIG = "CAST(9007199254740992 AS HUGEINT)"
+_POINT = "rtrim(rtrim(CAST({0} AS VARCHAR), '0'), '.')"
+_sparql("sparql_exact_whole", "SELECT ?c ?x ?y { ?c :size ?k BIND(?k + 9007199254740992 AS ?x) BIND(?x * 9007199254740993 AS ?y) FILTER(?x != 9007199254740993 && ?y > 81129638414606699710187514626049) }", f"SELECT {_C} AS c, CAST({_BIG} + k AS VARCHAR) AS x, CAST(({_BIG} + k) * ({_BIG} + 1) AS VARCHAR) AS y FROM (SELECT c_custkey, c_custkey % 50 AS k FROM customer) WHERE k <> 1 AND k > 1")
+_sparql("sparql_exact_decimal", "SELECT ?c ?x ?y ?z { ?c :size ?k BIND(?k * 0.1 + 0.2 AS ?x) BIND(?k / 8 AS ?y) BIND(ROUND(?k * 0.25) AS ?z) FILTER(?x > 0.3 && 0.1 + 0.2 = 0.3) }", f"SELECT {_C} AS c, {_POINT.format('CAST(k AS DECIMAL(9,1)) * 0.1 + 0.2')} AS x, {_POINT.format('CAST(k AS DECIMAL(9,3)) * 0.125')} AS y, CAST((k + 2) // 4 AS VARCHAR) AS z FROM (SELECT c_custkey, c_custkey % 50 AS k FROM customer) WHERE k > 1")
+_sparql("sparql_exact_sums", "SELECT ?g (SUM(?x) AS ?s) (AVG(?w) AS ?a) (MAX(?y) AS ?m) { ?c :segment ?g ; :size ?k BIND(?k * 0.1 AS ?x) BIND(?k * 4 AS ?w) BIND(?k + 9007199254740992 AS ?y) } GROUP BY ?g", f"SELECT c_mktsegment AS g, {_POINT.format('CAST(sum(k) AS DECIMAL(18,1)) * 0.1')} AS s, regexp_replace(CAST(avg(k * 4) AS VARCHAR), '[.]0$', '') AS a, CAST({_BIG} + max(k) AS VARCHAR) AS m FROM (SELECT c_mktsegment, c_custkey % 50 AS k FROM customer) GROUP BY c_mktsegment")
+_sparql("sparql_string_edges", 'SELECT ?n (SUBSTR(?n, 0, 3) AS ?a) (SUBSTR(?n, 2) AS ?b) (SUBSTR(?n, -1, 4) AS ?c) (STRBEFORE(?n, "") AS ?d) (STRAFTER(?n, "") AS ?e) (STRBEFORE(?n, "A") AS ?f) (STRAFTER(?n, "A") AS ?h) (LANG(CONCAT(STRLANG(?n, "en"), "x"@en)) AS ?i) (LANG(CONCAT(STRLANG(?n, "en"), "x")) AS ?j) { ?r :name ?n . ?r :in ?o }',
+    "SELECT n_name AS n, n_name[1:2] AS a, n_name[2:] AS b, n_name[1:2] AS c, '' AS d, n_name AS e, CASE WHEN contains(n_name, 'A') THEN n_name[1 : strpos(n_name, 'A') - 1] ELSE '' END AS f, CASE WHEN contains(n_name, 'A') THEN n_name[strpos(n_name, 'A') + 1 :] ELSE '' END AS h, 'en' AS i, '' AS j FROM nation")
+
+
 @_register("SELECT 'http://g/graph/in' AS g, CAST(count(*) AS VARCHAR) AS n FROM nation UNION ALL SELECT 'http://g/graph/of', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'http://g/graph/segment', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'http://g/graph/size', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'http://g/graph/vip', CAST(count(*) AS VARCHAR) FROM customer WHERE c_custkey % 4 = 0 HAVING count(*) > 0")
 def sparql_graph_variable(spark, d):
     return sparql(_quads(spark, d), "PREFIX : <http://g/> SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")

@@ -2,8 +2,9 @@ from datetime import datetime
 
 import pytest
 
-from claimloom.config import Config
+from claimloom.config import XSD, Config
 from claimloom.operators import classify, ingest, stats, triples
+from claimloom.plans import sparql
 from claimloom.plans.sparql import query
 from claimloom.schemas import ARTICLES, CLAIMS, MAPPINGS, TRIPLES
 from claimloom.serve import answer
@@ -172,3 +173,34 @@ def test_sql_function_of_the_matcher(spark):
     rows = spark.table("claims_to_match")
     best = classify.best_match(rows, concepts.concepts(spark, "n#"), "i", "t", "id", "label", "ord")
     assert got == {r["key"]: r["category"] for r in best.collect()} == {1: "1_1", 2: "0", 3: "0", 4: "3_2_2"}
+
+
+def test_numbers_keep_every_digit(spark):
+    """Whole numbers past 2**53, decimals, quotients and what leaves them."""
+    one = spark.createDataFrame([("http://e/a", "iri", "http://e/n", v, "literal", XSD + t, None) for v, t in (("9007199254740992", "integer"), ("9007199254740993", "integer"), ("0.1", "decimal"), ("1e0", "double"))], TRIPLES)
+    ask = lambda text: sorted(tuple(r) for r in sparql.query(one, text).collect())
+    assert ask("SELECT ?o { ?s ?p ?o FILTER(?o = 9007199254740993) }") == [("9007199254740993",)]
+    assert ask("SELECT ?o { ?s ?p ?o } ORDER BY DESC(?o) LIMIT 1") == [("9007199254740993",)]
+    assert ask("SELECT (MAX(?o) AS ?m) (SUM(?o) AS ?t) { ?s ?p ?o FILTER(?o > 2) }") == [("9007199254740993", "18014398509481985")]
+    shown = "SELECT (0.1 + 0.2 AS ?a) (DATATYPE(0.1 + 0.2) AS ?b) (1 / 8 AS ?c) (1 / 3 AS ?d) (DATATYPE(1 / 3) AS ?e) (-3 * 7 AS ?f) (1 / 0 AS ?g) (ROUND(2.5) AS ?h) (ROUND(-2.5) AS ?i) (ABS(-0.50) AS ?j) (CEIL(1.2) AS ?k) (1e0 + 1 AS ?l) (<http://www.w3.org/2001/XMLSchema#integer>(\"-7.9\") AS ?m) (<http://www.w3.org/2001/XMLSchema#decimal>(\"2.50\") AS ?n) { }"
+    assert ask(shown) == [("0.3", XSD + "decimal", "0.125", "0.3333333333333333", XSD + "double", "-21", None, "3", "-2", "0.5", "2", "2.0", "-7", "2.5")]
+    chain = "SELECT ?z { BIND(1 AS ?a) " + " ".join(f"BIND(?{x} + ?{x} AS ?{y})" for x, y in zip("abcde", "bcdez", strict=True)) + " FILTER(?z > 30) }"
+    assert ask(chain) == [("32",)]  # each step names the one before twice
+
+
+def test_search_from_bound_ends(spark):
+    """Only what a bound end reaches is looked at: a long chain apart from it costs no round."""
+    edges = [("a", "b"), ("b", "c"), ("c", "a")] + [(f"x{i}", f"x{i + 1}") for i in range(30)]
+    g = spark.createDataFrame([(f"http://e/{s}", "iri", "http://e/p", f"http://e/{o}", "iri", None, None) for s, o in edges], TRIPLES)
+    counted = []
+    real = sparql.Compiler._chained
+    try:
+        sparql.Compiler._chained = staticmethod(lambda a, b: counted.append(1) or real(a, b))
+        assert {r[0] for r in sparql.query(g, "SELECT ?y { <http://e/a> <http://e/p>+ ?y }").collect()} == {f"http://e/{x}" for x in "abc"}
+        forward = len(counted)
+        assert {r[0] for r in sparql.query(g, "SELECT ?x { ?x <http://e/p>+ <http://e/c> }").collect()} == {f"http://e/{x}" for x in "abc"}
+        assert forward <= 4 and len(counted) - forward <= 4
+        assert {r[0] for r in sparql.query(g, "SELECT ?y { <http://e/x28> <http://e/p>* ?y }").collect()} == {"http://e/x28", "http://e/x29", "http://e/x30"}
+        assert sparql.query(g, "ASK { <http://e/a> <http://e/p>+ <http://e/x3> }").first()[0] is False
+    finally:
+        sparql.Compiler._chained = staticmethod(real)
