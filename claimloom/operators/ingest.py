@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_language, md5_id, non_blank
+from .language import languages
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, key: str, stored_key: str | None = None) -> DataFrame:
@@ -35,15 +36,22 @@ def last_per_key(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct(sequence, *[c for c in rows.columns if c != sequence])).alias("row")).select("row.*")
 
 
-def new_mappings(claims: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Claims to insert: not stored, not blank, the newest row of each URL, with a detected language."""
+def new_mappings(claims: DataFrame, mappings: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Claims to insert: not stored, not blank, the newest row of each URL, with a detected language.
+
+    ``profiles`` (of ``language.profiles``) tells languages by trigrams; without it frequent words of seven do.
+    """
     fresh = not_stored(claims.where(non_blank(F.col("text")) & F.col("rev").isNotNull()), mappings, "rev", "url")
     first = last_per_key(fresh, "rev", "date_published")
+    lang = detect_language(F.col("text"))
+    if profiles is not None:
+        first = first.join(languages(first, "rev", "text", profiles).withColumnRenamed("key", "rev"), "rev")
+        lang = F.col("detected")
     return first.select(
         F.col("rev").alias("url"),
         "date_published",
         F.col("text").alias("claim"),
-        detect_language(F.col("text")).alias("lang"),
+        lang.alias("lang"),
         F.lit(None).cast("string").alias("category"),
         F.lit("absent").alias("category_state"),
     )

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from claimloom import page_queries, queries  # noqa: F401
+from claimloom import page_queries, queries, text_queries  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 
