@@ -73,11 +73,12 @@ def gate(binary: Column, classes: Column, names: tuple[str, ...] = CLASS_LABELS)
     return F.when(first_max(binary) == 0, NEGATIVE).otherwise(F.element_at(F.array(*[F.lit(x) for x in names]), first_max(classes) + 1))
 
 
-def two_stage(texts: DataFrame, text: str, binary: Callable[[], Callable[[list[str]], list]], classes: Callable[[], Callable[[list[str]], list]], size: int = 256) -> DataFrame:
+def two_stage(texts: DataFrame, text: str, binary: Callable[[], Callable[[list[str]], list]], classes: Callable[[], Callable[[list[str]], list]], size: int | None = 256, names: tuple[str, ...] = CLASS_LABELS) -> DataFrame:
     """Adds ``category``; the second model sees only texts that pass the first.
 
     ``binary`` and ``classes`` load a model and return a function from texts to scores;
-    each worker loads once, and batches go through whole.
+    each worker loads once, and batches go through whole.  They see the first ``size``
+    characters, or whole texts without a size; ``names`` are the classes of the second.
     """
 
     def scorer(load):
@@ -93,10 +94,11 @@ def two_stage(texts: DataFrame, text: str, binary: Callable[[], Callable[[list[s
 
         return run
 
-    seen = texts.withColumn("_binary", scorer(binary)(window(F.col(text), size)))
-    passed = F.when(first_max(F.col("_binary")) != 0, window(F.col(text), size))
+    shown = F.col(text) if size is None else window(F.col(text), size)
+    seen = texts.withColumn("_binary", scorer(binary)(shown))
+    passed = F.when(first_max(F.col("_binary")) != 0, shown)
     seen = seen.withColumn("_classes", scorer(classes)(passed))
-    return seen.withColumn("category", F.when(F.col("_binary").isNotNull(), gate(F.col("_binary"), F.col("_classes")))).drop("_binary", "_classes")
+    return seen.withColumn("category", F.when(F.col("_binary").isNotNull(), gate(F.col("_binary"), F.col("_classes"), names))).drop("_binary", "_classes")
 
 
 def register_classify(spark: SparkSession, labels: DataFrame, least: float = 0.25, name: str = "classify_claim", most: int = 10_000) -> None:

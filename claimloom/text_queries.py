@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import classify, language, lexicon
+from .operators import classify, language, lexicon, scorer
+from .page_queries import _shared
 from .queries import _register, _t
 
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\pL]+')"
@@ -103,3 +104,34 @@ def language_accuracy(spark, d):
     held = _t(spark, d, "documents").where("doc_id % 4 = 2").select("doc_id", "lang")
     found = _detected(spark, d).withColumnRenamed("key", "doc_id")
     return held.join(found, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("detected") == F.col("lang")).alias("n_right"))
+
+
+_HELD = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0"
+
+
+def _staged(spark, d) -> DataFrame:
+    """doc_id, quality, lang, category: a first model that passes texts of quality, a second that tells languages; a fifth is held out."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared(spark))
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    learn = docs.where(f"NOT {_HELD} AND quality IS NOT NULL")
+    tongues = tuple(r["lang"] for r in learn.select("lang").where("lang IS NOT NULL").distinct().orderBy("lang").collect())  # the classes
+    path = _shared(spark)
+    for label, classes in (("quality", ("0", "1")), ("lang", tongues)):
+        scorer.fit(learn, "text", label, classes, rounds=12).save(spark, f"{path}/{label}")
+    binary, second = (scorer.load(spark, f"{path}/{label}").loader(spark) for label in ("quality", "lang"))
+    return classify.two_stage(docs, "text", binary, second, size=None, names=tongues)
+
+
+@_register()
+def two_stage_trained(spark, d):
+    """Every document through both models, learnt, saved and loaded: its language, or 0 without quality."""
+    return _staged(spark, d).select("doc_id", "category")
+
+
+@_register()
+def two_stage_accuracy(spark, d):
+    """By true category of held-out labelled documents: how many there are and how many get it."""
+    held = _staged(spark, d).where(f"{_HELD} AND quality IS NOT NULL")
+    true = F.when(F.col("quality") == 0, "0").otherwise(F.col("lang")).alias("truth")
+    return held.select(true, "category").groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == F.col("truth")).alias("n_right"))

@@ -49,3 +49,38 @@ def test_languages(spark):
     claims = spark.createDataFrame([("r1", "2024", "the sea and the weather"), ("r2", "2024", "das meer und das wetter"), ("r3", "2024", "12 + 3"), ("r4", "2024", " ")], CLAIMS)
     got = ingest.new_mappings(claims, spark.createDataFrame([], MAPPINGS), table)
     assert {r["url"]: r["lang"] for r in got.collect()} == {"r1": "en", "r2": "de", "r3": None} and got.columns == MAPPINGS.replace(" string", "").split(", ") + ["category_state"] * ("category_state" not in MAPPINGS)
+
+
+def test_scorer(spark, tmp_path):
+    """The fit against plain numpy, held-out texts, a model that is saved, loaded and used as a stage."""
+    import numpy as np
+
+    from claimloom.operators import scorer
+
+    rows = [(f"the {w} number {i}", c) for i in range(60) for w, c in (("glacier", "ice"), ("volcano", "fire"), ("ocean", "sea"))] + [(None, "ice"), ("glacier", None), ("x", "other")]
+    texts = spark.createDataFrame(rows, "text string, label string").repartition(4)
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
+    classes = ("ice", "fire", "sea")
+    model = scorer.fit(texts, "text", "label", classes, bits=12, rounds=5)
+    known = [(scorer.hashed(t, 12), classes.index(c)) for t, c in rows if t is not None and c in classes]
+    x = np.zeros((len(known), 4096))
+    for i, ((at, value), _) in enumerate(known):
+        x[i, at] = value
+    y = np.eye(3)[[c for _, c in known]]
+    w, squares = np.zeros((3, 4096)), np.full((3, 4096), 1e-8)
+    for _ in range(5):
+        p = np.exp(x @ w.T)
+        step = ((p / p.sum(1, keepdims=True)) - y).T @ x / len(x) + 1e-4 * w
+        squares += step**2
+        w = w - 0.5 * step / np.sqrt(squares)
+    assert np.allclose(model.weights, w, atol=1e-8)
+    model.save(spark, str(tmp_path / "m"))
+    again = scorer.load(spark, str(tmp_path / "m"))
+    assert again.classes == classes and np.array_equal(again.weights, model.weights)
+    held = ["the glacier number 99", "the volcano number 99", "the ocean number 99", ""]
+    assert [classes[int(s.argmax())] for s in again.scores(held)][:3] == ["ice", "fire", "sea"]
+    fire = scorer.fit(texts.selectExpr("text", "CASE WHEN label = 'ice' THEN '0' WHEN label IS NOT NULL THEN '1' END AS y"), "text", "y", ("0", "1"), bits=12, rounds=10)
+    staged = classify.two_stage(spark.createDataFrame([(t,) for t in [*held[:3], None]], "t string"), "t", fire.loader(spark), again.loader(spark), None, classes)
+    assert {r["t"]: r["category"] for r in staged.collect()} == {held[0]: "0", held[1]: "fire", held[2]: "sea", None: None}
+    none = scorer.fit(texts.where("text = 'nowhere'"), "text", "label", classes, bits=4)
+    assert not none.weights.any()
