@@ -24,6 +24,7 @@ an empty table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -94,7 +95,7 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], dam
     """``cells`` (source, lang, topic, tokens) with ``weight``: all weights sum to one.
 
     Ends when no group's share, as the next sweep would scale it, is off by more than
-    ``close``, or after ``sweeps`` where targets contradict each other.
+    ``close``, or after ``sweeps`` where targets contradict each other; a warning then tells the largest miss.
     """
     spark = cells.sparkSession
     profiles = cells.where("tokens > 0").groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "tokens")).alias("held"), F.sum("tokens").alias("tokens"))
@@ -135,6 +136,8 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], dam
             break
         top = {d: max(f.values()) for d, f in factors.items()}
         factors = {d: {g: x / top[d] for g, x in f.items()} for d, f in factors.items()}
+    else:
+        warnings.warn(f"raking ended after {sweeps} sweeps: a group's share misses its target by up to {moved:.3g}", RuntimeWarning, stacklevel=2)
     part = F.col("tokens") * F.coalesce(_column(factors["lang"], "lang"), F.lit(0.0)) * F.coalesce(_column(factors["topic"], "topic"), F.lit(0.0))
     parts = cells.withColumn("part", part)
     of = parts.groupBy("source").agg(F.sum("part").alias("all")).join(profiles.select("source", "goal"), "source").select("source", F.try_divide("goal", "all").alias("a"))

@@ -77,3 +77,15 @@ def test_too_many_small_groups_are_told(spark):
     table = spark.createDataFrame([("s", f"l{i}", "t", 1) for i in range(20)], "source string, lang string, topic string, tokens long")
     with pytest.raises(ValueError, match="pairs of language and topic"):
         mixing.rake(table, dict.fromkeys(DIMS), 0.7, most_pairs=10)
+
+
+def test_tells_what_is_missed(spark):
+    """Raking that ends before its targets are met says by how much."""
+    import pytest
+
+    from claimloom.llm.mixing import rake
+
+    cells = spark.createDataFrame([("a", "en", "x", 5), ("b", "fr", "y", 7), ("a", "fr", "x", 2)], "source string, lang string, topic string, tokens long")
+    against = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}, "topic": {"x": 0.1, "y": 0.9}}  # source a is topic x alone
+    with pytest.warns(RuntimeWarning, match="misses its target by up to 0[.]"):
+        rake(cells, against, sweeps=2).collect()
