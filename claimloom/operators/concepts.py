@@ -125,3 +125,21 @@ def concept_triples(spark: SparkSession, namespace: str, scheme: str = "taxonomy
         else:
             rows += [iri(i, SKOS + "broader", namespace + parent), iri(parent, SKOS + "narrower", namespace + i)]
     return spark.createDataFrame(rows, TRIPLES)
+
+
+def skos_graph(tree: DataFrame, namespace: str, scheme: str = "taxonomy", title: str = "Claim taxonomy", definition: str | None = None, lang: str = "en") -> DataFrame:
+    """The SKOS graph of any tree of (id, label, parent_id), whatever its size: one pass over its rows, and the scheme's own triples."""
+    none, here = F.lit(None).cast("string"), F.lit(namespace + scheme)
+    of = lambda c: F.concat(F.lit(namespace), F.col(c))
+
+    def triple(s: Column, p: str, o: Column, literal: bool = False) -> Column:
+        return F.struct(s.alias("s"), F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit("literal" if literal else "iri").alias("o_kind"), none.alias("o_datatype"), (F.lit(lang) if literal else none).alias("o_lang"))
+
+    always = [triple(of("id"), RDF + "type", F.lit(SKOS + "Concept")), triple(of("id"), SKOS + "inScheme", here), triple(of("id"), SKOS + "prefLabel", F.col("label"), True)]
+    top = [triple(of("id"), SKOS + "topConceptOf", here), triple(here, SKOS + "hasTopConcept", of("id"))]
+    below = [triple(of("id"), SKOS + "broader", of("parent_id")), triple(of("parent_id"), SKOS + "narrower", of("id"))]
+    made = tree.select(F.inline(F.concat(F.array(*always), F.when(F.col("parent_id").isNull(), F.array(*top)).otherwise(F.array(*below)))))
+    own = [triple(here, RDF + "type", F.lit(SKOS + "ConceptScheme")), triple(here, SKOS + "prefLabel", F.lit(title), True)]
+    if definition is not None:
+        own.append(triple(here, SKOS + "definition", F.lit(definition), True))
+    return made.unionByName(tree.sparkSession.range(1).select(F.inline(F.array(*own)))).where("o IS NOT NULL")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import classify, language, lexicon, scorer
+from .operators import classify, concepts, language, lexicon, scorer
+from .plans.sparql import query as sparql
 from .page_queries import _shared
 from .queries import _register, _t
 
@@ -135,3 +136,41 @@ def two_stage_accuracy(spark, d):
     held = _staged(spark, d).where(f"{_HELD} AND quality IS NOT NULL")
     true = F.when(F.col("quality") == 0, "0").otherwise(F.col("lang")).alias("truth")
     return held.select(true, "category").groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == F.col("truth")).alias("n_right"))
+
+
+_PLACES = """WITH t AS (SELECT CAST(r_regionkey + 1 AS VARCHAR) AS id, r_name AS label, CAST(NULL AS VARCHAR) AS parent_id FROM region
+UNION ALL SELECT (n_regionkey + 1) || '_' || (n_nationkey + 1), n_name, CAST(n_regionkey + 1 AS VARCHAR) FROM nation
+UNION ALL SELECT (n_regionkey + 1) || '_' || (n_nationkey + 1) || '_' || s_suppkey, s_name, (n_regionkey + 1) || '_' || (n_nationkey + 1) FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+def _places(spark, d) -> DataFrame:
+    """A taxonomy of suppliers under nations under regions, as a SKOS graph."""
+    for name in ("region", "nation", "supplier"):
+        _t(spark, d, name).createOrReplaceTempView(f"places_{name}")
+    text = _PLACES.replace("VARCHAR", "STRING")
+    for name in ("region", "nation", "supplier"):
+        text = text.replace(f"FROM {name}", f"FROM places_{name}").replace(f"JOIN {name}", f"JOIN places_{name}")
+    return concepts.skos_graph(spark.sql(text + " SELECT * FROM t"), "http://p/#", title="Places")
+
+
+@_register(_PLACES + " SELECT id, 'http://p/#' || id AS url, label, parent_id, lpad(CAST(len(string_split(id, '_')) AS VARCHAR), 3, '0') || array_to_string(list_transform(string_split(id, '_'), lambda x: lpad(x, 10, '0')), '') AS ord FROM t")
+def places_taxonomy(spark, d):
+    """Concepts read from a graph in one grouped pass."""
+    return classify.taxonomy(_places(spark, d))
+
+
+@_register(_PLACES + " SELECT 'http://p/#' || id AS x, 'http://p/#' || parent_id AS y FROM t WHERE parent_id IS NOT NULL UNION SELECT 'http://p/#' || a.id, 'http://p/#' || b.parent_id FROM t a JOIN t b ON b.id = a.parent_id WHERE b.parent_id IS NOT NULL")
+def places_broader_closure(spark, d):
+    return sparql(_places(spark, d), "PREFIX skos: <http://www.w3.org/2004/02/skos/core#> SELECT ?x ?y { ?x skos:broader+ ?y }")
+
+
+@_register(_PLACES + " SELECT p, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['type', 'inScheme', 'prefLabel'] || CASE WHEN parent_id IS NULL THEN ['topConceptOf', 'hasTopConcept'] ELSE ['broader', 'narrower'] END) AS p FROM t UNION ALL SELECT unnest(['type', 'prefLabel'])) GROUP BY p")
+def places_triple_counts(spark, d):
+    return _places(spark, d).groupBy(F.regexp_extract("p", "([A-Za-z]+)$", 1).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(_PLACES + " SELECT a.label AS label, CAST(count(b.id) AS VARCHAR) AS n FROM t a LEFT JOIN t b ON b.parent_id = a.id GROUP BY a.id, a.label")
+def places_children(spark, d):
+    """Narrower concepts of every concept, by SPARQL."""
+    found = sparql(_places(spark, d), "PREFIX skos: <http://www.w3.org/2004/02/skos/core#> SELECT ?c ?label (COUNT(?x) AS ?n) { ?c a skos:Concept ; skos:prefLabel ?label OPTIONAL { ?c skos:narrower ?x } } GROUP BY ?c ?label")
+    return found.select("label", "n")
