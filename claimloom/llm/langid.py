@@ -15,12 +15,13 @@ all starts hold, so the phrases are those of a parse from end to end.
 The fit is bounded to ``symbols_per_lang`` symbols of a language, in whole documents: of
 about twice ``docs_per_lang`` labelled documents, chosen by hash, those that fit are taken
 in the order of the hash until the bound is met; longer ones are left out.  Where all are
-longer, a stretch of the first of them is taken, at a place given by its hash.
+longer, a stretch of the first of them is taken, at a place given by its hash.  An id that
+is repeated gives one text.
 
 Defined cases: a null or empty text or one without a letter gets ``und`` and score 0,
 and so does every text if there is no labelled document; a language whose labelled texts
 hold no letter is not learnt; ties go to the language with more documents, then to the
-smaller name; repeated rows are each answered, with null ids as well; an empty table gives
+smaller name; repeated rows are each answered, with ids of any type or null; an empty table gives
 an empty result; further columns of the input are ignored.
 """
 
@@ -200,7 +201,9 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     fitting = F.create_map(*[F.lit(x) for k, (_, fit) in shares.items() for x in (k, fit > 0)])
     drawn = known.where((draw < rate[F.col("lang")]) & (F.col("fits") == fitting[F.col("lang")]))
     place = (F.pmod(F.xxhash64("id", F.lit(1)), F.length("text") - symbols_per_lang // 4 + 1) + 1).cast("int")
-    rows = drawn.select("lang", draw.alias("draw"), "id", "fits", F.when(F.col("fits"), F.col("text")).otherwise(F.substring("text", place, F.lit(symbols_per_lang // 4))).alias("text")).collect()
+    text = F.when(F.col("fits"), F.col("text")).otherwise(F.substring("text", place, F.lit(symbols_per_lang // 4)))
+    # an id gives one text, the smallest, however often it is repeated: about 2 * docs_per_lang of a language come here
+    rows = drawn.select("lang", draw.alias("draw"), "id", text.alias("text")).groupBy("lang", "draw", "id").agg(F.min("text").alias("text")).collect()
     texts: dict[str, str] = {}
     for lang in sorted(shares):
         size, own = 0, []
@@ -221,5 +224,5 @@ def identify_languages(docs: DataFrame, parser: LanguageParser, *, id_col: str =
             langs, scores = parser.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInArrow(run, f"`{id_col}` {base.schema['id'].dataType.simpleString()}, lang_pred string, score double")

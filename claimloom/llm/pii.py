@@ -9,12 +9,25 @@ letters), which keeps different entities different; check digits are made anew.
 whose format has next to no room, such as a row of stars, becomes a keyed token of its
 length.  Names are drawn from lists of the same script and gender.
 
-A person is known by a title (``Mr John Smith``).  Within that text every capitalised
-mention of a word of the name is replaced, with a title or without; in all other texts of
-the corpus the whole name is, and with it the text's further mentions of its words.  A
-single word after a title is the given name of a person of that text, if it is one's, else
-a family name.  Where titles of one whole name disagree on the gender, ``m`` goes before
-``f``; without any, the given name decides (lists, then its last letter).
+A person is known by a title or several (``Mr John Smith``, ``HERR DR. KARL WEBER``, ``mrs Anna
+Berg``), with any blank and at most one line end between the words; a capitalised word after
+a line end ends a name of one word only if the text has it nowhere in small letters.  Small
+particles (``van der``) and initials stay.  Within that text every capitalised mention of a
+word of the name is replaced, with a title or without; in all other texts of the corpus the
+whole name is, and with it the text's further mentions of its words.  A single word after a
+title is the given name of a person of that text, if it is one's, else a family name.  Where
+titles of one whole name disagree on the gender, ``m`` goes before ``f``; without any, the
+given name decides (lists, then its last letter).  Scripts without case have no capitals to
+go by: a Han, kana or Hangul name is the run of up to four letters after the title, the first
+three of a longer run, and one in another such script its next two words; it is replaced in
+the texts that title it.
+
+A phone number has a plus, brackets or a word such as ``tel`` before it, or the full form of
+a national number (415-555-0123, 06 12 34 56 78, 0171 1234567); dates, years and grouped
+numbers are none.  Digits in groups are a card only if the check digit is right.
+
+Surrogate names come from pools by script and gender, put together from the parts of real
+names by rule; where a pool is used up, double and triple names follow.
 
 Collisions are checked over the whole corpus: entities whose surrogates meet, or whose
 surrogate is another entity's original, are drawn again until none is left; secrets get
@@ -23,7 +36,7 @@ again frees nothing, ``settle`` raises an error.
 
 Defined cases: a null text stays null and has no entity; an empty text stays empty; texts
 of any length are read whole, in time in proportion to their length; repeated rows are each
-answered alike, and a null id like any other; overlapping finds go to the leftmost; an empty
+answered alike, and an id of any type, or null, like any other; overlapping finds go to the leftmost; an empty
 table gives an empty result; further columns of the input are ignored.
 """
 
@@ -44,35 +57,80 @@ from pyspark.sql import functions as F
 from .common import drop_table, sized, sliced, write_table
 
 _LETTER = "abcdefghijklmnopqrstuvwxyz"
-#: Titles, and the gender they tell.
+#: Titles, and the gender they tell.
 _TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "", "Prof": "", "г-н": "m", "г-жа": "f"}
-#: Given names by script and gender, and family names by script: fixed lists.
-_GIVEN = {
-    ("LATIN", "f"): "Alma Berta Clara Diana Elena Flora Greta Helga Irene Julia Karin Laura Maria Nadia Olga Paula Rosa Sofia Tilda Vera".split(),
-    ("LATIN", "m"): "Adam Bruno Carlo David Emil Felix Georg Henri Igor Jakob Karl Louis Marco Niels Oscar Pablo Ruben Simon Tomas Victor".split(),
-    ("CYRILLIC", "f"): "Анна Вера Галина Дарья Елена Зоя Ирина Лидия Мария Нина Ольга Раиса Софья Тамара".split(),
-    ("CYRILLIC", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Сергей".split(),
-}
-_FAMILY = {
-    "LATIN": "Abel Bauer Costa Duran Engel Falk Garcia Haas Ibarra Jensen Keller Lopez Moreau Nolan Ortiz Perez Quinn Roussel Silva Thomas Ulrich Vidal Weber Young Zeller".split(),
-    "CYRILLIC": "Азаров Белов Волков Громов Дубов Ершов Зорин Исаев Котов Лапин Морозов Носков Орлов Панин Рябов Соколов Титов Ушаков".split(),
-}
+#: Words inside a name that stay.
+_PARTICLES = frozenset("von van der den de la le du di da del dos das al el bin ibn y e zu zum ten ter".split())
+#: Parts of given names by script and gender (whole ones; first parts; second parts).
+_GIVEN_PARTS = {
+    ("LATIN", "f"): ("Alma Berta Clara Diana Elena Flora Greta Helga Irene Julia Karin Laura Maria Nadia Olga Paula Rosa Sofia Tilda Vera", "Adel Edel Ger Her Sieg Wal Irm Kuni Brun Diet Gun Lud Mat Ort Ro Rose Wil", "gard gund hild linde traud burg"),
+    ("LATIN", "m"): ("Adam Bruno Carlo David Emil Felix Georg Henri Igor Jakob Karl Louis Marco Niels Oscar Pablo Ruben Simon Tomas Victor", "Adal Al Bern Diet Eber Ek Ger Got Gun Hart Hel Her Lud Os Rein Sieg Wal Wil", "bert fried hard mar mund ram rich wald wig win"),
+    ("CYRILLIC", "f"): ("Анна Вера Галина Дарья Елена Зоя Ирина Лидия Мария Нина Ольга Раиса Софья Тамара", "Владимир Бронис Мирос Радос Святос Станис Яр", "лава"),
+    ("CYRILLIC", "m"): ("Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Сергей", "Вяче Бронис Миро Радо Свято Станис Яро Брати Все Изя Рости Мсти", "слав"),
+    ("GREEK", "f"): ("Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Χριστίνα", "", ""),
+    ("GREEK", "m"): ("Αντώνης Βασίλης Γιώργος Δημήτρης Ηλίας Κώστας Λευτέρης Μιχάλης Νίκος Πέτρος Σπύρος Χρήστος", "", ""),
+    ("ARABIC", "f"): ("أمينة إيمان حنان خديجة رانيا سعاد سلمى عائشة فاطمة ليلى مريم نادية", "", ""),
+    ("ARABIC", "m"): ("أحمد إبراهيم حسن خالد سمير طارق عمر فيصل كريم محمود ياسر يوسف", "", ""),
+}
+#: Parts of family names by script (whole ones; first parts; second parts).
+_FAMILY_PARTS = {
+    "LATIN": (
+        "Abel Bauer Costa Duran Engel Falk Garcia Haas Ibarra Jensen Keller Lopez Moreau Nolan Ortiz Perez Quinn Roussel Silva Thomas Ulrich Vidal Weber Young Zeller",
+        "Alten Birken Blumen Breiten Buchen Brunn Eichen Falken Frieden Grün Hohen Kalten Kirch Königs Linden Löwen Mühl Neu Ober Reichen Rosen Schön Silber Stein Tannen Unter Weiden Weissen Wester Wolfs",
+        "au bach bauer baum berg berger burg dorf feld felder garten hagen hauser heim hof hofer mann stein tal thaler wald weg",
+    ),
+    "CYRILLIC": ("Азаров Белов Волков Громов Дубов Ершов Зорин Исаев Котов Лапин Морозов Носков Орлов Панин Рябов Соколов Титов Ушаков", "Черно Бело Красно Ново Старо Добро Криво Сухо Мало Долго", "бородов глазов зубов носов руков усов ногов лобов домов хатов"),
+    "GREEK": ("Αγγέλου Βλάχος Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Μακρής Νικολάου Παπαδάκης Παππάς Σταύρου Χατζής", "Παπα Χατζη Καρα", "γεωργίου δημητρίου κωνσταντίνου νικολάου θανασίου μιχαήλ"),
+    "ARABIC": ("الأحمد البغدادي الحسن الحلبي الخطيب الدمشقي الراشد الزين السعيد الشامي الصالح العمري الفارس القاسم المصري النجار", "", ""),
+}
+#: First letters of whole names in scripts that write them without blanks, and letters that follow, by gender.
+_RUNS = {
+    "CJK": ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎", {"m": "伟强磊军勇杰涛明超刚平辉鹏飞波斌宇浩凯健俊文志国华建龙峰海林", "f": "芳娜敏静丽艳娟霞秀英玲桂兰红梅燕萍雪琳倩婷颖慧洁莉莹蓉月云凤"}),
+    "HANGUL": ("김이박최정강조윤장임한오서신권황안송전홍", {"m": "민준서도현우진건호성재영훈석철기용동태규", "f": "지은수연서윤하예나미혜정선희경아유주영숙"}),
+    "HIRAGANA": ("あいうかきさしたなはまやわ", {"m": "おきけしたとひまろや", "f": "えかこなのみよりれゆ"}),
+    "KATAKANA": ("アイウカキサシタナハマヤワ", {"m": "オキケシタトヒマロヤ", "f": "エカコナノミヨリレユ"}),
+}
+
+
+def _pool(whole: str, first: str, second: str) -> list[str]:
+    return list(dict.fromkeys(whole.split() + [a + b for a in first.split() for b in second.split()]))
+
+
+_GIVEN = {k: _pool(*parts) for k, parts in _GIVEN_PARTS.items()}
+_FAMILY = {k: _pool(*parts) for k, parts in _FAMILY_PARTS.items()}
+_GENDER = {name.casefold(): g for (_, g), names in _GIVEN.items() for name in names}
+#: How a title may be written: as above, in capitals, in small letters (but the verb ``miss``).
+_WRITTEN = {form: g for t, g in _TITLES.items() for form in (t, t.upper(), t.lower()) if form != "miss"}
+_GAP = r"[^\S\n]{0,8}\n?[^\S\n]{0,8}"
+_TITLED = re.compile(r"(?<![^\W\d_])(?P<titles>(?:(?:" + "|".join(sorted(_WRITTEN, key=len, reverse=True)) + r")(?:\.|(?=\s))" + _GAP + r"){1,4})(?=[^\W\d_])")
+_BETWEEN = re.compile(r"[-'’]|\.?" + _GAP)
+_CUE = r"(?i:(?:tel|phone|mobile|cell|fax|call|telefon|telephone|téléphone|teléfono|móvil|portable|handy|rufnummer|тел|телефон|电话)\b\.?(?:[ ]?(?:no|nr|number|nummer)\b\.?)?[ ]?[:=]?[ ]?)"
+_DATE = r"(?:(?:1[5-9]|20)\d\d[-./ ]\d\d?[-./ ]\d\d?|\d\d?[-./ ]\d\d?[-./ ](?:1[5-9]|20)\d\d)(?!\d)"
 _FIND = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-    |(?P<secret>(?<=AKIA)[0-9A-Z]{16}\b
+    |(?P<secret>(?<=AKIA)[0-9A-Z]{16}\b|(?<=ASIA)[0-9A-Z]{16}\b
+       |(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|npm_|hf_|sk-|[rsp]k_(?:live|test)_|xox[abprs]-|AIza|ya29\.|SG\.)(?P<coded>[A-Za-z0-9_.-]{15,}[A-Za-z0-9_-])
        |\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}
-       |(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}["']?(?P<value>[^\s"']{4,})
+       |(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}(?:[=:]\s{0,3}["']?|(?:is|was|ist|lautet|est|es)\s{1,3}["']?(?=[^\s"'0-9]{0,64}[0-9]))(?P<value>[^\s"']{4,})
        |\b[0-9a-f]{32,128}\b)
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
     |(?P<ssn>\b\d{3}-\d{2}-\d{4}\b)
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))
-    |(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]))
+    |(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:]))
     |(?P<card>(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-]))
-    |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]?\d{2,5}(?:[ .-]?\d{1,4})?(?!\w)|\+\d{8,15}\b)
-    |(?P<name>\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|г-н|г-жа)\b\.?[ ](?P<who>[^\W\d_]+(?:[ -][^\W\d_]+){0,2}))""",
+    |(?P<phone>(?<![\w.+])(?:\+1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)
+        |\+\d{1,3}[ .-]?(?:\(0?\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,5}){1,4}(?!\w|\.\d)
+        |\((?!(?:1[5-9]|20)\d\d\))\d{2,5}\)[ .-]?\d{2,4}[ .-]?\d{2,5}(?:[ .-]?\d{1,4})?(?!\w|\.\d)
+        |[2-9]\d\d(?P<sep>[.-])[2-9]\d\d(?P=sep)\d{4}(?![\w-]|\.\d)
+        |0[1-9](?:[ .]\d\d){4}(?![\w]|[ .]\d)|0[1-9]\d{1,3}[ /-]\d{6,8}(?![\w-]|\.\d)))
+    |(?P<cue>(?<![^\W\d_])"""
+    + _CUE
+    + r"""(?!"""
+    + _DATE
+    + r""")(?P<told>\(?\d[\d() ./-]{5,18}\d)(?![\w]|\.\d))""",
     re.VERBOSE,
 )
-_MAY = re.compile(r"[0-9@]|eyJ|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|г-н|г-жа)\b|(?i:passw|pwd|secret|token|key)")
+_MAY = re.compile(r"[0-9@]|eyJ|(?i:passw|pwd|secret|token|key)")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----\s*(?P<value>[^-]+)-----END \1-----")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: A secret of a format with fewer strings than this gets a token instead of another string of that format.
@@ -106,19 +164,61 @@ def _by_pattern(text: str) -> tuple[list[tuple[int, int, str, str]], list[tuple[
             for m in _FIND.finditer(line):
                 if any(a < at + m.end() and at + m.start() < b for a, b in blocks):
                     continue
-                kind = m.lastgroup if m.lastgroup in ("email", "iban", "ssn", "ip", "ip6", "card", "phone") else "name" if m["name"] else "secret"
-                if kind == "name":
-                    words = list(itertools.takewhile(lambda w: w[0].isupper(), _LETTERS.findall(m["who"])))
-                    if words:
-                        titled.append((at + m.start("who"), _TITLES.get(m["name"].split(" ")[0].rstrip("."), ""), words))
-                    continue
-                own = "value" if kind == "secret" and m["value"] else 0
+                own = next((g for g in ("value", "coded", "told") if m[g]), 0)
+                kind = "phone" if m["cue"] else "secret" if m["secret"] else m.lastgroup
                 start, end = m.span(own)
                 canon = canonical(kind, line[start:end])
-                if kind != "phone" or 9 <= len(canon) <= 15:
-                    out.append((at + start, at + end, kind, canon))
+                if kind == "phone" and not 7 <= len(canon) <= 15:
+                    continue
+                if kind == "card" and len(canon) < end - start and luhn(canon[:-1]) != int(canon[-1]):
+                    continue
+                out.append((at + start, at + end, kind, canon))
         at += len(line) + 1
-    return sorted(out), titled
+    return sorted(out), _titled(text)
+
+
+def _cased(word: str) -> bool:
+    return word.lower() != word.upper()
+
+
+def _titled(text: str) -> list[tuple[int, str, list[str]]]:
+    """(place, gender, words) of the names after titles."""
+    out, small = [], None
+    for m in _TITLED.finditer(text):
+        titles = [t.rstrip(".") for t in re.split(r"\s+|(?<=\.)", m["titles"]) if t]
+        gender = next((g for t in titles if (g := _WRITTEN.get(t, ""))), "")
+        words: list[str] = []
+        loud = titles[-1].isupper() and len(titles[-1]) > 1
+        particles, end, broken = 0, m.end(), False
+        for w in _LETTERS.finditer(text, m.end()):
+            gap = text[end : w.start()]
+            if w.start() > m.end() and not (len(gap) < 20 and gap and _BETWEEN.fullmatch(gap) and ("." not in gap or len(last) == 1)):
+                break
+            end, last, broken = w.end(), w[0], broken or "\n" in gap
+            if words and last in _PARTICLES and particles < 3:
+                particles += 1
+            elif not _cased(last):
+                if script(last) in _RUNS:
+                    words.append(last if len(last) < 5 else last[:3])
+                    break
+                words.append(last)
+                if len(words) == 2:
+                    break
+            elif not last[0].isupper() or loud and not (last.isupper()):
+                break
+            elif broken and words:
+                if small is None:
+                    small = {x for x in _LETTERS.findall(text) if x[0].islower()}
+                if len(words) == 1 and last.casefold() not in small:
+                    words.append(last)
+                break
+            elif len(last) > 1:
+                words.append(last)
+                if len(words) == (2 if last.isupper() else 3):
+                    break
+        if words:
+            out.append((m.end(), gender, words))
+    return out
 
 
 def _full(words: list[str]) -> str:
@@ -142,9 +242,18 @@ def _names(text: str, taken: list[tuple[int, int, str, str]], titled, people: di
         for w in given:
             known[w] = f"given:{script(w)}:{persons[name] or _gender(given[0])}"
         known.setdefault(family, f"family:{script(family)}")
-    for _, _, own in titled:
+    for _, gender, own in titled:
         if len(own) == 1:
-            known.setdefault(own[0].casefold(), f"family:{script(own[0])}")
+            scr = script(own[0])
+            known.setdefault(own[0].casefold(), f"given:{scr}:{gender or 'm'}" if scr in _RUNS else f"family:{scr}")
+    uncased = sorted((n for n in known if not _cased(n)), key=len, reverse=True)
+    if uncased:
+        runs = "|".join(re.escape(n) for n in uncased if script(n) in _RUNS and len(n) > 1)
+        alone = "|".join(re.escape(n) for n in uncased if script(n) not in _RUNS)
+        titled_at = {at for at, _, _ in titled}
+        more = list(re.finditer("|".join(filter(None, [runs, alone and rf"(?<![^\W\d_])(?:{alone})(?![^\W\d_])"])), text)) if runs or alone else []
+        singles = (_LETTERS.match(text, at) for at in sorted(titled_at) if text[at] in known and script(text[at]) in _RUNS)
+        words = sorted([*words, *(m for m in more if m.end() > m.start()), *(m for m in singles if len(m[0]) == 1)], key=lambda m: m.start())
     out, k = [], 0
     for w in words:
         kind = known.get(w[0].casefold())
@@ -168,7 +277,7 @@ def full_names(text: str) -> set[str]:
 
 
 def _gender(given: str) -> str:
-    return next((g for (_, g), names in _GIVEN.items() if given.capitalize() in names), "f" if given[-1:] in "aeяа" else "m")
+    return _GENDER.get(given.casefold()) or ("f" if given[-1:] in "aeяаηα" else "m")
 
 
 def canonical(kind: str, form: str) -> str:
@@ -294,8 +403,9 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ip":
         x = permute(int.from_bytes(bytes(map(int, canon.split("."))), "big"), 1 << 32, key, tweak)
         return ".".join(map(str, x.to_bytes(4, "big")))
-    if kind == "ip6":
-        return _same_form(canon, key, tweak, hexadecimal=True)
+    if kind == "ip6":  # short forms have little room: further groups follow
+        more = max(0, min(attempt - 2, 7 - len(re.findall(r"[0-9a-f]+", canon)))) if "::" in canon else 0
+        return _same_form(canon, key, tweak, hexadecimal=True) + "".join(f":{_number(key, tweak, canon, i) % 65535 + 1:x}" for i in range(more)).removeprefix(":" if canon.endswith("::") else "")
     if kind == "phone":
         fixed = max(0, len(canon) - 10)
         return canon[:fixed] + _same_form(canon[fixed:], key, tweak)
@@ -307,11 +417,7 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         off = (int(canon[2:4]) - int(_iban_check(canon[:2], canon[4:]))) % 97
         return canon[:2] + f"{(int(_iban_check(canon[:2], rest)) - 2 + off) % 97 + 2:02d}" + rest
     if kind.startswith(("given:", "family:")):
-        part, scr, *gender = kind.split(":")
-        pool = _GIVEN.get((scr, gender[0])) if gender else _FAMILY.get(scr)
-        if pool and attempt < 1:
-            return pool[_number(key, kind, canon, attempt) % len(pool)].casefold()
-        return _new_word(canon, scr, _number(key, kind, canon, attempt), 3 + attempt // 6)
+        return _name(kind, canon, key, attempt)
     return _same_form(canon, key, tweak)
 
 
@@ -324,24 +430,32 @@ def draw(kind: str, canon: str, key: bytes, attempt: int = 0) -> tuple[int, str]
     return attempt, new
 
 
-def _new_word(canon: str, scr: str, seed: int, syllables: int) -> str:
-    """A word in the letters of the script, for when its list of names is used up."""
-    if scr == "LATIN":
-        hard, soft = "bdfgklmnprstvz", "aeiou"
-    elif scr == "CYRILLIC":
-        hard, soft = "бвгдзклмнпрст", "аеиоу"
-    else:  # letters that stand near those of the word itself
-        near = [chr(ord(c) + d) for c in canon for d in range(-8, 9) if script(chr(ord(c) + d)) == scr and chr(ord(c) + d).isalpha()]
-        out = []
-        for _ in range(max(2, len(canon))):
-            seed, d = divmod(seed, len(near) or 1)
-            out.append(near[d] if near else canon[0])
+def _name(kind: str, canon: str, key: bytes, attempt: int) -> str:
+    """A name of the pool of its script and gender: single, then double, then triple ones; in other scripts letters near its own."""
+    part, scr, *gender = kind.split(":")
+    seed = _number(key, kind, canon, attempt)
+    if scr in _RUNS:  # the first letter depends on the first letter alone, as far as it can
+        first, rest = _RUNS[scr]
+        first, rest = first.replace(canon[0], ""), [c for c in rest[gender[0] if gender else "m"] if c not in canon]
+        out = [first[_number(key, scr, canon[0], attempt if len(canon) == 1 else 0) % len(first)]]
+        for _ in range(max(len(canon) - 1, attempt // 4)):
+            seed, d = divmod(seed, len(rest))
+            out.append(rest[d])
         return "".join(out)
+    pool = _GIVEN.get((scr, gender[0])) if gender else _FAMILY.get(scr)
+    if pool:
+        out = []
+        for _ in range(1 + (attempt > 2) + attempt // 8):
+            seed, d = divmod(seed, len(pool))
+            out.append(pool[d].casefold())
+        if scr == "CYRILLIC" and part == "family" and re.search("(?:ов|ев|ёв|ин|ын)а$", canon):
+            out = [name + "а" for name in out]  # the form of the family name for women
+        return "-".join(out)
+    near = [chr(ord(c) + d) for c in canon for d in range(-8, 9) if script(chr(ord(c) + d)) == scr and chr(ord(c) + d).isalpha()]
     out = []
-    for _ in range(syllables):
-        seed, a = divmod(seed, len(hard))
-        seed, b = divmod(seed, len(soft))
-        out.append(hard[a] + soft[b])
+    for _ in range(max(2, len(canon)) + attempt // 8):
+        seed, d = divmod(seed, len(near) or 1)
+        out.append(near[d] if near else canon[0])
     return "".join(out)
 
 
@@ -355,7 +469,8 @@ def render(kind: str, form: str, new: str) -> str:
     if kind == "ip6":
         return new.upper() if any(c.isupper() for c in form) else new
     if kind.startswith(("given:", "family:")):
-        return new.upper() if form.isupper() and len(form) > 1 else new.capitalize() if form[0].isupper() else new
+        new = re.sub(r"σ\b", "ς", new)  # the letter that ends a Greek word
+        return new.upper() if form.isupper() and len(form) > 1 else "-".join(w.capitalize() for w in new.split("-")) if form[0].isupper() else new
     return new
 
 
@@ -445,7 +560,7 @@ def settle(found: DataFrame, key: bytes, patience: int = 40) -> DataFrame | None
 def pseudonymize(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text with surrogates, n_entities, entities (start, end, type in the new text)."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.withColumn("th", F.xxhash64("text"))
     everything, found_path = write_table(base.select("text").mapInArrow(_entities, "kind string, canon string").distinct(), "entities")
     person = F.col("kind").startswith("person:")
@@ -475,7 +590,7 @@ def pseudonymize(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], [id_col, text_col, "n_entities", "entities"])
 
-    return rows.select("id", "text", "again", "people").mapInArrow(run, f"`{id_col}` long, `{text_col}` string, n_entities long, entities array<struct<start: int, end: int, type: string>>")
+    return rows.select("id", "text", "again", "people").mapInArrow(run, f"`{id_col}` {base.schema['id'].dataType.simpleString()}, `{text_col}` string, n_entities long, entities array<struct<start: int, end: int, type: string>>")
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
