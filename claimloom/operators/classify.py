@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -18,6 +18,8 @@ CLASS_LABELS = ("1_1", "1_2", "1_3", "1_4", "1_6", "1_7", "2_1", "2_3", "3_1", "
 NEGATIVE = "0"
 #: Labels are broadcast up to so many bytes of text; a larger taxonomy is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Texts that share one token are dealt to so many rows a share in a join with a threshold.
+SHARE_ROWS = 20_000
 
 
 def taxonomy(triples: DataFrame, scheme: str | None = None) -> DataFrame:
@@ -37,14 +39,59 @@ def taxonomy(triples: DataFrame, scheme: str | None = None) -> DataFrame:
     return rows.select(last_of(F.col("s"), "#").alias("id"), F.col("s").alias("url"), "label", last_of(F.col("parent"), "#").alias("parent_id"), place(last_of(F.col("s"), "#")).alias("ord"))
 
 
+def _sets(rows: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """The rows with ``t``, the tokens of their ``text``; the explode keeps them from being made once for each use."""
+    return rows.withColumn("t", F.explode(F.array(tokens(F.col("text"))))).drop("text")
+
+
+def _exploded(sets: DataFrame, *keep: str, size: str) -> DataFrame:
+    return sets.select(*keep, F.size("t").alias(size), F.explode("t").alias("token"))
+
+
 def scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, tokens: Callable[[Column], Column] = clean_tokens) -> DataFrame:
     """(key, label_id, ord, similarity) of texts and labels with a common token: an inverted index."""
-    left = texts.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).select("key", F.size("t").alias("n"), F.explode("t").alias("token"))
-    right = labels.select(F.col(label_id).alias("label_id"), F.col(order).alias("ord"), tokens(F.col(label)).alias("t")).select("label_id", "ord", F.size("t").alias("m"), F.explode("t").alias("token"))
+    left = _exploded(_sets(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), tokens), "key", size="n")
+    right = _exploded(_sets(labels.select(F.col(label_id).alias("label_id"), F.col(order).alias("ord"), F.col(label).alias("text")), tokens), "label_id", "ord", size="m")
     both = left.join(right, "token").groupBy("key", "n", "label_id", "ord", "m").agg(F.count(F.lit(1)).alias("k"))
     return both.select("key", "label_id", "ord", (F.col("k").cast("double") / (F.col("n") + F.col("m") - F.col("k")).cast("double")).alias("similarity"))
 
 
+def similar(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, least: float, tokens: Callable[[Column], Column] = clean_tokens) -> DataFrame:
+    """(key, label_id, ord, similarity) of texts and labels at least so similar (over 0): all such pairs, few others on the way.
+
+    The tokens of a set are ordered by the pairs that they would make, counted on both sides; a token of one side alone makes
+    none and comes first.  Two sets of n and m tokens can reach ``least`` only if they share one of the first n - ceil(least n) + 1
+    and m - ceil(least m) + 1 and if least n <= m <= n / least; such pairs are compared whole.  Where very many texts share
+    a token, they are dealt to shares, and its labels go to each.  Empty sets are similar to nothing; ids may repeat or be null,
+    and repeated rows with one id give one row.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity is over 0 and at most 1; use scores() for all that share a token")
+    left = _sets(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), tokens).withColumn("th", F.xxhash64("t"))
+    right = _sets(labels.select(F.col(label_id).alias("label_id"), F.col(order).alias("ord"), F.col(label).alias("text")), tokens).withColumn("lh", F.xxhash64("t"))
+    lefts, rights = _exploded(left, "key", "th", size="n"), _exploded(right, "label_id", "ord", "lh", size="m")
+    shortest, longest = rights.agg(F.min("m"), F.max("m")).first()  # two numbers
+    lefts = lefts.where(F.col("n").between((shortest or 0) * least - 1e-9, (longest or 0) / least + 1e-9))
+    often = lefts.groupBy("token").agg(F.count(F.lit(1)).alias("nl")).join(rights.groupBy("token").agg(F.count(F.lit(1)).alias("nr")), "token")
+
+    def prefixes(rows: DataFrame, size: str, *keep: str) -> DataFrame:
+        met = rows.join(often, "token").groupBy(*keep, size).agg(F.sort_array(F.collect_set(F.struct((F.col("nl") * F.col("nr")).alias("pairs"), "token", "nl"))).alias("xs"))
+        alone = F.col(size) - F.size("xs")
+        some = F.slice("xs", 1, F.greatest(F.col(size) - F.ceil(F.col(size) * least - 1e-9) + 1 - alone, F.lit(0)).cast("int"))
+        return met.select(*keep, size, F.explode(some).alias("x")).select(*keep, size, "x.token", F.ceil(F.col("x.nl") / SHARE_ROWS).cast("int").alias("shares"))
+
+    one = prefixes(lefts, "n", "key", "th").withColumn("share", F.pmod(F.xxhash64("key", "th"), F.col("shares")).cast("int")).drop("shares")
+    other = prefixes(rights, "m", "label_id", "ord", "lh").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    fits = (F.col("m") >= F.col("n") * least - 1e-9) & (F.col("n") >= F.col("m") * least - 1e-9)
+    tried = one.join(other, ["token", "share"]).where(fits).select("key", "th", "label_id", "ord", "lh").distinct()
+    left = left.select(F.col("key").alias("key2"), F.col("th").alias("th2"), F.col("t").alias("tt")).distinct()
+    right = right.select(F.col("label_id").alias("label_id2"), F.col("ord").alias("ord2"), F.col("lh").alias("lh2"), F.col("t").alias("lt")).distinct()
+    whole = tried.join(left, F.col("key").eqNullSafe(F.col("key2")) & (F.col("th") == F.col("th2")))
+    whole = whole.join(right, F.col("label_id").eqNullSafe(F.col("label_id2")) & F.col("ord").eqNullSafe(F.col("ord2")) & (F.col("lh") == F.col("lh2")))
+    whole = whole.select("key", "label_id", "ord", jaccard(F.col("tt"), F.col("lt")).alias("similarity"))
+    return whole.where(F.col("similarity") >= least).distinct()
+
+
 def all_scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, tokens: Callable[[Column], Column] = clean_tokens) -> DataFrame:
     """The same for every pair, 0 included: for small label sets and thresholds of 0.
 
@@ -58,10 +105,15 @@ def all_scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_i
     return left.join(F.broadcast(small), F.lit(True), "inner").select("key", "label_id", "ord", jaccard(F.col("tt"), F.col("lt")).alias("similarity"))
 
 
-def best_match(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, least: float = 0.25, tokens: Callable[[Column], Column] = clean_tokens) -> DataFrame:
-    """(key, category, similarity): the most similar label, the earliest on ties; "0" below ``least``."""
-    scored = scores(texts, labels, key, text, label_id, label, order, tokens)
-    best = scored.groupBy("key").agg(F.min_by(F.struct("label_id", "similarity"), F.struct(-F.col("similarity"), F.col("ord"))).alias("b"))
+def best_match(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, least: float = 0.25, tokens: Callable[[Column], Column] = clean_tokens, below: bool = True) -> DataFrame:
+    """(key, category, similarity): the most similar label, the earliest on ties; "0" below ``least``.
+
+    Without ``below`` the similarity is 0 where no label reaches ``least``, and only pairs that may reach it are compared.
+    """
+    scored = scores(texts, labels, key, text, label_id, label, order, tokens) if below or least <= 0 else similar(texts, labels, key, text, label_id, label, order, least, tokens)
+    # a window keeps the first row of each partition before the shuffle; an aggregate of structs would sort all rows
+    first = Window.partitionBy("key").orderBy(F.col("similarity").desc(), "ord", "label_id")
+    best = scored.withColumn("place", F.row_number().over(first)).where("place = 1").select("key", F.struct("label_id", "similarity").alias("b"))
     out = texts.select(F.col(key).alias("key")).join(best, "key", "left")
     similarity = F.coalesce("b.similarity", F.lit(0.0))
     found = F.when((similarity >= least) & (similarity > 0), F.col("b.label_id").cast("string")).otherwise(NEGATIVE)

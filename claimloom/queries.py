@@ -258,6 +258,23 @@ def jaccard_best_match(spark, d):
     return classify.best_match(*_match_inputs(spark, d), "doc_id", "text", "item_id", "text", "item_id", 0.05)
 
 
+_LEAST = 0.2
+
+
+@_register(_PAIRS + f"SELECT doc_id AS key, item_id AS label_id, item_id AS ord, similarity FROM s WHERE similarity >= {_LEAST}")
+def jaccard_at_least(spark, d):
+    """All pairs over a threshold, through the rare tokens of each side."""
+    return classify.similar(*_match_inputs(spark, d), "doc_id", "text", "item_id", "text", "item_id", _LEAST)
+
+
+@_register(
+    _PAIRS
+    + f", b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) AS r FROM s) SELECT doc_id AS key, CASE WHEN similarity >= {_LEAST} THEN CAST(item_id AS VARCHAR) ELSE '0' END AS category, CASE WHEN similarity >= {_LEAST} THEN similarity ELSE 0.0 END AS similarity FROM b WHERE r = 1"
+)
+def jaccard_best_at_least(spark, d):
+    return classify.best_match(*_match_inputs(spark, d), "doc_id", "text", "item_id", "text", "item_id", _LEAST, below=False)
+
+
 _NAMES = "[" + ", ".join(f"'{x}'" for x in classify.CLASS_LABELS) + "]"
 
 

@@ -84,3 +84,33 @@ def test_scorer(spark, tmp_path):
     assert {r["t"]: r["category"] for r in staged.collect()} == {held[0]: "0", held[1]: "fire", held[2]: "sea", None: None}
     none = scorer.fit(texts.where("text = 'nowhere'"), "text", "label", classes, bits=4)
     assert not none.weights.any()
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    words = [a + b for a in "bcdfgklm" for b in ("ar", "en", "il", "ok", "us")]
+    texts = [(k if k % 17 else None, " ".join(draw.choices(words[: draw.choice((6, 20, 40))], k=draw.randrange(0, 9)))) for k in range(300)]
+    labels = [(k, " ".join(draw.choices(words[: draw.choice((6, 20, 40))], k=draw.randrange(0, 9))), -k) for k in range(80)]
+    texts += [(1, texts[1][1]), (2, "bar ben bil bok"), (500, None), *((1000 + k, "bar") for k in range(50))]
+    labels += [(900, None, 0), (901, "bar ben bil bok", 5)]
+    left, right = spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame(labels, "id long, label string, ord long")
+    old, classify.SHARE_ROWS = classify.SHARE_ROWS, 7  # many shares for frequent tokens
+    try:
+        for least in (0.01, 0.25, 1 / 3, 0.5, 0.7, 1.0):
+            want = set()
+            for key, text in texts:
+                for label_id, label, order in labels:
+                    a, b = set((text or "").split()), set((label or "").split())
+                    if a & b and len(a & b) / len(a | b) >= least:
+                        want.add((key, label_id, order, len(a & b) / len(a | b)))
+            got = [tuple(r) for r in classify.similar(left, right, "key", "text", "id", "label", "ord", least).collect()]
+            assert len(got) == len(set(got)) and set(got) == want and want
+        empty = classify.similar(left, right.limit(0), "key", "text", "id", "label", "ord", 0.5)
+        assert empty.count() == 0
+        best = classify.best_match(left.where("key > 2"), right, "key", "text", "id", "label", "ord", 0.4).where("category <> '0'")
+        quick = classify.best_match(left.where("key > 2"), right, "key", "text", "id", "label", "ord", 0.4, below=False).where("category <> '0'")
+        assert {tuple(r) for r in best.collect()} == {tuple(r) for r in quick.collect()} and best.count() > 50
+    finally:
+        classify.SHARE_ROWS = old
