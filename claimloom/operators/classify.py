@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import RDF, SKOS
 from ..functions.text import STOP_WORDS, clean_tokens, first_max, jaccard, last_of, window
@@ -20,6 +25,8 @@ NEGATIVE = "0"
 BROADCAST_BYTES = 8 << 20
 #: Texts that share one token are dealt to so many rows a share in a join with a threshold.
 SHARE_ROWS = 20_000
+#: Common tokens and pairs that are held at once while texts are compared with all labels.
+PAIRS_AT_ONCE = 2_000_000
 
 
 def taxonomy(triples: DataFrame, scheme: str | None = None) -> DataFrame:
@@ -48,8 +55,93 @@ def _exploded(sets: DataFrame, *keep: str, size: str) -> DataFrame:
     return sets.select(*keep, F.size("t").alias(size), F.explode("t").alias("token"))
 
 
+def _few(labels: DataFrame, label: str) -> bool:
+    """Whether the labels may be broadcast, by their bytes."""
+    text = F.col(label).cast("string")
+    return labels.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
+class _Index:
+    """Labels by token: which labels hold each token, and how many tokens each label has."""
+
+    def __init__(self, labels: list):
+        own = [(token, k) for k, tokens in enumerate(labels) for token in tokens]
+        self.sizes = np.array([len(tokens) for tokens in labels], np.int64)
+        self.words = pa.array(sorted({token for token, _ in own}), pa.string())
+        code = pc.index_in(pa.array([token for token, _ in own], pa.string()), value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.holders = np.array([k for _, k in own], np.int64)[np.argsort(code, kind="stable")]
+        self.starts = np.append(0, np.cumsum(np.bincount(code, minlength=len(self.words)))).astype(np.int64)
+
+    def similarities(self, tokens: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, its and the next rows' similarity to every label), so many rows at a time as fit PAIRS_AT_ONCE."""
+        n, labels = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64), len(self.sizes)
+        found = pc.index_in(tokens.flatten().cast(pa.string()), value_set=self.words)
+        row = np.repeat(np.arange(len(n)), n)[found.is_valid().to_numpy(zero_copy_only=False)]
+        code = found.drop_null().to_numpy().astype(np.int64)
+        each = self.starts[code + 1] - self.starts[code]
+        before = np.append(0, np.cumsum(np.bincount(row, each, len(n)).astype(np.int64) + labels))
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(before, before[first] + PAIRS_AT_ONCE, "right")) - 1)
+            a, b = np.searchsorted(row, (first, last))
+            much = each[a:b]
+            place = np.repeat(self.starts[code[a:b]] - np.append(0, np.cumsum(much))[:-1], much) + np.arange(much.sum())
+            both = np.bincount(np.repeat(row[a:b] - first, much) * labels + self.holders[place], minlength=(last - first) * labels).reshape(last - first, labels)
+            either = n[first:last, None] + self.sizes - both
+            yield first, both / np.maximum(either, 1)
+            first = last
+
+
+def _compared(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, tokens: Callable[[Column], Column], made: Callable, *shown: str) -> DataFrame:
+    """The key and what ``made(similarities, labels)`` gives of some texts: their places among these and the columns ``shown``.
+
+    The labels are few and go to every task whole; no token becomes a row, common ones are counted in arrays, text by text.
+    """
+    few = labels.select(F.col(label_id).alias("label_id"), F.col(order).alias("ord"), F.col(label_id).cast("string").alias("category"), tokens(F.col(label)).alias("t"))
+    rows = few.orderBy("ord", "label_id").collect()  # BROADCAST_BYTES at most
+    columns = {c: pa.array([r[c] for r in rows], to_arrow_type(few.schema[c].dataType)) for c in ("label_id", "ord", "category")}
+    held = texts.sparkSession.sparkContext.broadcast((_Index([r["t"] or () for r in rows]), columns))
+    schema = StructType([StructField("key", texts.schema[key].dataType), *(few.schema[c] for c in shown), StructField("similarity", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, listed = held.value
+        for batch in batches:
+            for first, found in index.similarities(batch.column(1)):
+                at, *values = made(found, listed)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + at)), *values], schema.names)
+
+    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    return texts.select(F.col(key).alias("key"), words.alias("t")).mapInArrow(run, schema)
+
+
+def _pairs(every: bool) -> Callable:
+    def made(found: np.ndarray, labels: dict) -> tuple:
+        text, label = np.nonzero(np.ones_like(found) if every else found)
+        return text, labels["label_id"].take(pa.array(label)), labels["ord"].take(pa.array(label)), pa.array(found[text, label])
+
+    return made
+
+
+def _best(least: float) -> Callable:
+    def made(found: np.ndarray, labels: dict) -> tuple:
+        text = np.arange(len(found))
+        if not found.shape[1]:
+            return text, pa.array([NEGATIVE] * len(text), pa.string()), pa.array(np.zeros(len(text)))
+        first = found.argmax(1)  # the labels are in order
+        most = found[text, first]
+        names = pc.if_else(pa.array((most >= least) & (most > 0)), labels["category"].take(pa.array(first)), pa.scalar(NEGATIVE))
+        return text, names, pa.array(most)
+
+    return made
+
+
 def scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, tokens: Callable[[Column], Column] = clean_tokens) -> DataFrame:
-    """(key, label_id, ord, similarity) of texts and labels with a common token: an inverted index."""
+    """(key, label_id, ord, similarity) of texts and labels with a common token: an inverted index.
+
+    Few labels go to every task with their index; many are joined by token.
+    """
+    if _few(labels, label):
+        return _compared(texts, labels, key, text, label_id, label, order, tokens, _pairs(False), "label_id", "ord")
     left = _exploded(_sets(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), tokens), "key", size="n")
     right = _exploded(_sets(labels.select(F.col(label_id).alias("label_id"), F.col(order).alias("ord"), F.col(label).alias("text")), tokens), "label_id", "ord", size="m")
     both = left.join(right, "token").groupBy("key", "n", "label_id", "ord", "m").agg(F.count(F.lit(1)).alias("k"))
@@ -97,12 +189,9 @@ def all_scores(texts: DataFrame, labels: DataFrame, key: str, text: str, label_i
 
     The labels are broadcast, and their bytes are checked first.
     """
-    small = labels.select(F.col(label_id).alias("label_id"), F.col(order).alias("ord"), tokens(F.col(label)).alias("lt"))
-    size = labels.agg(F.coalesce(F.sum(F.octet_length(label) + 64), F.lit(0))).first()[0]
-    if size > BROADCAST_BYTES:
+    if not _few(labels, label):
         raise ValueError("too many labels to compare every text with each; use scores()")
-    left = texts.select(F.col(key).alias("key"), tokens(F.col(text)).alias("tt"))
-    return left.join(F.broadcast(small), F.lit(True), "inner").select("key", "label_id", "ord", jaccard(F.col("tt"), F.col("lt")).alias("similarity"))
+    return _compared(texts, labels, key, text, label_id, label, order, tokens, _pairs(True), "label_id", "ord")
 
 
 def best_match(texts: DataFrame, labels: DataFrame, key: str, text: str, label_id: str, label: str, order: str, least: float = 0.25, tokens: Callable[[Column], Column] = clean_tokens, below: bool = True) -> DataFrame:
@@ -110,6 +199,8 @@ def best_match(texts: DataFrame, labels: DataFrame, key: str, text: str, label_i
 
     Without ``below`` the similarity is 0 where no label reaches ``least``, and only pairs that may reach it are compared.
     """
+    if (below or least <= 0) and _few(labels, label):
+        return _compared(texts, labels, key, text, label_id, label, order, tokens, _best(least), "category")
     scored = scores(texts, labels, key, text, label_id, label, order, tokens) if below or least <= 0 else similar(texts, labels, key, text, label_id, label, order, least, tokens)
     # a window keeps the first row of each partition before the shuffle; an aggregate of structs would sort all rows
     first = Window.partitionBy("key").orderBy(F.col("similarity").desc(), "ord", "label_id")
