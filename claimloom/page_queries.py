@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions import text as T
 from .operators import articles, classify, crawl, ingest, triples
-from .queries import _register, _t, article_sql, full_articles, geography
+from .queries import _register, _shared, _t, article_sql, full_articles, geography
 from .schemas import ARTICLES
 from .sources import rdf, store
 
@@ -107,25 +107,21 @@ def hierarchy_lists(spark, d):
     return articles.hierarchy(r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("url"), html.alias("html")), base="http://e/")
 
 
-def _shared(spark) -> str:
-    """A folder for a query that writes and reads back."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='claimloom_')}/{uuid.uuid4().hex}"
-
-
 @_register("SELECT url, CASE WHEN page_id % 3 = 0 THEN 'kept ' || url ELSE 'page ' || url END AS html FROM pages WHERE page_id % 3 = 0 OR length(url) % 7 <> 0")
 def crawl_cached(spark, d):
     """Pages through the cache: what is fresh is not asked for, what fails is left out and noted."""
     now, path = datetime(2024, 1, 1, 12), _shared(spark)
-    p = _t(spark, d, "pages")
+    # several pages may have one URL: each is asked for under its own number
+    p = _t(spark, d, "pages").withColumn("own", F.concat("url", F.lit("#page="), F.col("page_id").cast("string")))
     at = F.when(F.col("page_id") % 2 == 0, F.lit(now) - F.expr("INTERVAL 10 MINUTES")).otherwise(F.lit(now))
-    p.where("page_id % 3 = 0").select(F.md5(F.col("url").cast("binary")).alias("url_hash"), F.concat(F.lit("kept "), "url").alias("content"), at.alias("fetched_at")).write.parquet(path)
-    return crawl.cached(p.select("url"), path, now, 3600, lambda u: (404, "") if len(u) % 7 == 0 else (200, f"page {u}"), strict=False)
+    p.where("page_id % 3 = 0").select(F.md5(F.col("own").cast("binary")).alias("url_hash"), F.concat(F.lit("kept "), "url").alias("content"), at.alias("fetched_at")).write.parquet(path)
+
+    def get(own: str) -> tuple[int, str]:
+        url = own.rpartition("#page=")[0]
+        return (404, "") if len(url) % 7 == 0 else (200, f"page {url}")
+
+    found = crawl.cached(p.select(F.col("own").alias("url")), path, now, 3600, get, strict=False)
+    return p.select("own", "url").join(found.withColumnRenamed("url", "own"), "own").select("url", "html")
 
 
 @_register("SELECT 'http://e/a/' || doc_id || '.htm' AS url, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'T' || doc_id END AS title, CASE WHEN doc_id % 4 = 1 THEN '1_1' END AS category, CASE WHEN doc_id % 4 = 1 THEN 'set' ELSE 'absent' END AS category_state FROM documents")
