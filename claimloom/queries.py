@@ -465,10 +465,13 @@ def sorted_url_places(spark, d):
     from pyspark.sql import Window
 
     p = _t(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
-    # places by range: each range is numbered by itself, then shifted by what lies before it
-    ranged = p.repartitionByRange("url").sortWithinPartitions("url").withColumn("part", F.spark_partition_id())
+    # places by range: each range is numbered by itself, then shifted by what lies before it; ranges and
+    # their numbers are written, since each use of the shuffle may merge its partitions in another way
+    path = _shared(spark)
+    p.repartitionByRange("url").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema("url string, page_id long, part int").parquet(path)
     within = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("url")))
-    sizes = within.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return within.join(F.broadcast(before), "part").select("page_id", "url", (F.col("at") + F.col("before")).cast("long").alias("place"))
 
