@@ -21,14 +21,14 @@ _SYNTAX = {"RDF", "ID", "about", "parseType", "resource", "nodeID", "datatype",
 
 
 class _Out:
-    """Collects triples and names blank nodes; labels of a file stay apart from those of others by ``scope``."""
+    """Collects triples and names blank nodes; labels of a graph stay apart from those of others by ``scope``, nodes without one by ``own``."""
 
-    def __init__(self, scope: str):
-        self.scope, self.count, self.rows = scope, 0, []
+    def __init__(self, scope: str, own: str | None = None):
+        self.scope, self.own, self.count, self.rows = scope, scope if own is None else own, 0, []
 
     def blank(self, label: str | None = None) -> tuple:
         self.count += label is None
-        return (f"_:{self.scope}{label}" if label is not None else f"_:g{self.scope}{self.count}", "bnode", None, None)
+        return (f"_:{self.scope}{label}" if label is not None else f"_:g{self.own}{self.count}", "bnode", None, None)
 
     def add(self, s: tuple, p: str, o: tuple) -> None:
         self.rows.append((s[0], s[1], p, *o))
@@ -43,8 +43,8 @@ def _literal(text: str, datatype: str | None = None, lang: str | None = None) ->
 
 
 # -- RDF/XML
-def parse_xml(text: str, scope: str = "", base: str = "") -> list[tuple]:
-    out, root = _Out(scope), ET.fromstring(text)
+def parse_xml(text: str, scope: str = "", own: str | None = None, base: str = "") -> list[tuple]:
+    out, root = _Out(scope, own), ET.fromstring(text)
     nodes = root if root.tag == _R + "RDF" else [root]
     base, lang = root.get(_XML + "base", base), root.get(_XML + "lang")
     for node in nodes:
@@ -113,9 +113,9 @@ def _property(e: ET.Element, out: _Out, base: str, lang: str | None) -> tuple:
 
 
 # -- JSON-LD
-def parse_jsonld(text: str, scope: str = "", base: str = "") -> list[tuple]:
+def parse_jsonld(text: str, scope: str = "", own: str | None = None, base: str = "") -> list[tuple]:
     """Triples of a JSON-LD text with inline contexts; contexts by reference are refused."""
-    out, whole = _Out(scope), json.loads(text)
+    out, whole = _Out(scope, own), json.loads(text)
     for node in whole if isinstance(whole, list) else [whole]:
         _object(node, {"@base": base}, out)
     return out.rows
@@ -244,8 +244,8 @@ class TrigParser(TurtleParser):
         return done
 
 
-def parse_trig(text: str, scope: str = "") -> list[tuple]:
-    return TrigParser(text, scope).parse()
+def parse_trig(text: str, scope: str = "", own: str | None = None) -> list[tuple]:
+    return TrigParser(text, scope, own).parse()
 
 
 # -- written

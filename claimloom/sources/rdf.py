@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import urljoin
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -127,22 +127,31 @@ def turtle(triples: DataFrame, prefixes: dict[str, str], namespace: str = "") ->
     return triples.sparkSession.createDataFrame([(0, head)], "ord int, value string").unionByName(body)
 
 
-def _one_text(rows: DataFrame, path: str) -> None:
-    """(ord, value) as one file, in order."""
-    rows.orderBy("ord", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+#: A graph with more bytes of terms is written in several files, which are read apart.
+FILE_BYTES = 2 << 20
 
 
-def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str], namespace: str = "", files: int = 1) -> None:
-    """Turtle, by default as one file; with more ``files`` each has the prefixes and whole subjects."""
-    rows = turtle(triples, prefixes, namespace)
-    if files == 1:
-        return _one_text(rows, path)
-    head = rows.where("ord = 0").first()["value"]
-    parts = rows.where("ord = 1").repartition(files, "value").sortWithinPartitions("value")
-    number = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("value"))
-    parts = parts.withColumn("at", number).select(F.when(F.col("at") == 1, F.concat(F.lit(head), F.col("value"))).otherwise(F.col("value")).alias("value"))
-    parts.write.mode("overwrite").text(path)
-    return None
+def _texts(triples: DataFrame, rows: DataFrame, path: str, files: int | None = None) -> None:
+    """(ord, value) as whole texts: each has the first and last rows and whole subjects, in order.
+
+    Without a number of files they are as many as keep each small.  Blank nodes may stand in several files of one
+    write; ``read_files`` knows them by the name that these share.
+    """
+    if files is None:
+        size = triples.agg(F.sum(F.octet_length("s") + F.octet_length("p") + F.octet_length("o"))).first()[0]
+        files = -(-(size or 0) // FILE_BYTES)
+    if files <= 1:
+        rows.orderBy("ord", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+        return
+    body = rows.where("ord = 1").withColumn("file", F.pmod(F.xxhash64("value"), F.lit(files)))
+    ends = rows.where("ord <> 1").crossJoin(rows.sparkSession.range(files).withColumnRenamed("id", "file"))
+    parts = ends.unionByName(body).repartition(files, "file").sortWithinPartitions("file", "ord", "value")
+    parts.select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+
+
+def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str], namespace: str = "", files: int | None = None) -> None:
+    """Turtle in one file, or in several that have the prefixes and whole subjects; large graphs in as many as needed."""
+    _texts(triples, turtle(triples, prefixes, namespace), path, files)
 
 
 _TOKEN = re.compile(
@@ -169,7 +178,7 @@ def unquote(text: str) -> str:
 class TurtleParser:
     """Turtle with prefixes, base, lists of predicates and objects, literals, blank nodes and collections."""
 
-    def __init__(self, text: str, scope: str = ""):
+    def __init__(self, text: str, scope: str = "", own: str | None = None):
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -178,7 +187,7 @@ class TurtleParser:
             if m.lastgroup:
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
-        self.at, self.prefixes, self.base, self.scope, self.count, self.out = 0, {}, "", scope, 0, []
+        self.at, self.prefixes, self.base, self.scope, self.own, self.count, self.out = 0, {}, "", scope, scope if own is None else own, 0, []
 
     def peek(self):
         return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
@@ -192,7 +201,7 @@ class TurtleParser:
 
     def blank(self) -> tuple:
         self.count += 1
-        return (f"_:b{self.scope}{self.count}", "bnode", None, None)
+        return (f"_:b{self.own}{self.count}", "bnode", None, None)
 
     def parse(self) -> list[tuple]:
         while self.peek()[0] != "end":
@@ -280,12 +289,17 @@ class TurtleParser:
         raise ValueError(f"no term: {text!r}")
 
 
-def parse_turtle(text: str, scope: str = "") -> list[tuple]:
-    return TurtleParser(text, scope).parse()
+def parse_turtle(text: str, scope: str = "", own: str | None = None) -> list[tuple]:
+    """Labels of blank nodes are kept under ``scope``, nodes without a label are named under ``own``."""
+    return TurtleParser(text, scope, own).parse()
+
+
+#: A file among those that one write of a graph has made; the group is the name of the write.
+_PART = re.compile(r"/file=\d+/part-\d+-([0-9a-f-]{36})[^/]*$")
 
 
 def read_files(spark: SparkSession, path: str, parse, schema: str = TRIPLES) -> DataFrame:
-    """Files as rows of ``parse(text, scope)``, a file at a time, through any store that Spark reads."""
+    """Files as rows of ``parse(text, scope, own)``, a file at a time, through any store that Spark reads."""
 
     def run(batches):
         import hashlib
@@ -293,9 +307,12 @@ def read_files(spark: SparkSession, path: str, parse, schema: str = TRIPLES) ->
         import pandas as pd
 
         names = [c.split()[0] for c in schema.split(", ")]
+        mark = lambda x: hashlib.md5(x.encode()).hexdigest()[:8]
         for batch in batches:
-            rows = [t for p, x in zip(batch["path"], batch["content"], strict=True) for t in parse(bytes(x).decode(), hashlib.md5(p.encode()).hexdigest()[:8])]
-            yield pd.DataFrame(rows, columns=names)
+            for p, x in zip(batch["path"], batch["content"], strict=True):
+                rows = parse(bytes(x).decode(), mark(_PART.sub(r"/\1", p)), mark(p))
+                for k in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[k : k + 10_000], columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
@@ -363,6 +380,6 @@ def write_rdf(triples: DataFrame, path: str, form: str, prefixes: dict[str, str]
     elif kind == "ttl":
         write_turtle(triples, path, prefixes, namespace)
     elif kind in ("xml", "json-ld"):
-        _one_text((formats.rdf_xml if kind == "xml" else formats.json_ld)(triples), path)
+        _texts(triples, (formats.rdf_xml if kind == "xml" else formats.json_ld)(triples), path)
     else:
         raise ValueError(f"unknown RDF format to write: {form}")
