@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts whose features are held at once.
+ROWS_AT_ONCE = 200
+
 _WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -68,11 +71,18 @@ def load(spark: SparkSession, path: str) -> Softmax:
     return Softmax(tuple(r["class"] for r in rows), rows[0]["bits"], np.stack([np.frombuffer(r["weights"], "<f8") for r in rows]))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of long rows would be many times larger on its way; features are made and summed some rows at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
+
+
 def _featured(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             made = [hashed(t, bits) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([v for _, v in made], pa.list_(pa.float64()))], ["y", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float64()))], ["y", "at", "value"])
 
     return run
 
@@ -82,9 +92,7 @@ def _gradient(weights: np.ndarray, share: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, size))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             y, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             value, place = batch.column(2).flatten().to_numpy(), at.flatten().to_numpy()
             row = np.repeat(np.arange(len(y)), np.diff(at.offsets.to_numpy()))
@@ -112,7 +120,7 @@ def fit(texts: DataFrame, text: str, label: str, classes: tuple[str, ...], *, bi
     rows = rows.select(y.cast("int").alias("y"), F.col(text).alias("text"))
     if most is not None:
         rows = rows.orderBy(F.xxhash64("text"), "y").limit(most)
-    table = rows.mapInArrow(_featured(bits), "y int, at array<long>, value array<double>").checkpoint()
+    table = rows.mapInArrow(_featured(bits), "y int, at array<int>, value array<double>").checkpoint()
     counts = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     n = sum(counts.values())
     share = np.array([n / (len(counts) * counts[c]) if c in counts else 0.0 for c in range(len(classes))])
