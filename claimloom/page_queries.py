@@ -129,6 +129,8 @@ def stored_articles(spark, d):
     """Parsed pages merged into a stored table that is replaced, twice: categories stay."""
     path = _shared(spark)
     fresh = crawl.records(_pages(spark, d)).withColumns({"category": F.lit(None).cast("string"), "category_state": F.lit("absent")})
+    fresh.write.parquet(f"{path}_fresh")  # parsed once, merged twice
+    fresh = spark.read.schema(fresh.schema).parquet(f"{path}_fresh")
     number = F.regexp_extract("url", "([0-9]+)[.]htm$", 1).cast("long")
     once = ingest.upsert(store.stored(spark, path, ARTICLES), fresh, "url")
     store.replace(once.withColumns({"category": F.when(number % 4 == 1, "1_1"), "category_state": F.when(number % 4 == 1, "set").otherwise("absent")}).select(*once.columns), path)
