@@ -83,9 +83,9 @@ _PROFILES = "WITH tr AS (" + _GRAMS.format(key="doc_id", more=", lang") + " WHER
 _DETECTED = _PROFILES + ", g AS (SELECT DISTINCT key, gram FROM (" + _GRAMS.format(key="doc_id", more="") + ")), v AS (SELECT key, prof.lang, sum(weight) AS score FROM g JOIN prof USING (gram) GROUP BY ALL), det AS (SELECT key, arg_min(lang, {'a': -score, 'b': lang}) AS detected FROM v GROUP BY key)"
 
 
-def _detected(spark, d) -> DataFrame:
+def _detected(spark, d, which: str = "TRUE") -> DataFrame:
     docs = _t(spark, d, "documents")
-    return language.languages(docs, "doc_id", "text", language.profiles(docs.where("doc_id % 4 <> 2"), "text", "lang"))
+    return language.languages(docs.where(which), "doc_id", "text", language.profiles(docs.where("doc_id % 4 <> 2"), "text", "lang"))
 
 
 @_register(_PROFILES + " SELECT lang, gram, weight FROM prof")
@@ -103,7 +103,7 @@ def doc_language_ngrams(spark, d):
 def language_accuracy(spark, d):
     """How many held-out documents get their language."""
     held = _t(spark, d, "documents").where("doc_id % 4 = 2").select("doc_id", "lang")
-    found = _detected(spark, d).withColumnRenamed("key", "doc_id")
+    found = _detected(spark, d, "doc_id % 4 = 2").withColumnRenamed("key", "doc_id")
     return held.join(found, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("detected") == F.col("lang")).alias("n_right"))
 
 
