@@ -40,6 +40,16 @@ def _learnt(spark, d) -> tuple[DataFrame, DataFrame]:
     return lexicon.lemmas(words, lexicon.suffix_edits(words)), lexicon.proper_nouns(docs, "text")
 
 
+def _kept(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The same, written: the words are counted once and the tables read as often as they are used."""
+    docs, path = _t(spark, d, "documents"), _shared(spark)
+    lexicon.vocabulary(docs, "text").write.parquet(f"{path}/words")
+    words = spark.read.schema("word string, n long").parquet(f"{path}/words")
+    lexicon.lemmas(words, lexicon.suffix_edits(words)).write.parquet(f"{path}/lemmas")
+    lexicon.proper_nouns(docs, "text").write.parquet(f"{path}/names")
+    return spark.read.schema("word string, lemma string").parquet(f"{path}/lemmas"), spark.read.schema("word string, n_capital long, n_small long").parquet(f"{path}/names")
+
+
 @_register(_LEXICON + " SELECT ending, base_ending, stems FROM edits")
 def lexicon_edits(spark, d):
     """Suffix edits that the word families of all documents show."""
@@ -72,7 +82,7 @@ SELECT doc_id AS key, CASE WHEN similarity >= 0.1 AND similarity > 0 THEN CAST(i
 @_register(_LEXICON + _INSIDE + _cleaned("c", "documents", "doc_id") + _cleaned("b", "benchmark", "item_id") + _BEST)
 def lemma_best_match(spark, d):
     """The most similar label by base forms; jaccard_best_match is the same by plain words."""
-    learnt = _learnt(spark, d)
+    learnt = _kept(spark, d)
     docs, labels = (lexicon.clean_texts(_t(spark, d, table), key, "text", *learnt) for table, key in (("documents", "doc_id"), ("benchmark", "item_id")))
     return classify.best_match(docs, labels, "key", "tokens", "key", "tokens", "key", 0.1, tokens=lambda c: c)
 
