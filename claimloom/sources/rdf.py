@@ -16,7 +16,14 @@ _IRI, _TERM = r"<([^<>]*)>", r"(?:<[^<>]*>|_:[^\s]+)"
 #: What stands in quotes.  Possessive, so that the JVM walks along it; a plain repetition of the two
 #: alternatives calls itself for each character and ends on the stack of long literals.
 _BODY = r'(?:[^"\\]++|\\[\s\S])*+'
-_LINE = rf'^\s*({_TERM})\s+{_IRI}\s+({_TERM}|"{_BODY}"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>)?)(?:\s+({_TERM}))?\s*\.\s*(?:#.*)?$'
+#: The groups of a statement: subject, predicate, object unless a literal, body, language and datatype of a literal, graph.
+_LINE = rf'^\s*({_TERM})\s+{_IRI}\s+(?:({_TERM})|"({_BODY})"(?:@([A-Za-z0-9-]+)|\^\^<([^<>]*)>)?)(?:\s+({_TERM}))?\s*\.\s*(?:#.*)?$'
+_GROUPS = 7
+_NOTHING = r"^\s*(?:#.*)?$"
+
+
+def _has_code(c: Column) -> Column:
+    return F.contains(c, F.lit("\\u")) | F.contains(c, F.lit("\\U"))
 
 
 def _coded(c: Column) -> Column:
@@ -27,14 +34,15 @@ def _coded(c: Column) -> Column:
         long_ = F.concat(F.decode(F.unhex(F.substring(x, 3, 8)), "UTF-32"), F.substring(x, 11, 1 << 30))
         return F.when(F.regexp_like(x, F.lit(r"^\\u[0-9A-Fa-f]{4}")), short).when(F.regexp_like(x, F.lit(r"^\\U[0-9A-Fa-f]{8}")), long_).otherwise(x)
 
-    return F.when(F.regexp_like(c, F.lit(r"\\[uU]")), F.array_join(F.transform(F.split(c, r"(?=\\[uU])"), plain), "")).otherwise(c)
+    return F.when(_has_code(c), F.array_join(F.transform(F.split(c, r"(?=\\[uU])"), plain), "")).otherwise(c)
 
 
 def _unescape(c: Column) -> Column:
     out = F.replace(c, F.lit("\\\\"), F.lit("\0"))
     for short, whole in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
         out = F.replace(out, F.lit(short), F.lit(whole))
-    return F.replace(_coded(out), F.lit("\0"), F.lit("\\"))
+    back = lambda x: F.replace(x, F.lit("\0"), F.lit("\\"))
+    return F.when(_has_code(c), back(_coded(out))).when(F.contains(c, F.lit("\\")), back(out)).otherwise(c)
 
 
 def _escape(c: Column) -> Column:
@@ -43,38 +51,34 @@ def _escape(c: Column) -> Column:
     return c
 
 
-def _split_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that say something: no blank ones and no comments."""
-    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
-
-
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): lines of an N-Triples or N-Quads file that are neither a statement nor a comment."""
-    return _split_lines(spark, path).where(~F.col("value").rlike(_LINE))
+    return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(_NOTHING))
 
 
 def read_nquads(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Triples and their graph ``g``.  Splittable, JVM only; a bad line raises an error under ``strict``, else see ``bad_lines``."""
-    lines = _split_lines(spark, path)
+    # each line meets the pattern once: its groups come as lines of their own, which no line holds, and a line that
+    # is no statement stays as it is; the generator keeps filters and columns from repeating the match
+    groups = F.regexp_replace("value", _LINE + r"[\s\S]*", "\n".join(f"${k + 1}" for k in range(_GROUPS)))
+    lines = spark.read.text(path).select(F.explode(F.array(F.split(groups, "\n", -1))).alias("x"))
+    said = F.size("x") == _GROUPS
     if strict:
-        told = F.raise_error(F.concat(F.lit("no statement: "), F.col("value"))).cast("string")
-        lines = lines.select(F.when(F.col("value").rlike(_LINE), F.col("value")).otherwise(told).alias("value"))
-    lines = lines.where(F.col("value").rlike(_LINE))
-    part = lambda k: F.regexp_extract("value", _LINE, k)
-    s, o, g = part(1), part(3), part(4)
-    bare = lambda c: F.when(c.startswith("<"), _coded(F.regexp_extract(c, _IRI, 1))).otherwise(c)
-    literal = o.startswith('"')
-    body = F.regexp_extract(o, rf'^"({_BODY})"', 1)
-    datatype = F.nullif(F.nullif(F.regexp_extract(o, r'"\^\^<([^<>]*)>$', 1), F.lit("")), F.lit(XSD + "string"))
+        told = F.raise_error(F.concat(F.lit("no statement: "), F.col("x")[0])).cast("boolean")
+        said = F.when(said, True).when(F.col("x")[0].rlike(_NOTHING), False).otherwise(told)
+    s, p, o, body, lang, datatype, g = (F.col("x")[k] for k in range(_GROUPS))
+    bare = lambda c: F.when(c.startswith("<"), _coded(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+    literal = o == ""
+    datatype = F.nullif(F.nullif(datatype, F.lit("")), F.lit(XSD + "string"))
     kind = lambda c: F.when(c.startswith("<"), "iri").otherwise("bnode")
-    return lines.select(
+    return lines.where(said).select(
         bare(s).alias("s"),
         kind(s).alias("s_kind"),
-        _coded(part(2)).alias("p"),
+        _coded(p).alias("p"),
         F.when(literal, _unescape(body)).otherwise(bare(o)).alias("o"),
         F.when(literal, "literal").otherwise(kind(o)).alias("o_kind"),
         F.when(literal, _coded(datatype)).alias("o_datatype"),
-        F.when(literal, F.nullif(F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))).alias("o_lang"),
+        F.when(literal, F.nullif(lang, F.lit(""))).alias("o_lang"),
         F.nullif(bare(g), F.lit("")).alias("g"),
     )
 
