@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,13 @@ def _once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _fitted(value: Column, kind: str) -> Column:
+    """A decimal as another kind, null where that is too short.  Its room is asked for first: a ``try_cast`` that
+    fails makes an exception, which costs more than all else about a row."""
+    digits, scale = map(int, kind[len("decimal(") : -1].split(","))
+    return F.when(F.abs(value) < F.lit(Decimal(10) ** (digits - scale)), value.try_cast(kind))
+
+
 class Number:
     """A number by XSD's order of types: whole, else decimal, else double; what a value is not, is null.
 
@@ -71,7 +79,8 @@ class Number:
 
         def read(t: Column) -> Column:
             v, known = t["v"], t["dt"].isin(_NUMERIC)
-            return cls.made(F.when(known, v.try_cast("double")), F.when(known & ~t["dt"].isin(_DOUBLES), v.try_cast(_EXACT)), F.when(t["dt"].isin(_INTEGERS), v.try_cast(_WHOLE)))
+            long_ = F.coalesce(F.abs(v.try_cast("double")) > 1e20, F.lit(False))  # no double of what fits is larger
+            return cls.made(F.when(known, v.try_cast("double")), F.when(known & ~t["dt"].isin(_DOUBLES) & ~long_, v.try_cast(_EXACT)), F.when(t["dt"].isin(_INTEGERS), v.try_cast(_WHOLE)))
 
         return cls(_once(term, read))
 
@@ -90,7 +99,7 @@ class Number:
         return _once(F.struct(self.parts.alias("a"), other.parts.alias("b")), lambda x: body(Number(x["a"]), Number(x["b"])))
 
     def _of_both(self, other: Number, double, exact, whole) -> Number:
-        return Number(self._with(other, lambda a, b: self.made(double(a.double, b.double), F.coalesce(exact(a, b).try_cast(_EXACT), whole(a.whole, b.whole).try_cast(_EXACT)), whole(a.whole, b.whole))))
+        return Number(self._with(other, lambda a, b: _once(whole(a.whole, b.whole), lambda w: self.made(double(a.double, b.double), F.coalesce(exact(a, b).try_cast(_EXACT), _fitted(w, _EXACT)), w))))
 
     def __add__(self, other: Number) -> Number:
         return self._of_both(other, lambda x, y: x + y, lambda a, b: F.try_add(a.exact, b.exact), F.try_add)
@@ -100,8 +109,9 @@ class Number:
 
     def __mul__(self, other: Number) -> Number:
         def exact(a: Number, b: Number) -> Column:
-            x, y = a.exact.try_cast("decimal(18,9)"), b.exact.try_cast("decimal(18,9)")  # a product of these is whole in 37 digits
-            return F.coalesce(F.when((x == a.exact) & (y == b.exact), F.try_multiply(x, y)).try_cast(_EXACT), F.try_multiply(a.exact, b.exact).try_cast(_EXACT))
+            x, y = _fitted(a.exact, "decimal(18,9)"), _fitted(b.exact, "decimal(18,9)")  # a product of these is whole in 37 digits
+            fits = F.abs(a.exact.cast("double") * b.exact.cast("double")) < 1.001e20
+            return F.coalesce(F.when((x == a.exact) & (y == b.exact), F.try_multiply(x, y)).try_cast(_EXACT), F.when(fits, F.try_multiply(a.exact, b.exact).try_cast(_EXACT)))
 
         return self._of_both(other, lambda x, y: x * y, exact, F.try_multiply)
 
@@ -109,10 +119,10 @@ class Number:
         """A quotient is a decimal where it ends within 18 places, else a double."""
 
         def divided(a: Number, b: Number) -> Column:
-            x, y = a.exact.try_cast("decimal(20,9)"), b.exact.try_cast("decimal(20,9)")
+            x, y = _fitted(a.exact, "decimal(20,9)"), _fitted(b.exact, "decimal(20,9)")
             q = F.when((x == a.exact) & (y == b.exact), F.try_divide(x, y)).try_cast(_EXACT)
-            short = q.try_cast("decimal(24,12)")
-            ends = (short == q) & (F.try_multiply(short, b.exact.try_cast("decimal(13,6)")) == a.exact) & (b.exact.try_cast("decimal(13,6)") == b.exact)
+            short, by = _fitted(q, "decimal(24,12)"), _fitted(b.exact, "decimal(13,6)")
+            ends = (short == q) & (F.try_multiply(short, by) == a.exact) & (by == b.exact)
             return self.made(F.try_divide(a.double, b.double), F.when(ends, q))
 
         return Number(self._with(other, divided))
@@ -138,14 +148,12 @@ class Number:
         return self.changed(body)
 
     def compared(self, op, other: Number) -> Column:
-        def body(a: Number, b: Number) -> Column:
-            return (
-                F.when(a.whole.isNotNull() & b.whole.isNotNull(), op(a.whole, b.whole))
-                .when(a.exact.isNotNull() & b.exact.isNotNull(), op(a.exact, b.exact))
-                .when(a.double.isNotNull() & b.double.isNotNull(), op(a.double, b.double))
-            )
-
-        return self._with(other, body)
+        """Both are named several times: they are to stand in columns or in a ``_once``."""
+        return (
+            F.when(self.whole.isNotNull() & other.whole.isNotNull(), op(self.whole, other.whole))
+            .when(self.exact.isNotNull() & other.exact.isNotNull(), op(self.exact, other.exact))
+            .when(self.double.isNotNull() & other.double.isNotNull(), op(self.double, other.double))
+        )
 
     @property
     def keys(self) -> list[Column]:
@@ -170,6 +178,11 @@ class Value:
     def __init__(self, term: Column | None = None, *, number: Number | None = None, text: Column | None = None, truth: Column | None = None):
         self._term, self._number, self._text, self._truth = term, number, text, truth
 
+    @property
+    def numeric(self) -> bool:
+        """A number whose term is made from it."""
+        return self._term is None and self._number is not None
+
     @property
     def term(self) -> Column:
         if self._term is not None:
@@ -452,7 +465,9 @@ class Compiler:
             elif kind == "bind":
                 if part[2] in here.names:
                     raise ValueError(f"?{part[2]} is bound already")
-                out = Solutions(here.frame.withColumn(part[2], self.value(part[1], _view(here)).term), here.names + [part[2]], here.open | {part[2]})
+                # out of a generator, so that the optimizer does not write the value wherever the variable is named
+                bound = F.explode(F.array(self.value(part[1], _view(here)).term)).alias(part[2])
+                out = Solutions(here.frame.select("*", bound), here.names + [part[2]], here.open | {part[2]})
             else:
                 found = self.part(part)
                 out = found if out is None else self.join(out, found)
@@ -841,14 +856,20 @@ def _variables(e) -> set[str]:
 
 
 def _compare(op: str, a: Value, b: Value) -> Column:
-    x, y, s, t = a.number, b.number, a.term, b.term
-    both = x.double.isNotNull() & y.double.isNotNull()
+    """Each side is computed once; the term of a number only where numbers do not decide."""
     signs = {"=": lambda p, q: p == q, "!=": lambda p, q: p != q, "<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}
-    numbers = x.compared(signs[op], y)
-    if op in ("=", "!="):
-        return F.when(both, numbers).otherwise(signs[op](s, t))
-    comparable = (s["kind"] == "literal") & (t["kind"] == "literal") & s["dt"].eqNullSafe(t["dt"]) & x.double.isNull() & y.double.isNull()
-    return F.when(both, numbers).when(comparable, signs[op](s["v"], t["v"]))
+    sides = [F.struct(v.number.parts.alias("n"), *([] if v.numeric else [v.term.alias("t")])) for v in (a, b)]
+
+    def body(v: Column) -> Column:
+        x, y = Number(v["a"]["n"]), Number(v["b"]["n"])
+        s, t = x.term if a.numeric else v["a"]["t"], y.term if b.numeric else v["b"]["t"]
+        both, numbers = x.double.isNotNull() & y.double.isNotNull(), x.compared(signs[op], y)
+        if op in ("=", "!="):
+            return F.when(both, numbers).otherwise(signs[op](s, t))
+        comparable = (s["kind"] == "literal") & (t["kind"] == "literal") & s["dt"].eqNullSafe(t["dt"]) & x.double.isNull() & y.double.isNull()
+        return F.when(both, numbers).when(comparable, signs[op](s["v"], t["v"]))
+
+    return _once(F.struct(sides[0].alias("a"), sides[1].alias("b")), body)
 
 
 def query(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None) -> DataFrame:
